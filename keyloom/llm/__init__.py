@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe", "token_count", "exact_dedup")
+MODULES = ("bpe", "token_count", "exact_dedup", "simhash", "secrets")
 
 
 def queries() -> dict:
