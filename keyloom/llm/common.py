@@ -86,3 +86,33 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[str]:
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def open_fs(uri: str):
+    """(filesystem, path) of a folder of the shared store, usable in a Python worker."""
+    from pyarrow import fs
+
+    if "://" not in uri and not uri.startswith("file:"):
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(uri if not uri.startswith("file:/") or uri.startswith("file://") else "file://" + uri[5:])
+
+
+def put_file(uri: str, name: str, data: bytes) -> None:
+    """Write a file under a temporary name and rename it: a reader sees all of it or nothing,
+    and a task that runs again replaces its file by the same."""
+    store, folder = open_fs(uri)
+    store.create_dir(folder, recursive=True)
+    draft = f"{folder}/.{name}.{uuid.uuid4().hex}.tmp"
+    with store.open_output_stream(draft, compression=None) as f:
+        f.write(data)
+    try:
+        store.move(draft, f"{folder}/{name}")
+    except OSError:  # some stores don't replace on a move
+        store.delete_file(f"{folder}/{name}")
+        store.move(draft, f"{folder}/{name}")
+
+
+def get_file(uri: str, name: str) -> bytes:
+    store, folder = open_fs(uri)
+    with store.open_input_file(f"{folder}/{name}") as f:
+        return f.read()
