@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe", "token_count", "exact_dedup", "simhash", "secrets", "toxicity", "token_store", "decontaminate", "warc")
+MODULES = ("bpe", "token_count", "exact_dedup", "simhash", "secrets", "toxicity", "token_store", "decontaminate", "warc", "suffix_dedup")
 
 
 def queries() -> dict:
