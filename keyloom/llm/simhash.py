@@ -340,15 +340,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     a, b = classes.select(F.col("fp").alias("u"), F.col("first").alias("row_u")), classes.select(F.col("fp").alias("v"), F.col("first").alias("row_v"))
     of_prints = edges.join(a, "u").join(b, "v").select("row_u", "row_v")
 
-    # rows that share a lane's fingerprint: each with the first one, and with the next by size
-    sampled = views.where("lane >= 0 or lane = -1")
-    first = sampled.groupBy("lane", "fp").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
-    held = sampled.join(first, ["lane", "fp"]).select("lane", "fp", "row", "size", "first")
-    to_first = held.where("row > first").select(F.col("first").alias("row_u"), F.col("row").alias("row_v"))
+    # rows that share a lane's fingerprint: each with the first one, unless their sizes rule the similarity out
+    first = views.groupBy("lane", "fp").agg(F.min(F.struct("row", "size")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    near = F.least("size", "first.size") >= similarity * F.greatest("size", "first.size")
+    to_first = views.join(first, ["lane", "fp"]).where((F.col("row") > F.col("first.row")) & near).select(F.col("first.row").alias("row_u"), F.col("row").alias("row_v"))
     proposed = to_first.union(of_prints)
     proposed = common.materialize(proposed.select(F.least("row_u", "row_v").alias("a"), F.greatest("row_u", "row_v").alias("b")).where("a < b").distinct())
 
-    # sizes alone rule out many pairs; the rest is verified on whole texts
+    # every pair is verified on whole texts
     asked = proposed.select(F.col("a").alias("row")).union(proposed.select("b")).distinct()
     held_texts = common.materialize(texts.join(asked, "row", "left_semi"))
     left = held_texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
