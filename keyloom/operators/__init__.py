@@ -1 +1 @@
-"""Part of keyloom."""
+"""Relational operators on fact tables."""

@@ -1,11 +1,14 @@
 """Registered queries of the localization engine."""
 
-FLAGSHIP = ""
+from . import engine
+
+FLAGSHIP = "O01_all_issues"
+_MODULES = (engine,)
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in _MODULES for k, s in m.ORACLES.items()}
