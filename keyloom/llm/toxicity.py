@@ -21,7 +21,7 @@ zero; other columns are left out by ``score`` and kept by ``keep_rows``.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +33,14 @@ from . import common
 from .vocab import Memo
 
 #: Labelled rows to learn from, and the longest of them in bytes.
-SAMPLE, BAG_BYTES = 6000, 64 << 10
+SAMPLE, BAG_BYTES = 4000, 64 << 10
 #: Features kept: those in the most telling words and n-grams.
 FEATURES, LEAST_BAGS = 4000, 4
-#: Standard deviations by which a feature's bags are off the mean to be kept.
+#: Standard deviations by which a feature's positive bags exceed the mean to be kept.
 TELLING = 5
 ROUNDS, RATE, DECAY, SHRINK = 300, 0.3, 2e-3, 5e-4
+#: Share of the features that one round of training sees.
+KEPT = 0.65
 #: Lowest log-odds of a sentence without evidence.
 LEAST_BIAS = -7.0
 THRESHOLD = 0.7
@@ -110,34 +112,34 @@ def fit(bags: list[tuple[str, int]]) -> Model:
     total, positive = len(bags), sum(y for _, y in bags)
     if not 0 < positive < total:
         return Model({}, -60.0)
-    of_word: dict[str, set[str]] = defaultdict(set)
-    split: list[list[list[str]]] = []
-    seen, hits = Counter(), Counter()
-    for text, y in bags:
-        found = [words for s in _SENTENCE.split(text.lower()) if (words := _WORD.findall(s))]
-        split.append(found)
-        in_bag = set()
-        for words in found:
-            in_bag.update(words)
-        features = set()
-        for w in in_bag:
-            features |= of_word[w] if w in of_word else of_word.setdefault(w, word_features(w))
-        seen.update(features)
+    # only what stands in several positive bags can tell them apart; all else is never stored
+    split = [[words for s in _SENTENCE.split(text.lower()) if (words := _WORD.findall(s))] for text, _ in bags]
+    hits: Counter = Counter()
+    for found, (_, y) in zip(split, bags):
         if y:
-            hits.update(features)
-    # a smoothed log-odds test of each feature against the share of positive bags
+            hits.update({f for w in {w for words in found for w in words} for f in word_features(w)})
+    hits = Counter({f: n for f, n in hits.items() if n >= LEAST_BAGS})
+    held: dict[str, tuple[str, ...]] = {}
+
+    def candidates(word: str) -> tuple[str, ...]:
+        got = held.get(word)
+        if got is None:
+            got = held[word] = tuple(f for f in word_features(word) if f in hits)
+        return got
+
+    seen: Counter = Counter()
+    for found in split:
+        seen.update({f for words in found for w in words for f in candidates(w)})
+    # how far a feature's positive bags are above the share of positive bags, in standard deviations
     share = positive / total
     worth = {}
     for f, n in seen.items():
-        if n >= LEAST_BAGS and n < 0.9 * total:
-            k = hits[f]
-            sd = (n * share * (1 - share)) ** 0.5
-            z = (k - n * share) / sd
-            if abs(z) > TELLING:
-                worth[f] = abs(z)
+        z = (hits[f] - n * share) / (n * share * (1 - share)) ** 0.5
+        if z > TELLING:
+            worth[f] = z
     names = sorted(worth, key=lambda f: (-worth[f], f))[:FEATURES]
     index = {f: k for k, f in enumerate(names)}
-    of_ids = {w: [index[f] for f in fs if f in index] for w, fs in of_word.items()}
+    of_ids = {w: [index[f] for f in fs if f in index] for w, fs in held.items()}
     # sentences without any kept feature of a bag are alike: one entry with a multiplicity
     cols, rows, bag_of, times = [], [], [], []
     for k, found in enumerate(split):
@@ -156,17 +158,19 @@ def fit(bags: list[tuple[str, int]]) -> Model:
     cols, rows, bag_of, times = np.array(cols, np.int64), np.array(rows, np.int64), np.array(bag_of, np.int64), np.array(times)
     y = np.array([b for _, b in bags], float)
     n_s = len(bag_of)
-    w, bias = np.zeros(len(names)), -5.0
+    w, bias, rng = np.zeros(len(names)), -5.0, np.random.default_rng(9)
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, ROUNDS + 1):
-        z = bias + np.bincount(rows, w[cols], n_s)
+        # a random part of the features at a time: each has to learn what others could explain as well
+        on = rng.random(len(names)) < KEPT
+        z = bias + np.bincount(rows, (w * on)[cols], n_s)
         p = 1 / (1 + np.exp(-z))
         lost = np.bincount(bag_of, times * np.logaddexp(0, z), total)  # -log(1 - P)
         P = -np.expm1(-lost)
         # d loss / d lost: positive bags pull their sentences up, negative ones push down
         pull = np.where(y == 1, -(1 - P) / np.maximum(P, 1e-9), 1.0)
         g_z = pull[bag_of] * times * p / total
-        g = np.append(np.bincount(cols, g_z[rows], len(names)) + DECAY * w / 100, g_z.sum())
+        g = np.append(np.bincount(cols, g_z[rows], len(names)) * on + DECAY * w / 100, g_z.sum())
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
