@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .matching import MatchOptions, asked, confident, in_scope, present, probes, resolve_namespaces, shared_origins, used_groups
 
 SEVERITIES = {"missing-key": "error", "duplicate-key": "warning", "unused-key": "warning", "untranslated-text": "info"}
@@ -122,6 +123,7 @@ def unused(definitions: DataFrame, usages: DataFrame, dynamic: DataFrame | None
     if dynamic is None:
         free = free.select("ns_group", "key", "n", F.lit(0).cast("long").alias("hits"), F.lit(None).cast("long").alias("first"))
     else:
+        free = cut(free.select("ns_group", "key", "n")).alias("s")
         hits = dynamic_hits(free.select("ns_group", "key"), facts, dynamic, options).alias("h")
         free = free.join(hits, (F.col("s.key") == F.col("h.key")) & F.col("s.ns_group").eqNullSafe(F.col("h.ns_group")), "left").select(
             "s.ns_group", "s.key", "s.n", F.coalesce("h.hits", F.lit(0).cast("long")).alias("hits"), "h.first"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import coverage, issues, lookup, matching, policy
+from ..storage import cut
 from . import facts
 
 OPTIONS = matching.MatchOptions(default_ns="ns0", fallback_ns=("ns4",), min_confidence=0.5)
@@ -101,7 +102,7 @@ def J05_dynamic_softening(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = matching.used_groups(d, u, OPTIONS).alias("u")
     groups = d.select(matching.present().alias("ns_group"), "key").distinct().alias("g")
     free = groups.join(used, (F.col("g.key") == F.col("u.key")) & F.col("g.ns_group").eqNullSafe(F.col("u.ns_group")), "left_anti")
-    return issues.dynamic_hits(free.select("ns_group", "key"), d, y, OPTIONS)
+    return issues.dynamic_hits(cut(free.select("ns_group", "key")), d, y, OPTIONS)
 
 
 @query(_SETUP + "SELECT DISTINCT ns AS ns_group, key FROM usedsites")
