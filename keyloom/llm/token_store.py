@@ -28,7 +28,7 @@ from __future__ import annotations
 import functools
 import json
 import struct
-import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +44,8 @@ SHARD_IDS = 2_000_000
 #: Input bytes of one partition of the sorted documents.
 PARTITION_BYTES = 16 << 20
 #: Rounds of replacing, pairs replaced in each, and the fewest places a pair must have.
-ROUNDS, PAIRS, LEAST = 10, 512, 24
-MEMO = 300_000
+ROUNDS, PAIRS, LEAST = 4, 2048, 24
+MEMO = 400_000
 MAGIC = b"KLRP1"
 
 
@@ -62,10 +62,14 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.merges = self.library.model.tokenize
+        self.table = {b: c for b, c in enumerate(self.v.chars)}
         self.memo = Memo(self._ask, MEMO)
 
     def _ask(self, piece: str) -> bytes:
-        return np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        # a piece is normalised and cut already: what is left of the library's work are the merges
+        chars = piece if piece.isascii() and piece.isprintable() and " " not in piece else "".join(map(self.table.__getitem__, piece.encode("utf-8")))
+        return array("I", [t.id for t in self.merges(chars)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         out = []
@@ -92,34 +96,46 @@ def repair(ids: np.ndarray, base: int, end: int, rounds: int = ROUNDS, pairs: in
         if len(seq) < 2:
             break
         left, right = seq[:-1], seq[1:]
-        inside = (left != end) & (right != end)
-        # counts by a hash first: only pairs in full buckets are counted one by one
+        # pairs are counted in buckets of a hash; the fullest buckets stand for the pair seen last in each
         bucket = (left * np.uint32(2654435761) + right * np.uint32(2246822519)) >> np.uint32(12)
-        held = np.bincount(bucket[inside], minlength=1 << 20)
-        cut = max(least, int(np.partition(held, len(held) - 2 * pairs)[len(held) - 2 * pairs]))
-        at = np.flatnonzero(inside & (held[bucket] >= cut))
-        if not len(at):
+        bucket[(left == end) | (right == end)] = 0
+        held = np.bincount(bucket, minlength=1 << 20)
+        held[0] = 0
+        cut = max(least, int(np.partition(held, len(held) - pairs)[len(held) - pairs]))
+        full = np.flatnonzero(held >= cut)
+        if not len(full):
             break
+        slot = np.full(1 << 20, -1, np.int32)
+        slot[full] = np.arange(len(full))
+        k = slot[bucket]
+        at = np.flatnonzero(k >= 0)
+        k = k[at]
         pair = left[at].astype(np.uint64) << np.uint64(32) | right[at]
-        values, counts = np.unique(pair, return_counts=True)
-        best = np.lexsort((values, -counts))[:pairs]
-        best = np.sort(values[best[counts[best] >= least]])
+        stands = np.empty(len(full), np.uint64)
+        stands[k] = pair
+        own = pair == stands[k]
+        at, k = at[own], k[own]
+        counts = np.bincount(k, minlength=len(full))
+        # the most frequent of them, numbered by their pair
+        best = np.lexsort((stands, -counts))[:pairs]
+        best = best[counts[best] >= least]
         if not len(best):
             break
-        k = np.minimum(np.searchsorted(best, pair), len(best) - 1)
-        hit = best[k] == pair
-        at, k = at[hit], k[hit]
+        best = best[np.argsort(stands[best])]
+        number = np.full(len(full), -1, np.int32)
+        number[best] = np.arange(len(best))
+        k = number[k]
+        at, k = at[k >= 0], k[k >= 0]
         # of overlapping places every other one from the left is replaced
         breaks = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
         run = np.repeat(breaks, np.diff(np.append(breaks, len(at))))
         take = (np.arange(len(at)) - run) % 2 == 0
         at, k = at[take], k[take]
-        seq = seq.copy()
-        seq[at] = base + made + k
+        seq[at] = (base + made + k).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        rules.append(np.stack([best >> np.uint64(32), best & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        rules.append(np.stack([stands[best] >> np.uint64(32), stands[best] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         made += len(best)
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
 
@@ -175,6 +191,10 @@ class Shard:
         """Ids of document ``k``."""
         return expand(self.symbols[int(self.first[k]) : int(self.first[k + 1])], self.rules, self.base)
 
+    def documents(self) -> list[np.ndarray]:
+        """Ids of all documents."""
+        return np.split(expand(self.symbols, self.rules, self.base), np.cumsum(self.sizes.astype(np.int64))[:-1])
+
     def ids_at(self, k: int, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop`` of document ``k``; only symbols that overlap are expanded."""
         s = self.symbols[int(self.first[k]) : int(self.first[k + 1])].astype(np.int64)
@@ -260,13 +280,13 @@ def read_shards(manifest: DataFrame, folder: str, end_id: int) -> DataFrame:
             for name, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 shard = Shard(common.get_file(folder, name))
                 starts = start + np.concatenate([[0], np.cumsum(shard.sizes.astype(np.int64))])
+                every = shard.documents()
                 for low in range(0, len(shard), common.BATCH_ROWS):
                     high = min(len(shard), low + common.BATCH_ROWS)
                     ids = []
-                    for k in range(low, high):
-                        x = shard.document(k).copy()
+                    for x in every[low:high]:
                         x[-1] = end_id
-                        ids.append(x.astype("<u4").tobytes())
+                        ids.append(x.tobytes())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(shard.doc_ids[low:high], pa.int64(), mask=shard.null[low:high].astype(bool)), pa.array(starts[low:high]), pa.array(ids, pa.binary())],
                         ["id", "start", "ids"],
