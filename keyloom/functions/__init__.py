@@ -1 +1 @@
-"""Part of keyloom."""
+"""Scalar functions as column expressions."""

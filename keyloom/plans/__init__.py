@@ -1,9 +1,9 @@
 """Registered queries of the localization engine."""
 
-from . import engine
+from . import engine, library
 
 FLAGSHIP = "O01_all_issues"
-_MODULES = (engine,)
+_MODULES = (engine, library)
 
 
 def queries() -> dict:

@@ -1 +1 @@
-"""Part of keyloom."""
+"""Facts from files: catalogs and source code."""

@@ -1 +1 @@
-"""Part of keyloom."""
+"""Incremental operators on streams of edits."""
