@@ -197,9 +197,3 @@ def W07_diagnostics_of_a_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def C11_flatten_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = facts.load(spark, sf_dir, "events").select(F.col("event_id").alias("file_id"), F.col("props").alias("text"))
     return catalog.extract(e).select("file_id", "key", "value", "value_kind")
-
-
-@query("SELECT page_id, CAST(count(*) AS BIGINT) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"')) FROM pages) GROUP BY page_id")
-def S15_markup_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = facts.load(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="'), F.lit(0))).alias("x"))
-    return p.groupBy("page_id").agg(F.count("*").alias("links"))
