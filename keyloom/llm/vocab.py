@@ -16,17 +16,18 @@ import regex
 
 #: White space as the vocabulary files' regular expressions understand it.
 _WS = r"\t-\r \x85\xa0  -     　"
-#: Texts of these characters alone go to the standard scanner, in which
-#: ``[^\W\d_]`` is then a letter and ``\d`` a number; others to the general one.
-_PLAIN = re.compile(r"[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞€]*")
+#: Texts of these characters alone go to the standard scanner, whose letters and digits
+#: are then those of ``LETTER`` and 0-9; others to the general one.
+_PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞€]*")
+_LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 
 # letters come first: no other alternative begins with one, and most pre-tokens are words
 _SPACED = (
-    re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]+|_+)+|\s+(?!\S)|\s+"),
+    re.compile(rf" ?[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+"),
     regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"),
 )
 _WORDS = (
-    re.compile(r"[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\s\w]+|_+)+"),
+    re.compile(rf"[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\s{_LETTER}0-9]+"),
     regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WS}\p{{L}}\p{{N}}]+"),
 )
 
