@@ -167,3 +167,43 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_secret_scan": op4_secret_scan}
+
+
+def _matches(name: str, pattern: str) -> str:
+    """SQL of (doc_id, s, e, t) of the matches of a pattern."""
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"""{name} AS (
+  SELECT doc_id, CAST(list_sum([length(x) FOR x IN p[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS BIGINT) AS s, m[i] AS t
+  FROM (SELECT doc_id, m, string_split_regex(body, {quoted}) AS p, unnest(generate_series(1, len(m))) AS i
+        FROM (SELECT doc_id, body, regexp_extract_all(body, {quoted}, 0) AS m FROM d) WHERE len(m) > 0))"""
+
+
+def _oracle() -> str:
+    found = ", ".join(_matches(n, p) for n, p in (("a", ASSIGN), ("k", ACCESS), ("h", HEX), ("u", NAME), ("m", MIXED), ("l", ENDPOINT)))
+    value = "length(regexp_extract(t, '" + ASSIGN.replace("'", "''") + "', 2))"
+    near = f"x.doc_id = w.doc_id AND x.s - w.e <= {SCOPE} AND w.s - x.e <= {SCOPE} AND NOT (x.s < w.e AND w.s < x.e)"
+    kinds = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents), {found},
+parts AS (
+  SELECT doc_id, s, s + length(t) AS e, 'secret' AS role, CASE WHEN {value} >= {ASSIGN_LEAST} THEN 0 ELSE 3 END AS r FROM a
+  UNION ALL SELECT doc_id, s, s + length(t), 'id', CASE WHEN length(t) >= {ACCESS_LEAST} THEN 1 ELSE 4 END FROM k
+  UNION ALL SELECT doc_id, s, s + length(t), 'secret', 2 FROM h
+  UNION ALL SELECT doc_id, s, s + length(t), 'id', 5 FROM u
+  UNION ALL SELECT doc_id, s, s + length(t), 'secret', 6 FROM m WHERE regexp_matches(t, '[0-9]') AND regexp_matches(t, '[A-Za-z]') AND NOT regexp_matches(t, '^[0-9a-f]+$') AND NOT starts_with(t, 'AKIA')
+  UNION ALL SELECT doc_id, s, s + length(t), 'endpoint', 7 FROM l),
+weak AS (
+  SELECT DISTINCT doc_id, s, e, r FROM parts w WHERE r > 2 AND
+    (role = 'secret' OR EXISTS (SELECT 1 FROM parts x WHERE {near} AND x.role = 'secret')) AND (role = 'id' OR EXISTS (SELECT 1 FROM parts x WHERE {near} AND x.role = 'id'))
+    AND NOT EXISTS (SELECT 1 FROM parts b WHERE b.r <= 2 AND b.doc_id = w.doc_id AND b.s < w.e AND w.s < b.e)),
+spans AS (SELECT doc_id, s, e, r FROM parts WHERE r <= 2 UNION ALL SELECT doc_id, s, e, r FROM weak),
+listed AS (
+  SELECT doc_id, count(*) FILTER (r = 0) AS n_assign, count(*) FILTER (r = 1) AS n_access, count(*) FILTER (r = 2) AS n_hex,
+    coalesce(string_agg(({kinds})[r + 1] || ':' || s || ':' || e, ',' ORDER BY s, r, e) FILTER (r <= 2), '') AS base, string_agg(({kinds})[r + 1] || ':' || s || ':' || e, ',' ORDER BY s, r, e) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (doc_id)
+"""
+
+
+ORACLES = {"op4_secret_scan": _oracle()}
