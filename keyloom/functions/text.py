@@ -67,4 +67,4 @@ def key_path(key: Column) -> Column:
 def coerce_severity(value: Column) -> Column:
     """error, warning, info or off of the aliases that configurations use."""
     low = F.lower(value)
-    return F.when(low.isin("error", "2", "true"), "error").when(low.isin("warn", "warning", "1"), "warning").when(low.isin("info", "information"), "info").when(low.isin("off", "0", "false", "none"), "off")
+    return F.when(low.isin("error", "2", "true"), "error").when(low.isin("warn", "warning", "1"), "warning").when(low == "info", "info").when(low.isin("off", "0", "false"), "off")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import locales, text
-from ..operators import graph, issues, policy
+from ..operators import graph, issues, matching, policy, settings
 from ..sources import catalog
 from ..streaming import edits
 from . import engine, facts
@@ -101,7 +101,7 @@ def C14_score_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def J00_untranslated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     lit = facts.literals(spark, sf_dir).withColumn("confidence", text.score_literal(F.col("text"))).where("confidence is not null")
     lit = lit.select("text", F.col("file").alias("rel_path"), "line", F.lit(1).cast("long").alias("column"), "confidence", F.lit(None).cast("string").alias("context"), F.lit(None).cast("string").alias("attribute"))
-    return issues.untranslated(lit, engine.matching.MatchOptions(min_confidence=0.7)).select("type", "severity", "message", "key", "rel_path", "line")
+    return issues.untranslated(lit, matching.MatchOptions(min_confidence=0.7)).select("type", "severity", "message", "key", "rel_path", "line")
 
 
 @query(
@@ -197,3 +197,84 @@ def W07_diagnostics_of_a_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def C11_flatten_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = facts.load(spark, sf_dir, "events").select(F.col("event_id").alias("file_id"), F.col("props").alias("text"))
     return catalog.extract(e).select("file_id", "key", "value", "value_kind")
+
+
+# ---- identities, scopes and settings
+
+
+@query(
+    f"""WITH {facts.DEFINITIONS} SELECT ord, CASE WHEN namespace IS NULL THEN key ELSE namespace || chr(0) || key END = key AS plain,
+  coalesce(locale, '*') || '::' || coalesce(namespace, '*') || '::' || key AS full_key FROM definitions"""
+)
+def C01_C02_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = facts.definitions(spark, sf_dir)
+    return d.select("ord", (matching.logical_key(engine.OPTIONS) == F.col("key")).alias("plain"), matching.full_key().alias("full_key"))
+
+
+@query(
+    f"""WITH {facts.USAGES} SELECT namespace, array_to_string(CASE WHEN namespace IS NULL THEN ['ns0', 'ns4'] WHEN namespace = 'ns4' THEN ['ns4'] ELSE [namespace, 'ns4'] END, '|') AS resolved, count(*) AS n FROM usages GROUP BY ALL"""
+)
+def C04_resolved_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = F.array_join(matching.resolve_namespaces(engine.OPTIONS), "|").alias("resolved")
+    return facts.usages(spark, sf_dir).select("namespace", resolved).groupBy("namespace", "resolved").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {facts.DEFINITIONS} SELECT ord, key, locale FROM definitions WHERE confidence >= 0.7 AND (locale IS NULL OR locale = 'de')")
+def F01_F02_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = matching.MatchOptions(strict_locale=True, default_locale="de", min_confidence=0.7)
+    return matching.in_scope(matching.confident(facts.definitions(spark, sf_dir), options), options).select("ord", "key", "locale")
+
+
+@query(
+    f"""WITH {facts.LITERALS}, x AS (SELECT file, line, nullif(regexp_replace(regexp_replace(text, '[{text.WS}]+', ' ', 'g'), '^[{text.WS}]+|[{text.WS}]+$', '', 'g'), '') AS t FROM literals)
+SELECT file, line, CASE WHEN length(t) > 120 THEN left(t, 119) || '…' ELSE t END AS display FROM x"""
+)
+def C15_C16_display_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.literals(spark, sf_dir).select("file", "line", text.truncate(text.collapse(F.col("text")), 120).alias("display"))
+
+
+@query(
+    """SELECT c_mktsegment AS field, max_by(CAST(c_nationkey AS VARCHAR), ROW(c_acctbal, -c_custkey)) AS value, max_by(c_name, ROW(c_acctbal, -c_custkey)) AS source, count(DISTINCT c_nationkey) - 1 AS conflicts
+FROM customer GROUP BY c_mktsegment"""
+)
+def A14_merge_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = facts.load(spark, sf_dir, "customer")
+    return settings.merge(c.select(F.col("c_mktsegment").alias("field"), F.col("c_nationkey").cast("string").alias("value"), F.col("c_name").alias("source"), F.col("c_acctbal").alias("priority"), F.col("c_custkey").alias("ord")))
+
+
+@query(
+    f"""WITH {facts.DEFINITIONS}, p AS (SELECT DISTINCT rel_path FROM definitions)
+SELECT rel_path, CASE WHEN regexp_matches(rel_path, '(^|/)f7\.json$') THEN false WHEN regexp_matches(rel_path, '^locales/2/') THEN true WHEN regexp_matches(rel_path, '(^|/)f[^/]\.json$') THEN true ELSE false END AS ignored FROM p"""
+)
+def F08_gitignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = ["# build", "f?.json", "locales/2/", "!f7.json"]
+    return facts.definitions(spark, sf_dir).select("rel_path").distinct().select("rel_path", settings.gitignored(F.col("rel_path"), rules).alias("ignored"))
+
+
+@query(
+    """WITH b AS (SELECT c_custkey AS id, c_nationkey AS file, c_custkey % 3 AS name, c_custkey AS decl, c_custkey + (c_custkey % 7) * 60 AS scope_end FROM customer),
+u AS (SELECT o_orderkey AS use_id, o_custkey % 25 AS file, o_orderkey % 3 AS name, o_custkey AS pos FROM orders)
+SELECT use_id, max_by(b.id, ROW(b.decl, b.id)) AS binding_id FROM u LEFT JOIN b ON b.file = u.file AND b.name = u.name AND b.decl <= u.pos AND u.pos <= b.scope_end GROUP BY use_id"""
+)
+def J09_binding_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = facts.load(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("binding_id"), F.col("c_nationkey").cast("long").alias("file"), F.expr("c_custkey % 3").alias("name"), F.col("c_custkey").alias("decl_pos"), F.expr("c_custkey + (c_custkey % 7) * 60").alias("scope_end")
+    )
+    u = facts.load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("use_id"), F.expr("o_custkey % 25").alias("file"), F.expr("o_orderkey % 3").alias("name"), F.col("o_custkey").alias("pos"))
+    return settings.binding_at(u, b)
+
+
+@query(
+    f"""WITH {facts.DEFINITIONS}, x AS (SELECT DISTINCT CASE WHEN ord % 3 = 0 THEN 'ns1:' || key WHEN ord % 3 = 1 THEN 'http://' || key ELSE key END AS key FROM definitions)
+SELECT key, CASE WHEN key LIKE 'ns1:%' THEN 'ns1' END AS ns, CASE WHEN key LIKE 'ns1:%' THEN substr(key, 5) ELSE key END AS local FROM x"""
+)
+def C20_inline_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = F.expr("case when ord % 3 = 0 then concat('ns1:', key) when ord % 3 = 1 then concat('http://', key) else key end").alias("key")
+    ns, local = settings.split_inline(F.col("key"))
+    return facts.definitions(spark, sf_dir).select(given).distinct().select("key", ns.alias("ns"), local.alias("local"))
+
+
+@query("SELECT s, CASE WHEN lower(s) IN ('error', '2', 'true') THEN 'error' WHEN lower(s) IN ('warn', 'warning', '1') THEN 'warning' WHEN lower(s) IN ('0', 'off', 'false') THEN 'off' WHEN lower(s) = 'info' THEN 'info' END AS severity, count(*) AS n FROM (SELECT (['Error', '1', 'WARN', 'off', 'info', 'true', 'x'])[(o_orderkey % 7) + 1] AS s FROM orders) GROUP BY ALL")
+def C24_severity_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = facts.load(spark, sf_dir, "orders").select(F.expr("element_at(array('Error', '1', 'WARN', 'off', 'info', 'true', 'x'), cast(o_orderkey % 7 as int) + 1)").alias("s"))
+    return o.select("s", text.coerce_severity(F.col("s")).alias("severity")).groupBy("s", "severity").agg(F.count("*").alias("n"))
