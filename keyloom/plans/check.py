@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import coverage, issues, policy
 from ..operators.matching import MatchOptions
-from ..sources import project
+from ..sources import code, project
+from ..storage import cut
 
 
-def check(spark: SparkSession, root: str, options: MatchOptions | None = None, rules: dict[str, str] | None = None, ignore: list[str] | None = None) -> DataFrame:
-    """Issues of a project below ``root``.
+def check(spark: SparkSession, root: str, options: MatchOptions | None = None, rules: dict[str, str] | None = None, ignore: list[str] | None = None, marker: str = "keyloom") -> DataFrame:
+    """Issues of a project below ``root``; comments that begin with the marker suppress some.
 
-    Catalogs whose namespace comes from a file name alone are matched by key as well, where no usage names a namespace."""
+    Files are read and scanned once: what they hold is written to the shared folder."""
     files = project.scan(spark, root, ignore)
-    definitions = project.definitions(files)
-    static, dynamic = project.usages(files)
+    definitions = cut(project.definitions(files))
+    static, dynamic = map(cut, project.usages(files))
     found = issues.analyze(definitions, static, dynamic, None, options or MatchOptions())
+    marks = code.extract_directives(files.where(F.col("rel_path").rlike(project.CODE)), marker)
+    found = policy.suppressed(cut(found), marks).where("not suppressed").drop("suppressed")
     return issues.ordered(policy.severities(found, rules) if rules else found)
 
 

@@ -243,7 +243,7 @@ def A14_merge_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {facts.DEFINITIONS}, p AS (SELECT DISTINCT rel_path FROM definitions)
+    rf"""WITH {facts.DEFINITIONS}, p AS (SELECT DISTINCT rel_path FROM definitions)
 SELECT rel_path, CASE WHEN regexp_matches(rel_path, '(^|/)f7\.json$') THEN false WHEN regexp_matches(rel_path, '^locales/2/') THEN true WHEN regexp_matches(rel_path, '(^|/)f[^/]\.json$') THEN true ELSE false END AS ignored FROM p"""
 )
 def F08_gitignore(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,3 +117,26 @@ def extract(files: DataFrame) -> DataFrame:
 
     schema = "rel_path string, kind string, key string, namespace string, library string, confidence double, start bigint, end bigint, prefix string, suffix string, line bigint, column bigint"
     return files.select("rel_path", "text").mapInPandas(run, schema)
+
+
+_RULES = ("missing-key", "unused-key", "duplicate-key", "untranslated-text")
+
+
+def directives(text: str, marker: str) -> Iterator[tuple[int, str, list[str]]]:
+    """(line, kind, rules) of the suppression comments of a file; strings don't count, unknown rules make one inert."""
+    comments = "".join(m[0] if m[0][:2] in ("//", "/*", "<!") else re.sub(r"[^\n]", " ", m[0]) for m in re.finditer(rf"{_TOKEN.pattern}|[^\"'`/<]+|.", text, re.S))
+    for m in re.finditer(rf"{re.escape(marker)}-(ignore-next-line|ignore|disable|enable)\b([^*\n]*)", comments):
+        rules = [r for r in re.split(r"[\s,]+", m[2].replace("-->", " ").split("--")[0].strip()) if r]
+        if all(r in _RULES for r in rules):
+            yield comments.count("\n", 0, m.start()) + 1, {"ignore-next-line": "ignore-next"}.get(m[1], m[1]), rules
+
+
+def extract_directives(files: DataFrame, marker: str) -> DataFrame:
+    """Suppression comments of files (rel_path, text), as ``policy.suppressed`` takes them."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(p, *d) for p, t in zip(part["rel_path"], part["text"]) for d in directives(t or "", marker)]
+            yield pd.DataFrame(rows, columns=["rel_path", "line", "kind", "rules"])
+
+    return files.select("rel_path", "text").mapInPandas(run, "rel_path string, line bigint, kind string, rules array<string>")

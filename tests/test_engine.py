@@ -209,10 +209,19 @@ const el = <FormattedMessage id="fm.id" />; const tr = <Trans i18nKey="tr.key">x
     assert {(pre, suf) for k, _, _, pre, suf in got if k == "dynamic"} == {("pre.", ".post"), ("auth.", "")}
 
 
+def test_suppression_comments():
+    source = """// keyloom-disable missing-key
+a = "keyloom-enable"; /* keyloom-enable */
+// keyloom-ignore-next-line unused-key, missing-key
+// keyloom-ignore no-such-rule
+"""
+    assert list(code.directives(source, "keyloom")) == [(1, "disable", ["missing-key"]), (2, "enable", []), (3, "ignore-next", ["unused-key", "missing-key"])]
+
+
 def test_project_from_files_to_issues(spark, tmp_path):
     files = {
         "package.json": "{}", "locales/en.json": '{"auth": {"login": "Log in", "logout": "Log out"}}', "locales/fa.json": '{"auth": {"login": "a", "logout": "b"}}',
-        "src/Login.tsx": 'const { t } = useTranslation();\nexport const A = () => <p>{t("auth.login")}{t("auth.nonexistent")}</p>;', "node_modules/x/locales/en.json": '{"skip": "x"}',
+        "src/Login.tsx": 'const { t } = useTranslation();\nexport const A = () => <p>{t("auth.login")}{t("auth.nonexistent")}</p>;\n// keyloom-ignore-next-line\nt("auth.hidden");', "node_modules/x/locales/en.json": '{"skip": "x"}',
     }
     for name, body in files.items():
         path = tmp_path / name
