@@ -26,9 +26,9 @@ BATCH_ROWS = 2000
 BATCH_BYTES = "32m"
 
 
-def tune(spark: SparkSession) -> None:
+def tune(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound what one Arrow batch brings into a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
@@ -79,6 +79,43 @@ def partitions_for(df: DataFrame, per_partition: int, least: int = 0) -> int:
     return max(least, session, min(200_000, -(-size // per_partition)) if size < 1 << 60 else 0)
 
 
+def pick_rows(docs: DataFrame, rows: DataFrame, keep: bool) -> DataFrame:
+    """The rows of a scan whose number (``monotonically_increasing_id``, column row of ``rows``) is listed, or isn't.
+
+    The lists are written to the shared folder, one folder for each partition of the scan, and each partition reads its
+    own: the rows themselves, with their texts, are never exchanged."""
+    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
+    listed = rows.select("row", F.shiftright("row", 33).alias("part"))
+    listed.repartition("part").write.partitionBy("part").parquet(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        known = pa.array(read_part(folder, TaskContext.get().partitionId()), pa.int64())
+        for b in batches:
+            hit = pc.is_in(b.column(b.num_columns - 1), known)
+            yield b.select(range(b.num_columns - 1)).filter(hit if keep else pc.invert(hit))
+
+    tune(spark)
+    return docs.select("*", F.monotonically_increasing_id().alias(f"row_{uuid.uuid4().hex}")).mapInArrow(run, docs.schema)
+
+
+def read_part(folder: str, part: int) -> list[int]:
+    """Column row of a partition's folder, or nothing if there is none."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, path = open_fs(folder)
+    where, out = f"{path}/part={part}", []
+    if store.get_file_info(where).type != fs.FileType.NotFound:
+        for f in store.get_file_info(fs.FileSelector(where)):
+            if f.path.endswith(".parquet"):
+                with store.open_input_file(f.path) as source:
+                    out += pq.read_table(source, columns=["row"]).column(0).to_pylist()
+    return out
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[str]:
     for x in column.to_pylist():
         yield x or ""

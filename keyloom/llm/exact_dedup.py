@@ -258,21 +258,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, whole, one for each distinct text: that of the smallest id, and of
     repeated rows the first in the input's order."""
-    spark = docs.sparkSession
     owned = common.materialize(owners(docs, id_col, text_col))
     got = _keyed(docs, id_col, text_col)
     kind = got.schema["id"].dataType.simpleString()
     rows = got.mapInArrow(_digests, f"row bigint, id {kind}, n bigint, sha binary")
-    kept = (
-        rows.join(owned, ["n", "sha"])
-        .where(F.col("id").eqNullSafe(F.col("keep_id")))
-        .groupBy("n", "sha")
-        .agg(F.min("row").alias("__row"))
-        .select("__row")
-    )
-    kept = common.materialize(kept)
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    return marked.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = rows.join(owned, ["n", "sha"]).where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("n", "sha").agg(F.min("row").alias("row"))
+    return common.pick_rows(docs, kept, keep=True)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -349,7 +349,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     # every pair is verified on whole texts
     asked = proposed.select(F.col("a").alias("row")).union(proposed.select("b")).distinct()
-    held_texts = common.materialize(texts.join(asked, "row", "left_semi"))
+    held_texts = common.materialize(common.pick_rows(texts, asked, keep=True))
     left = held_texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
     right = held_texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
     pairs = proposed.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -359,9 +359,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"))
     members = roots.join(ids, roots.node == ids.row).select("root", "node", "id")
     kept = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"))
-    gone = members.join(kept, "root").where(F.col("node") != F.col("best.node")).select(F.col("node").alias("__row"))
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    return marked.join(common.materialize(gone), "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = members.join(kept, "root").where(F.col("node") != F.col("best.node")).select(F.col("node").alias("row"))
+    return common.pick_rows(docs, gone, keep=False)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
