@@ -53,9 +53,11 @@ LENGTH, GRAM = 50, 30
 SIDE = LENGTH - GRAM  # bytes of context before an anchor, and after it
 WIDTH = LENGTH + SIDE  # bytes of a whole context
 #: Bytes of text of a chunk and of a piece of a long document.
-CHUNK, PIECE = 2 << 20, 1 << 20
+CHUNK, PIECE = 1 << 20, 1 << 19
 #: Input bytes of a bucket, and contexts whose suffixes are sorted at once.
-BUCKET_BYTES, SLICE = 8 << 20, 20_000
+BUCKET_BYTES, SLICE = 4 << 20, 10_000
+#: Rows of an Arrow batch: packed lists are long.
+ROWS = 200
 PAD = 0xFF  # isn't in UTF-8
 LAST = (1 << 63) - 1  # the place of a null id
 
@@ -442,7 +444,7 @@ def _remove(decided: str, compared: str):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, spans: array of removed (start, end) bytes, kept: the remaining bytes) of every row."""
     spark = docs.sparkSession
-    common.tune(spark)
+    common.tune(spark, ROWS)
     base = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).cast("binary").alias("text"))
     buckets = common.partitions_for(docs, BUCKET_BYTES)
     folder = common.shared_dir(spark)
