@@ -39,6 +39,8 @@ from . import common
 REVISIT_BYTES = 100
 #: Compressed bytes after which a new file is begun, and input bytes of a partition.
 ROLL_BYTES, PARTITION_BYTES = 64 << 20, 32 << 20
+#: Bytes that are decompressed at once.
+WINDOW = 16 << 10
 #: Every record's date, so that archives depend on their input alone.
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -86,10 +88,17 @@ def record(page_id: int | None, row: int, url: str | None, payload: bytes, refer
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of the gzip members of a file; lengths and block digests are verified."""
-    while data:
-        d = zlib.decompressobj(31)
-        raw = d.decompress(data) + d.flush()
-        data = d.unused_data
+    view, at = memoryview(data), 0
+    while at < len(view):
+        d, parts = zlib.decompressobj(31), []
+        while not d.eof:
+            # a window at a time: what lies behind the member is handed back as a copy
+            window = view[at : at + WINDOW]
+            if not window:
+                raise ValueError("the last record is cut off")
+            parts.append(d.decompress(window))
+            at += len(window) - len(d.unused_data)
+        raw = b"".join(parts)
         top, _, rest = raw.partition(b"\r\n\r\n")
         lines = top.decode("utf-8").split("\r\n")
         head = dict(x.split(": ", 1) for x in lines[1:])
