@@ -64,6 +64,7 @@ LAST = (1 << 63) - 1  # the place of a null id
 _RNG = np.random.default_rng(50)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
+_SALT = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
@@ -124,7 +125,8 @@ class Chunk:
         self.low = np.maximum(self.at - SIDE, self.starts[self.piece]) if len(self.at) else self.at
         self.high = np.minimum(self.at + LENGTH, self.ends[self.piece]) if len(self.at) else self.at
         if len(self.at):
-            self.hash = grams[self.at]
+            # mixed anew: the smallest of many hashes are all small, and would meet in a few buckets
+            self.hash = _mix(grams[self.at] ^ _SALT)
             context = (sums[self.high] - sums[self.low]) * Chunk.inverses[self.low]
             clipped = ((self.at - self.low) * (WIDTH + 1) + (self.high - self.at)).astype(np.uint64)
             self.context = _mix(context + _mix(clipped + np.uint64(1)))
