@@ -17,9 +17,12 @@ each fingerprint and loses no link; a task passes on a spanning star of what
 it has linked.
 
 ``near_duplicates`` works on texts of a shingle similarity (Jaccard) of at least
-``similarity``: besides the fingerprint of all shingles, lanes of fingerprints
-of sampled shingles (the three smallest of a seeded order) propose pairs; every
-pair is verified on the full sets of shingles.
+``similarity``: besides the Golay keys of the fingerprint of all shingles, lanes of
+fingerprints of sampled shingles (the three smallest of a seeded order) are keys. All
+rows of a key meet one another but for pairs that their sizes or parity bits rule out
+(neither loses a similar pair) or that verified pairs connect already; every pair is
+verified on the full sets of shingles. Rows of equal sets are folded by a 128-bit digest.
+A bucket's pairs grow by the square of its rows; large ones are dealt to tasks in blocks.
 
 Defined cases: a null text is the empty text; texts without words have the
 fingerprint zero and link to one another and to what lies within two bits of
@@ -38,7 +41,7 @@ from itertools import accumulate, combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -52,6 +55,10 @@ GOLAY = 0b110001110101
 LARGE = 48
 #: Lanes of ``near_duplicates`` and shingles sampled in each.
 LANES, SAMPLED = 16, 3
+#: Parity bits of a set of shingles at most.
+MOST_BITS = 1 << 16
+#: Rows of a block of a bucket, pairs that each row proposes at first, and rows of blocks that one partition holds.
+BLOCK, NEAREST, ROWS_A_PARTITION = 1024, 4, 100_000
 #: Rows of keys that one partition holds.
 KEYS_A_PARTITION = 2_000_000
 
@@ -263,45 +270,140 @@ def simhash_components(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id"
 # ---- near-duplicates by similarity of the sets of shingles
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """Which of at least twice as many bits as there are hashes (64 to 65,536) are hit an odd number of times.
+
+    Two sets differ in at least as many elements as their bits differ; halves of the bits may be folded by exclusive or."""
+    width = min(MOST_BITS, max(64, 1 << (2 * len(hashes) - 1).bit_length())) if len(hashes) else 64
+    hit = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(hit.astype(np.uint8)).tobytes()
+
+
 def _views(shingle: int):
-    """(row, lane, fp) of each text: the fingerprint of all shingles as lane -1, and those of the samples."""
+    """(row, size and digest of its set of shingles, parity bits, keys) of each text; keys are the Golay keys of its
+    fingerprint and those of the samples."""
     rng = np.random.default_rng(SEED)
     odd = rng.integers(0, 1 << 63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     xor = rng.integers(0, 1 << 63, LANES, dtype=np.uint64)
+    lane = rng.integers(0, 1 << 63, LANES + 1, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, lanes, fps, size = [], [], [], []
-            for row, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            sizes, digests, bits, prints, samples = [], [], [], [], []
+            for x in b.column(1).to_pylist():
                 h = shingle_hashes(words_of(x or b""), shingle)
-                fps.append(np.array([majority(h)], np.uint64))
+                prints.append(majority(h))
                 h = np.unique(h)
-                lanes.append(-1)
-                n = 1
-                if len(h):
-                    x = (h[None, :] ^ xor[:, None]) * odd[:, None]
-                    x ^= x >> np.uint64(31)
-                    take = min(SAMPLED, len(h))
-                    if len(h) > take:
-                        x = np.take_along_axis(x, np.argpartition(x, take - 1, axis=1)[:, :take], 1)
-                    x.sort(axis=1)
-                    if take == 3:
-                        x = (x[:, 0] & x[:, 1]) | (x[:, 0] & x[:, 2]) | (x[:, 1] & x[:, 2])
-                    else:
-                        x = np.bitwise_xor.reduce(x, axis=1)
-                    fps.append(x)
-                    lanes.extend(range(LANES))
-                    n += LANES
-                rows.extend([row] * n)
-                size.extend([len(h)] * n)
+                sizes.append(len(h))
+                digests.append(xxhash.xxh3_128_digest(h.tobytes(), SEED))
+                bits.append(parity(h))
+                if not len(h):
+                    samples.append(h)
+                    continue
+                x = (h[None, :] ^ xor[:, None]) * odd[:, None]
+                x ^= x >> np.uint64(31)
+                take = min(SAMPLED, len(h))
+                if len(h) > take:
+                    x = np.take_along_axis(x, np.argpartition(x, take - 1, axis=1)[:, :take], 1)
+                x.sort(axis=1)
+                if take == 3:
+                    x = (x[:, 0] & x[:, 1]) | (x[:, 0] & x[:, 2]) | (x[:, 1] & x[:, 2])
+                else:
+                    x = np.bitwise_xor.reduce(x, axis=1)
+                samples.append(x ^ lane[:LANES])
+            golay, at = golay_keys(np.array(prints, np.uint64))
+            order = np.argsort(at, kind="stable")
+            of_print = np.split(golay[order] ^ lane[LANES], np.cumsum(np.bincount(at, minlength=len(prints)))[:-1])
+            keys = [np.unique(np.concatenate(x)) for x in zip(samples, of_print)]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), pa.array(lanes, pa.int32()), pa.array(np.concatenate(fps).view(np.int64)), pa.array(size, pa.int32())],
-                ["row", "lane", "fp", "size"],
+                [b.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys).view(np.int64)))],
+                ["row", "size", "digest", "bits", "keys"],
             )
 
     return run
 
 
+def candidates(rows: np.ndarray, sizes: np.ndarray, bits: list[bytes], roots: np.ndarray, blocks: np.ndarray, similarity: float, nearest: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the rows of one bucket that may be similar: of different roots (and blocks, if there are two), of sizes and
+    parity bits that don't rule it out. With ``nearest``, of each row's pairs those of the nearest bits and that with the first row."""
+    order = np.argsort([len(x) for x in bits], kind="stable")
+    rows, sizes, roots, blocks, bits = rows[order], sizes[order], roots[order], blocks[order], [bits[k] for k in order]
+    across, width, held = blocks.min() != blocks.max(), 0, None
+    share = (1 - similarity) / (1 + similarity)
+    lead = rows.argmin()
+    for k in range(len(rows) - 1):
+        if len(bits[k]) != width:  # this row's bits are the shortest of those left: the others are folded to them
+            width, start = len(bits[k]), k
+            held = np.empty((len(bits) - k, width // 8), np.uint64)
+            for j in range(k, len(bits)):
+                held[j - k] = np.bitwise_xor.reduce(fold(bits[j], width), axis=0)
+        other = slice(k + 1, None)
+        may = (np.minimum(sizes[other], sizes[k]) >= similarity * np.maximum(sizes[other], sizes[k])) & (roots[other] != roots[k])
+        if across:
+            may &= blocks[other] != blocks[k]
+        at = np.flatnonzero(may) + k + 1
+        if not len(at):
+            continue
+        apart = np.bitwise_count(held[at - start] ^ held[k - start]).sum(axis=1, dtype=np.int64)
+        near = apart <= share * (sizes[at].astype(np.int64) + int(sizes[k])) + 1e-6
+        at, apart = at[near], apart[near]
+        if nearest is not None and len(at) > nearest and k != lead:
+            at = np.union1d(at[np.argpartition(apart, nearest - 1)[:nearest]], at[at == lead])
+        if len(at):
+            yield np.full(len(at), rows[k]), rows[at]
+
+
+def fold(bits: bytes, width: int) -> np.ndarray:
+    """Parity bits as slices of ``width`` bytes: bit k of a longer set falls on bit k modulo the width."""
+    return np.frombuffer(bits, np.uint64).reshape(-1, width // 8)
+
+
+def _propose(similarity: float, nearest: int | None):
+    """Candidates of buckets whose rows come one after another: key, i, j, row, size, bits, root, block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        last = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            row, size, root, block, bits = (np.concatenate(x) for x in zip(*held))
+            for u, v in candidates(row, size, list(bits), root, block, similarity, nearest):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+
+        def collected(found: Iterator[pa.RecordBatch], out: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = sum(x.num_rows for x in out)
+            for x in found:
+                out.append(x)
+                n += x.num_rows
+                if n >= 100_000:
+                    yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+                    out.clear()
+                    n = 0
+
+        out: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, i, j, row, size, root, block = (b.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+            bits = np.empty(len(row), object)
+            bits[:] = b.column(7).to_pylist()
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(row)]):
+                name = (key[s], i[s], j[s])
+                if held and name != last:
+                    yield from collected(flush(), out)
+                    held.clear()
+                last = name
+                held.append((row[s:e], size[s:e], root[s:e], block[s:e], bits[s:e]))
+        if held:
+            yield from collected(flush(), out)
+        if out:
+            yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+
+    return run
+
+
 def _verify(shingle: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -330,31 +432,42 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     """The rows of ``docs``, whole, one of each group of near-duplicates: the one of the smallest id,
     of repeated ids the first in the input's order; a null id is larger than any other."""
     common.tune(docs.sparkSession)
+    session = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.monotonically_increasing_id().alias("row"), common.text_of(text_col).cast("binary").alias("text"))
-    views = common.materialize(texts.mapInArrow(_views(shingle), "row bigint, lane int, fp bigint, size int"))
-
-    # whole fingerprints: copies of one class meet at its first row; linked classes at theirs
-    whole = views.where("lane = -1")
-    classes = common.materialize(whole.groupBy("fp").agg(F.min("row").alias("first")))
-    edges = links(classes)
-    a, b = classes.select(F.col("fp").alias("u"), F.col("first").alias("row_u")), classes.select(F.col("fp").alias("v"), F.col("first").alias("row_v"))
-    of_prints = edges.join(a, "u").join(b, "v").select("row_u", "row_v")
-
-    # rows that share a lane's fingerprint: each with the first one, unless their sizes rule the similarity out
-    first = views.groupBy("lane", "fp").agg(F.min(F.struct("row", "size")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = F.least("size", "first.size") >= similarity * F.greatest("size", "first.size")
-    to_first = views.join(first, ["lane", "fp"]).where((F.col("row") > F.col("first.row")) & near).select(F.col("first.row").alias("row_u"), F.col("row").alias("row_v"))
-    proposed = to_first.union(of_prints)
-    proposed = common.materialize(proposed.select(F.least("row_u", "row_v").alias("a"), F.greatest("row_u", "row_v").alias("b")).where("a < b").distinct())
-
-    # every pair is verified on whole texts
-    asked = proposed.select(F.col("a").alias("row")).union(proposed.select("b")).distinct()
-    held_texts = common.materialize(common.pick_rows(texts, asked, keep=True))
-    left = held_texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
-    right = held_texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
-    pairs = proposed.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    verified = pairs.mapInArrow(_verify(shingle, similarity), "u bigint, v bigint")
-    roots = common.materialize(connected_components(verified))
+    views = common.materialize(texts.mapInArrow(_views(shingle), "row bigint, size int, digest binary, bits binary, keys array<bigint>"))
+
+    # rows of one set of shingles meet at the first of them, which stands for them
+    sets = common.materialize(views.groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("n")))
+    copies = views.select("row", "digest").join(sets.where("n > 1"), "digest").where("row > first").select(F.col("first").alias("u"), F.col("row").alias("v"))
+    copies = common.materialize(copies)
+    first = views.join(copies.select(F.col("v").alias("row")), "row", "left_anti")
+
+    # buckets of the rows of one key; a large one is cut into blocks, each pair of which is a task's
+    keyed = first.select("row", F.explode("keys").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    keyed = common.materialize(keyed.select("row", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    bits = common.materialize(first.join(keyed.select("row").distinct(), "row", "left_semi").select("row", "size", "bits"))
+    parts = max(session, -(-keyed.count() // ROWS_A_PARTITION))
+
+    def meet(edges: DataFrame, nearest: int | None) -> DataFrame:
+        """Verified pairs of rows that ``edges`` don't connect."""
+        roots = connected_components(edges).select(F.col("node").alias("row"), "root")
+        known = common.materialize(bits.join(roots, "row", "left").select("row", "size", F.coalesce("root", "row").alias("root"), "bits"))
+        block = keyed.withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
+        met = block.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "row", "block").join(known, "row")
+        met = met.select("key", "i", "j", "row", "size", "root", "block", "bits").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        proposed = common.materialize(met.mapInArrow(_propose(similarity, nearest), "a bigint, b bigint").distinct())
+        asked = proposed.select(F.col("a").alias("row")).union(proposed.select("b")).distinct()
+        held_texts = common.materialize(common.pick_rows(texts, asked, keep=True))
+        left = held_texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
+        right = held_texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
+        pairs = proposed.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+        return common.materialize(pairs.mapInArrow(_verify(shingle, similarity), "u bigint, v bigint"))
+
+    # the nearest first, then every pair that they leave unconnected; each is verified on whole texts
+    verified = meet(copies.limit(0), NEAREST)
+    verified = verified.union(meet(verified, None))
+    roots = common.materialize(connected_components(verified.union(copies)))
 
     ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"))
     members = roots.join(ids, roots.node == ids.row).select("root", "node", "id")

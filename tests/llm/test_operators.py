@@ -405,6 +405,21 @@ def test_near_duplicates_keep_one_of_each_group(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_a_template_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16, raising=False)
+    template = " ".join(f"t{k}" for k in range(854))
+    texts = [f"{template} {' '.join(f'first{j}' for j in range(150))}"]
+    for k in range(24):
+        own = [f"d{k}w{j}" for j in range(150)]
+        for c in range(1 + k % 3):  # copies of a similarity just above 0.8, far down the buckets of the template
+            texts.append(" ".join([template, *own[:50], *(f"{w}c{c}" for w in own[50:])]))
+    sets = [set(simhash.shingle_hashes(simhash.words_of(t.encode()), 5).tolist()) for t in texts]
+    root = components(range(len(sets)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = {x.doc_id for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == set(root.values()) and len(got) == 25
+
+
 def test_connected_components(spark):
     from keyloom.llm.graph import connected_components
 
