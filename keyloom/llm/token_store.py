@@ -3,7 +3,7 @@
 Documents are range-sorted by id; each partition encodes its documents and writes
 shards of about ``SHARD_IDS`` ids. A shard is compressed by itself: in each round
 the most frequent pairs of neighbouring ids are replaced by nonterminals (never
-across the end of a document), until no pair is frequent enough. The file holds the
+across the end of a document), until no pair has two places that don't overlap. The file holds the
 rules, the length of each nonterminal's expansion, the remaining symbols and where
 each document starts, so one document is decoded without the others
 (``Shard.document``), and a position inside it is found by expansion lengths
@@ -43,8 +43,8 @@ from .vocab import Memo, vocab
 SHARD_IDS = 2_000_000
 #: Input bytes of one partition of the sorted documents.
 PARTITION_BYTES = 16 << 20
-#: Rounds of replacing, pairs replaced in each, and the fewest places a pair must have.
-ROUNDS, PAIRS, LEAST = 4, 2048, 24
+#: The fewest places a pair must have to be replaced.
+LEAST = 2
 MEMO = 400_000
 MAGIC = b"KLRP1"
 
@@ -87,77 +87,101 @@ def library_encoder(path: str) -> LibraryEncoder:
 # ---- grammar
 
 
-def repair(ids: np.ndarray, base: int, end: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): rule k of two symbols is symbol ``base + k``; ``end`` is in no rule."""
+def repair(ids: np.ndarray, base: int, end: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules): rule k of two symbols is symbol ``base + k``; ``end`` is in no rule.
+
+    A round replaces the pairs of at least a quarter of the greatest count, where places overlap the more frequent
+    pair; rounds go on until no pair has ``least`` places that don't overlap."""
+    least = max(2, least)
     seq = ids.astype(np.uint32)
+    live = np.ones(max(0, len(seq) - 1), bool)  # places whose pair may still have that many
+    live &= (seq[:-1] != end) & (seq[1:] != end)
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        left, right = seq[:-1], seq[1:]
-        # pairs are counted in buckets of a hash; the fullest buckets stand for the pair seen last in each
-        bucket = (left * np.uint32(2654435761) + right * np.uint32(2246822519)) >> np.uint32(12)
-        bucket[(left == end) | (right == end)] = 0
-        held = np.bincount(bucket, minlength=1 << 20)
-        held[0] = 0
-        cut = max(least, int(np.partition(held, len(held) - pairs)[len(held) - pairs]))
-        full = np.flatnonzero(held >= cut)
-        if not len(full):
+    while True:
+        at = np.flatnonzero(live)
+        if len(at) < least:
             break
-        slot = np.full(1 << 20, -1, np.int32)
-        slot[full] = np.arange(len(full))
-        k = slot[bucket]
-        at = np.flatnonzero(k >= 0)
-        k = k[at]
-        pair = left[at].astype(np.uint64) << np.uint64(32) | right[at]
-        stands = np.empty(len(full), np.uint64)
-        stands[k] = pair
-        own = pair == stands[k]
-        at, k = at[own], k[own]
-        counts = np.bincount(k, minlength=len(full))
-        # the most frequent of them, numbered by their pair
-        best = np.lexsort((stands, -counts))[:pairs]
-        best = best[counts[best] >= least]
-        if not len(best):
+        left, right = seq[at], seq[at + 1]
+        # buckets of a hash bound the counts from above: only pairs in full enough ones are counted
+        bucket = (left * np.uint32(2654435761) + right * np.uint32(2246822519)) >> np.uint32(10)
+        held = np.bincount(bucket, minlength=1 << 22)
+        live[at[held[bucket] < least]] = False
+        floor = max(least, int(held.max()) // 4)
+        while True:
+            some = np.flatnonzero(held[bucket] >= floor)
+            where, pair = at[some], left[some].astype(np.uint64) << np.uint64(32) | right[some]
+            # of a run of one symbol every other place counts
+            twin = np.flatnonzero(left[some] == right[some])
+            breaks = np.flatnonzero(np.concatenate([[True], np.diff(where[twin]) != 1])) if len(twin) else twin
+            odd = (np.arange(len(twin)) - np.repeat(breaks, np.diff(np.append(breaks, len(twin))))) % 2 == 1
+            counted = np.ones(len(some), bool)
+            counted[twin[odd]] = False
+            where, pair = where[counted], pair[counted]
+            order = np.argsort(pair, kind="stable")
+            where, pair = where[order], pair[order]
+            starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.empty(0, np.int64)
+            counts = np.diff(np.append(starts, len(pair)))
+            live[where[np.repeat(counts < least, counts)]] = False
+            if floor == least or (counts >= floor).any():
+                break
+            floor = max(least, floor // 4)
+        chosen = np.flatnonzero(counts >= floor)
+        if not len(chosen):
             break
-        best = best[np.argsort(stands[best])]
-        number = np.full(len(full), -1, np.int32)
-        number[best] = np.arange(len(best))
-        k = number[k]
-        at, k = at[k >= 0], k[k >= 0]
-        # of overlapping places every other one from the left is replaced
-        breaks = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
-        run = np.repeat(breaks, np.diff(np.append(breaks, len(at))))
-        take = (np.arange(len(at)) - run) % 2 == 0
-        at, k = at[take], k[take]
-        seq[at] = (base + made + k).astype(np.uint32)
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq = seq[keep]
-        rules.append(np.stack([stands[best] >> np.uint64(32), stands[best] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        made += len(best)
+        # the more frequent pair has a place before its neighbours, so the most frequent one has all of its places
+        rank = np.zeros(len(counts), np.int32)
+        rank[chosen[np.lexsort((chosen, counts[chosen]))]] = np.arange(1, len(chosen) + 1)
+        ranks = np.zeros(len(seq) + 1, np.int32)
+        ranks[where + 1] = np.repeat(rank, counts)
+        mine = ranks[where + 1]
+        take = (mine > 0) & (mine > ranks[where]) & (mine > ranks[np.minimum(where + 2, len(seq))])
+        where, mine, pair = where[take], mine[take], pair[take]
+        used = np.bincount(mine, minlength=len(chosen) + 1)
+        keep = used[mine] >= least
+        where, pair = where[keep], pair[keep]
+        ruled, k = np.unique(pair, return_inverse=True)
+        seq[where] = (base + made + k).astype(np.uint32)
+        stay = np.ones(len(seq), bool)
+        stay[where + 1] = False
+        live = np.append(live, False)
+        live[where] = True
+        live[where[where > 0] - 1] = True
+        live[where] |= live[where + 1]
+        seq, live = seq[stay], live[stay][:-1]
+        live &= (seq[:-1] != end) & (seq[1:] != end)
+        rules.append(np.stack([ruled >> np.uint64(32), ruled & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        made += len(ruled)
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    out = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = (out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1)
+    out, todo = np.zeros(len(rules), np.int64), np.arange(len(rules))
+    while len(todo):
+        parts = rules[todo].astype(np.int64) - base
+        sizes = np.where(parts < 0, 1, out[np.maximum(parts, 0)])
+        known = (sizes > 0).all(axis=1)
+        out[todo[known]] = sizes[known].sum(axis=1)
+        todo = todo[~known]
     return out.astype(np.uint32)
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    seq = symbols.astype(np.uint32)
-    while len(seq) and (big := seq >= base).any():
-        size = 1 + big
-        ends = np.cumsum(size)
-        out = np.empty(ends[-1], np.uint32)
-        out[ends[~big] - 1] = seq[~big]
-        parts = rules[seq[big] - base]
-        out[ends[big] - 2], out[ends[big] - 1] = parts[:, 0], parts[:, 1]
-        seq = out
-    return seq
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    seq = symbols.astype(np.int64)
+    lengths = (expansion_lengths(rules, base) if lengths is None else lengths).astype(np.int64)
+    size = np.ones(len(seq), np.int64)
+    size[seq >= base] = lengths[seq[seq >= base] - base]
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint32)
+    while len(seq):
+        big = seq >= base
+        out[at[~big]] = seq[~big]
+        parts, at = rules[seq[big] - base].astype(np.int64), at[big]
+        first = np.ones(len(parts), np.int64)
+        nested = parts[:, 0] >= base
+        first[nested] = lengths[parts[nested, 0] - base]
+        seq, at = parts.T.reshape(-1), np.concatenate([at, at + first])
+    return out
 
 
 class Shard:
@@ -189,11 +213,11 @@ class Shard:
 
     def document(self, k: int) -> np.ndarray:
         """Ids of document ``k``."""
-        return expand(self.symbols[int(self.first[k]) : int(self.first[k + 1])], self.rules, self.base)
+        return expand(self.symbols[int(self.first[k]) : int(self.first[k + 1])], self.rules, self.base, self.lengths)
 
     def documents(self) -> list[np.ndarray]:
         """Ids of all documents."""
-        return np.split(expand(self.symbols, self.rules, self.base), np.cumsum(self.sizes.astype(np.int64))[:-1])
+        return np.split(expand(self.symbols, self.rules, self.base, self.lengths), np.cumsum(self.sizes.astype(np.int64))[:-1])
 
     def ids_at(self, k: int, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop`` of document ``k``; only symbols that overlap are expanded."""
@@ -203,7 +227,7 @@ class Shard:
         ends = np.cumsum(size)
         a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
         skipped = int(ends[a - 1]) if a else 0
-        return expand(s[a:b], self.rules, self.base)[start - skipped : stop - skipped]
+        return expand(s[a:b], self.rules, self.base, self.lengths)[start - skipped : stop - skipped]
 
 
 def pack(docs: list[tuple[int | None, bytes]], base: int, end: int) -> bytes:

@@ -263,6 +263,22 @@ def test_repair_expands_to_what_it_was(seed):
         assert len(token_store.expand(np.array([1000 + k], np.uint32), rules, 1000)) == lengths[k]
 
 
+def test_repair_goes_on_until_no_pair_is_left():
+    r = np.random.default_rng(4)
+    text = r.integers(0, 900, 3000)
+    many = np.concatenate([np.append(text, 999)] * 40 + [np.append(r.integers(0, 900, 2000), 999), np.zeros(33, np.int64)]).astype(np.uint32)
+    for ids in (many, np.zeros(1001, np.uint32), r.integers(0, 3, 5000).astype(np.uint32)):
+        symbols, rules = token_store.repair(ids, 1000, 999)
+        assert token_store.expand(symbols, rules, 1000).tolist() == ids.tolist()
+        seen, last = {}, {}
+        for k, pair in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist())):
+            if 999 not in pair and last.get(pair, -2) < k - 1:
+                seen[pair], last[pair] = seen.get(pair, 0) + 1, k
+        assert max(seen.values(), default=0) < 2
+    symbols, _ = token_store.repair(many, 1000, 999)
+    assert (np.diff(np.flatnonzero(symbols == 999))[:39] == 2).all()  # one symbol a copy
+
+
 def normal(x):
     return re.sub(r"[\x20\x09-\x0D]+", " ", x or "")
 
