@@ -3,12 +3,16 @@
 A sequence of tokens is the encoding of its bytes exactly when each
 neighbouring pair is *compatible*: merging the two tokens' bytes by the merge
 rules gives back those two tokens. So every prefix of a pre-token has one last
-token: among the tokens that end there (found by walking the suffix automaton
-of the vocabulary along the pre-token), the one that is compatible with the
+token: among the tokens that end there (found by walking an automaton with suffix
+links along the pre-token), the one that is compatible with the
 last token of the prefix before it. Storing that token for each prefix and
 following the back-pointers from the end gives the exact ids, in one pass and
 whatever the length of the pre-token.
 
+The automaton is that of the vocabulary's tokens (Aho and Corasick) where the method names a suffix automaton: a
+suffix automaton tells all substrings of tokens, from which the whole tokens that end at a place
+would have to be picked by following the same suffix links, with several times the states; the matches are the same.
+
 Pre-tokens seen before are answered from a bounded memo of a worker.
 
 Defined cases: a null text is the empty text, which has no ids; special strings

@@ -13,13 +13,16 @@ Conventions used by every operator of this subpackage:
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of one Arrow batch; long documents are bounded by bytes as well.
 BATCH_ROWS = 2000
@@ -33,12 +36,14 @@ def tune(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only if that is unset (tests) below a local one."""
+    """A new folder below ``spark.checkpoint.dir``; only if that is unset and Spark runs in one process (tests) below a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="keyloom-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/keyloom-{uuid.uuid4().hex}"
@@ -79,41 +84,133 @@ def partitions_for(df: DataFrame, per_partition: int, least: int = 0) -> int:
     return max(least, session, min(200_000, -(-size // per_partition)) if size < 1 << 60 else 0)
 
 
-def pick_rows(docs: DataFrame, rows: DataFrame, keep: bool) -> DataFrame:
-    """The rows of a scan whose number (``monotonically_increasing_id``, column row of ``rows``) is listed, or isn't.
+#: A key of more than one in HOT_SHARE of all rows is hot: there are fewer than HOT_SHARE of them, whatever the input.
+HOT_SHARE, PLAIN_ROWS = 2000, 10_000
 
-    The lists are written to the shared folder, one folder for each partition of the scan, and each partition reads its
-    own: the rows themselves, with their texts, are never exchanged."""
+
+def join_spread(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int | None = None) -> DataFrame:
+    """The inner join of ``left`` with the unique keys of ``right``, whose column ``weight`` counts the rows of a key.
+
+    Hot keys (fewer than ``HOT_SHARE``, so their broadcast is bounded) meet their rows where these are; the rows then
+    go through the exchange of the others under a salt, so no task gets all rows of a key."""
+    total = total if total is not None else right.agg(F.sum(weight)).first()[0] or 0
+    if total < PLAIN_ROWS:
+        return left.join(right, on)
+    columns = [c for c in right.columns if c not in on]
+    hot, value = F.col(weight) > total // HOT_SHARE, F.struct(*columns)
+    met = left.join(F.broadcast(right.where(hot).select(*on, value.alias("_hot"))), on, "left")
+    met = met.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(4093)).cast("int")))
+    met = met.join(right.where(~hot).select(*on, F.lit(0).alias("_salt"), value.alias("_rest")), [*on, "_salt"], "left")
+    both = F.coalesce("_hot", "_rest")
+    return met.where(both.isNotNull()).select(*left.columns, *[both[c].alias(c) for c in columns])
+
+
+# ---- rows named by their place
+
+_STEPS = {"Project", "Filter", "SubqueryAlias"}
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` reads files through deterministic projections and filters alone."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in _STEPS:
+        plan = plan.children().apply(0)
+    if plan.nodeName() != "LogicalRelation":
+        return False
+    files = df.inputFiles()
+    import xxhash
+
+    return 0 < len(files) == len({xxhash.xxh64_intdigest(f, 42) for f in files})
+
+
+def stable(docs: DataFrame) -> DataFrame:
+    """``docs`` if its rows can be named by file and place, else a written copy of it: both read the same whenever they are read,
+    however many executors there are."""
+    return docs if is_scan(docs) else materialize(docs)
+
+
+def pin_splits(spark: SparkSession) -> None:
+    """Cut scans alike from now on: by default the size of splits follows the number of cores, which changes with the executors."""
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        cores, parts = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.conf.set("spark.sql.files.minPartitionNum", str(max(cores, parts)))
+
+
+def place(docs: DataFrame) -> list[Column]:
+    """(file, at) of each row of a ``stable`` table: a hash of the file's path, and the row's number in the file."""
+    meta = docs.metadataColumn("_metadata")
+    return [F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("at")]
+
+
+#: Rows of a file whose list is read at once.
+PLACES = 1 << 20
+
+
+def pick_rows(docs: DataFrame, places: DataFrame, keep: bool, value: str | None = None) -> DataFrame:
+    """The rows of a ``stable`` table whose (file, at) is listed in ``places``, or isn't; with ``value`` that column is added.
+
+    The lists are written to the shared folder by file, and each task reads those of the rows it meets: the rows
+    themselves, with their texts, are never exchanged."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
-    listed = rows.select("row", F.shiftright("row", 33).alias("part"))
-    listed.repartition("part").write.partitionBy("part").parquet(folder)
+    listed = places.select("file", F.floor(F.col("at") / PLACES).alias("block"), "at", *([F.col(value).alias("value")] if value else []))
+    listed.repartition("file", "block").write.partitionBy("file", "block").parquet(folder)
+    name = f"place_{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-        from pyspark import TaskContext
-
-        known = pa.array(read_part(folder, TaskContext.get().partitionId()), pa.int64())
+        known: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            hit = pc.is_in(b.column(b.num_columns - 1), known)
-            yield b.select(range(b.num_columns - 1)).filter(hit if keep else pc.invert(hit))
+            last = b.num_columns - 1
+            file, at = (c.to_numpy(zero_copy_only=False) for c in b.column(last).flatten())
+            hit, values = np.zeros(len(at), bool), np.zeros(len(at), np.int64)
+            pairs = np.stack([file, at // PLACES], 1)
+            for f, k in np.unique(pairs, axis=0).tolist():
+                if (f, k) not in known:
+                    known.clear()
+                    known[f, k] = _places(folder, f, k, bool(value))
+                held, more = known[f, k]
+                here = np.flatnonzero((pairs[:, 0] == f) & (pairs[:, 1] == k))
+                found = np.searchsorted(held, at[here])
+                ok = found < len(held)
+                ok[ok] = held[found[ok]] == at[here][ok]
+                hit[here] = ok
+                if value:
+                    values[here[ok]] = more[found[ok]]
+            out = b.select(range(last))
+            if value:
+                out = out.append_column(value, pa.array(values))
+            yield out.filter(pa.array(hit if keep else ~hit))
 
     tune(spark)
-    return docs.select("*", F.monotonically_increasing_id().alias(f"row_{uuid.uuid4().hex}")).mapInArrow(run, docs.schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(value, T.LongType())]) if value else docs.schema
+    return docs.select("*", F.struct(*place(docs)).alias(name)).mapInArrow(run, schema)
+
+
+def _places(folder: str, file: int, block: int, value: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted column ``at`` of a list, and column ``value`` with it; empty if there is no list."""
+    t = read_parquet(f"{folder}/file={file}/block={block}", ["at", "value"] if value else ["at"])
+    if t is None:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = t.column("at").to_numpy()
+    order = np.argsort(at, kind="stable")
+    return at[order], t.column("value").to_numpy()[order] if value else at[order]
 
 
-def read_part(folder: str, part: int) -> list[int]:
-    """Column row of a partition's folder, or nothing if there is none."""
+def read_parquet(folder: str, columns: list[str]) -> pa.Table | None:
+    """The Parquet files of a folder of the shared store, in a Python worker; nothing if there is no such folder."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     store, path = open_fs(folder)
-    where, out = f"{path}/part={part}", []
-    if store.get_file_info(where).type != fs.FileType.NotFound:
-        for f in store.get_file_info(fs.FileSelector(where)):
-            if f.path.endswith(".parquet"):
-                with store.open_input_file(f.path) as source:
-                    out += pq.read_table(source, columns=["row"]).column(0).to_pylist()
-    return out
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    found = []
+    for f in store.get_file_info(fs.FileSelector(path)):
+        if f.path.endswith(".parquet"):
+            with store.open_input_file(f.path) as source:
+                found.append(pq.ParquetFile(source).read(columns=columns))
+    return pa.concat_tables(found) if found else None
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[str]:

@@ -11,8 +11,8 @@
 3. The owners (one row per distinct text) are joined back to the rows by length
    and hash: no list of copies is ever held by one task.
 
-Two different strings of one length and SHA-256 would meet in step 2 and
-raise an error.
+Texts of one length and SHA-256 are taken as equal in step 3; the trie of step 2 would give two
+such texts an owner each, and raises an error if equal texts came with different hashes.
 
 Defined cases: a null text equals the empty text; ties and repeated rows: among
 rows of one id each is a row of its own in ``group_size``, and all rows of the
@@ -24,7 +24,6 @@ columns are left out by ``exact_dedup`` and kept by ``keep_rows``.
 from __future__ import annotations
 
 import hashlib
-import os
 import pickle
 import tempfile
 from collections.abc import Iterator
@@ -81,25 +80,26 @@ def _common(a: bytes, b: bytes, at: int) -> int:
 
 
 class PatriciaTrie:
-    """A compressed radix trie of byte strings; terminals own (smallest id, rows, hash)."""
+    """A compressed radix trie of byte strings; terminals own (smallest id, rows, hash).
 
-    def __init__(self, budget: int = TRIE_BYTES, folder: str | None = None, depth: int = 0):
-        self.root, self.budget, self.depth = Node(b""), budget, depth
+    Beyond ``budget`` bytes the largest subtrees go to files of the worker's own disk, found below the first node at which strings
+    part, so a long common prefix is one step. The files are private to the task, which a retry begins anew."""
+
+    def __init__(self, budget: int = TRIE_BYTES, folder: str | None = None):
+        self.root, self.budget, self.folder = Node(b""), budget, folder
         self.held = 0
-        self.size: dict[int, int] = {}  # bytes below each first byte after ``depth``
-        self.spilled: dict[int, object] = {}
-        self.folder = folder
+        self.spilled: dict[bytes, object] = {}  # by the prefix of a subtree
+        self.lengths: list[int] = []  # of these prefixes, the longest first: what has gone to a file stays with it
 
     def insert(self, key: bytes, owner: tuple) -> None:
-        first = key[self.depth] if len(key) > self.depth else -1
-        if first in self.spilled:
-            pickle.dump((key, owner), self.spilled[first])
-            return
-        added = self._insert(key, owner)
-        self.held += added
-        self.size[first] = self.size.get(first, 0) + added
-        while self.held > self.budget and self.size and max(self.size.values()) > 0:
-            self._spill(max(self.size, key=self.size.get))
+        for n in self.lengths:
+            f = self.spilled.get(key[:n])
+            if f is not None:
+                pickle.dump((key, owner), f)
+                return
+        self.held += self._insert(key, owner)
+        if self.held > self.budget:
+            self._spill()
 
     def _insert(self, key: bytes, owner: tuple) -> int:
         node, at, n = self.root, 0, len(key)
@@ -133,25 +133,42 @@ class PatriciaTrie:
                 yield text, node.owner
             stack.extend((kid, text) for kid in node.kids.values())
 
-    def _spill(self, first: int) -> None:
-        """Write the subtree below a byte to disk; what comes for it later follows directly."""
-        f = tempfile.TemporaryFile(dir=self.folder)
-        keep = PatriciaTrie(1 << 62, depth=self.depth)
-        for key, owner in self._walk(self.root, b""):
-            if (key[self.depth] if len(key) > self.depth else -1) == first:
-                pickle.dump((key, owner), f)
-            else:
-                keep._insert(key, owner)
-        self.root = keep.root
-        self.held -= self.size.pop(first)
-        self.spilled[first] = f
-
-    def owners(self) -> Iterator[tuple[bytes, tuple]]:
+    def _size(self, node: Node) -> int:
+        size, stack = 0, [node]
+        while stack:
+            node = stack.pop()
+            size += len(node.edge) + 300
+            stack.extend(node.kids.values())
+        return size
+
+    def _spill(self) -> None:
+        """Write the largest subtrees to disk until half of the budget is free; what comes for them later follows directly."""
+        at, before = self.root, b""
+        while at.owner is None and len(at.kids) == 1:
+            (at,) = at.kids.values()
+            before += at.edge
+        sizes = {first: self._size(kid) for first, kid in at.kids.items()}
+        for first in sorted(sizes, key=sizes.get, reverse=True):
+            if self.held <= self.budget // 2:
+                break
+            prefix = before + bytes([first])
+            self.spilled[prefix] = f = tempfile.TemporaryFile(dir=self.folder)
+            for pair in self._walk(at.kids.pop(first), before):
+                pickle.dump(pair, f)
+            self.held = max(0, self.held - sizes[first])
+        self.lengths = sorted({len(p) for p in self.spilled}, reverse=True)
+
+    def _drain(self, files: list) -> Iterator[tuple[bytes, tuple]]:
         yield from self._walk(self.root, b"")
         self.root, self.held = Node(b""), 0
-        for first, f in self.spilled.items():
-            # a subtree of one string only can't be divided any further
-            sub = PatriciaTrie(self.budget if first >= 0 else 1 << 62, self.folder, self.depth + 1)
+        files.extend(self.spilled.values())
+
+    def owners(self) -> Iterator[tuple[bytes, tuple]]:
+        """All strings with their owners, subtree by subtree."""
+        files: list = []
+        yield from self._drain(files)
+        while files:
+            f, sub = files.pop(), PatriciaTrie(self.budget, self.folder)
             f.seek(0)
             while True:
                 try:
@@ -159,7 +176,7 @@ class PatriciaTrie:
                 except EOFError:
                     break
             f.close()
-            yield from sub.owners()
+            yield from sub._drain(files)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,9 +241,9 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, more: list | None = None) -> DataFrame:
     return docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), common.text_of(text_col).cast("binary").alias("text")
+        F.struct(F.monotonically_increasing_id().alias("row"), *(more or [])).alias("row"), F.col(id_col).alias("id"), common.text_of(text_col).cast("binary").alias("text")
     )
 
 
@@ -240,13 +257,18 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return sent.repartition(parts, "n", "sha").mapInArrow(_own, f"n bigint, sha binary, keep_id {kind}, group_size bigint")
 
 
+def _owned_rows(docs: DataFrame, id_col: str, text_col: str, more: list | None = None) -> DataFrame:
+    """(row, id, n, sha, keep_id, group_size) of every row; the rows of a large group are spread over tasks."""
+    owned = common.materialize(owners(docs, id_col, text_col))
+    got = _keyed(docs, id_col, text_col, more)
+    kinds = {f.name: f.dataType.simpleString() for f in got.schema}
+    rows = got.mapInArrow(_digests, f"row {kinds['row']}, id {kinds['id']}, n bigint, sha binary")
+    return common.join_spread(rows, owned, ["n", "sha"], "group_size")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) of every row."""
-    owned = common.materialize(owners(docs, id_col, text_col))
-    got = _keyed(docs, id_col, text_col)
-    kind = got.schema["id"].dataType.simpleString()
-    rows = got.mapInArrow(_digests, f"row bigint, id {kind}, n bigint, sha binary")
-    return rows.join(owned, ["n", "sha"]).select(
+    return _owned_rows(docs, id_col, text_col).select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
@@ -258,12 +280,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, whole, one for each distinct text: that of the smallest id, and of
     repeated rows the first in the input's order."""
-    owned = common.materialize(owners(docs, id_col, text_col))
-    got = _keyed(docs, id_col, text_col)
-    kind = got.schema["id"].dataType.simpleString()
-    rows = got.mapInArrow(_digests, f"row bigint, id {kind}, n bigint, sha binary")
-    kept = rows.join(owned, ["n", "sha"]).where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("n", "sha").agg(F.min("row").alias("row"))
-    return common.pick_rows(docs, kept, keep=True)
+    docs = common.stable(docs)
+    rows = _owned_rows(docs, id_col, text_col, common.place(docs))
+    kept = rows.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("n", "sha").agg(F.min("row").alias("row"))
+    return common.pick_rows(docs, kept.select("row.file", "row.at"), keep=True)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,7 +298,7 @@ WITH t AS (
 ), g AS (
   SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm
 )
-SELECT t.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
+SELECT t.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, t.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(t.norm) AS text_sha256
 FROM t JOIN g USING (norm)
 """
 }

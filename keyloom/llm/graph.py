@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    # a hub's edges are spread over tasks
+    return common.join_spread(both.where("v > u"), least, ["u"], "n", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = common.join_spread(edges, least, ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -33,5 +34,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        flat = common.materialize(_small_star(_large_star(flat)))
+        starred = common.materialize(_large_star(flat, now[0]))
+        flat = common.materialize(_small_star(starred, now[0]))
     return flat.select(F.col("u").alias("node"), F.col("v").alias("root")).union(flat.select("v", "v").distinct())

@@ -38,30 +38,35 @@ ENDPOINT = r"""https?://[^\x20\x09-\x0D"'<>]{4,}"""
 KINDS = ("assign", "access", "hex", "weak_assign", "weak_access", "name", "mixed", "endpoint")
 #: Code points between parts of one credential.
 SCOPE = 300
+#: Matches whose offsets are added up at once.
+RUN = 128
 
 _SPANS = "array<struct<start:int,end:int,text:string>>"
 
 
-def _located(text: Column, found: Column, pieces: Column) -> Column:
-    """(start, end, text) of each match, from the matches and the pieces between them."""
-    none = F.array().cast(_SPANS)
-    step = lambda acc, i: F.struct(
-        (acc["at"] + F.char_length(F.get(pieces, i)) + F.char_length(F.get(found, i))).alias("at"),
-        F.concat(
-            acc["out"],
-            F.array(
-                F.struct(
-                    (acc["at"] + F.char_length(F.get(pieces, i))).alias("start"),
-                    (acc["at"] + F.char_length(F.get(pieces, i)) + F.char_length(F.get(found, i))).alias("end"),
-                    F.get(found, i).alias("text"),
-                )
-            ),
-        ).alias("out"),
-    )
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(
-        F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"])
-    ).otherwise(none)
+def _located(found: Column, pieces: Column) -> Column:
+    """(start, end, text) of each match, from the matches and the pieces between them.
+
+    Offsets add up inside blocks of ``RUN`` matches first, then over blocks: an array that grows match by match
+    would be copied at every match, which is quadratic for texts with very many of them."""
+    none, n = F.array().cast(_SPANS), F.size(found)
+
+    def step(acc: Column, i: Column) -> Column:
+        start = acc["at"] + F.char_length(F.get(pieces, i))
+        end = start + F.char_length(F.get(found, i))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("text")))).alias("out"))
+
+    def run(low: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.aggregate(F.sequence(low, F.least(low + RUN, n) - 1), start, step)
+
+    def moved(acc: Column, block: Column) -> Column:
+        spans = F.transform(block["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["text"].alias("text")))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.array(spans)).alias("out"))
+
+    blocks = F.transform(F.sequence(F.lit(0), n - 1, F.lit(RUN)), run)
+    whole = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out")), moved, lambda acc: F.flatten(acc["out"]))
+    return F.when(n > 0, whole).otherwise(none)
 
 
 def _where(df: DataFrame, name: str, pattern: str, guard: Column) -> DataFrame:
@@ -69,7 +74,7 @@ def _where(df: DataFrame, name: str, pattern: str, guard: Column) -> DataFrame:
     text = F.col("text")
     df = df.withColumn("__found", F.when(guard, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
     df = df.withColumn("__pieces", F.when(F.size("__found") > 0, F.split(text, pattern, -1)))
-    return df.withColumn(name, _located(text, F.col("__found"), F.col("__pieces"))).drop("__found", "__pieces")
+    return df.withColumn(name, _located(F.col("__found"), F.col("__pieces"))).drop("__found", "__pieces")
 
 
 def _value_length(match: Column) -> Column:
@@ -112,7 +117,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def link_parts(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(row, start, rank, end) of the weak parts that have complementary parts within ``scope``."""
+    """(row, start, rank, end) of the weak parts that have complementary parts within ``scope`` and overlap no base span."""
     parts = scanned.select("row", F.explode("parts").alias("p")).select("row", "p.*")
     parts = parts.withColumn("bin", F.floor(F.col("start") / scope))
     # a part may reach over more bins than one: it stands in all it touches, and in their neighbours
@@ -137,6 +142,10 @@ def link_parts(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
         semi(weak.where("role = 'endpoint'"), "secret").select(*whole).distinct(), whole, "left_semi"
     )
     found = ids.select(*whole).union(secrets.select(*whole)).union(ends).distinct()
+    # a weak part that overlaps a base span has been reported already
+    base = parts.where("not weak").select("row", F.col("start").alias("base_start"), F.col("end").alias("base_end"), F.explode(F.sequence("bin", F.floor(F.col("end") / scope))).alias("bin"))
+    over = (weak.row == base.row) & (weak.bin == base.bin) & (F.col("base_start") < F.col("end")) & (F.col("start") < F.col("base_end"))
+    found = found.join(weak.join(base, over, "left_semi").select(*whole).distinct(), whole, "left_anti")
     return found.select("row", "start", F.col("kind").alias("rank"), "end")
 
 
@@ -145,9 +154,7 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
     scanned = common.materialize(scan(docs, id_col, text_col))
     weak = link_parts(scanned, scope).groupBy("row").agg(F.collect_list(F.struct("start", "rank", "end")).alias("weak"))
     got = scanned.select("row", "id", "base").join(weak, "row", "left")
-    # a weak part that overlaps a base span has been reported already
-    kept = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    spans = F.when(F.col("weak").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", kept)))
+    spans = F.when(F.col("weak").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "weak")))
     return got.select(F.col("id").alias(id_col), "base", spans.alias("spans"))
 
 

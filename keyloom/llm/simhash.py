@@ -17,12 +17,14 @@ each fingerprint and loses no link; a task passes on a spanning star of what
 it has linked.
 
 ``near_duplicates`` works on texts of a shingle similarity (Jaccard) of at least
-``similarity``: besides the Golay keys of the fingerprint of all shingles, lanes of
-fingerprints of sampled shingles (the three smallest of a seeded order) are keys. All
-rows of a key meet one another but for pairs that their sizes or parity bits rule out
-(neither loses a similar pair) or that verified pairs connect already; every pair is
-verified on the full sets of shingles. Rows of equal sets are folded by a 128-bit digest.
-A bucket's pairs grow by the square of its rows; large ones are dealt to tasks in blocks.
+``similarity``. Keys are the Golay keys of the fingerprint of all shingles, and lanes of
+fingerprints of sampled shingles (the three smallest of a seeded order): at the least similarity a
+lane's fingerprint is shared with a chance of 0.51, none of 16 with one of 1 in 90,000. Rows
+of equal sets are folded by a 128-bit digest first. In a bucket of at most ``FEW`` rows all pairs are
+candidates. In a crowded one each row meets the first row; where that leaves the bucket
+in several parts, its rows join exactly, by their rarest shingles (``crowd_pairs``): no
+pair of rows that only share what a crowd shares is ever looked at. Sizes and
+parity bits rule out candidates without losing a similar pair; the others are verified on the full sets.
 
 Defined cases: a null text is the empty text; texts without words have the
 fingerprint zero and link to one another and to what lies within two bits of
@@ -41,7 +43,7 @@ from itertools import accumulate, combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -57,8 +59,10 @@ LARGE = 48
 LANES, SAMPLED = 16, 3
 #: Parity bits of a set of shingles at most.
 MOST_BITS = 1 << 16
-#: Rows of a block of a bucket, pairs that each row proposes at first, and rows of blocks that one partition holds.
-BLOCK, NEAREST, ROWS_A_PARTITION = 1024, 4, 100_000
+#: Rows of a bucket all of whose pairs are looked at; rows of larger ones are crowded.
+FEW = 16
+#: Rows of a block, entries that one unit probes it with, entries and pairs that one partition holds.
+BLOCK, PROBES, ROWS_A_PARTITION, PAIRS_A_PARTITION = 1024, 1 << 14, 200_000, 20_000
 #: Rows of keys that one partition holds.
 KEYS_A_PARTITION = 2_000_000
 
@@ -262,7 +266,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id"
     least = roots.join(classes, roots.node == classes.fp).groupBy("root").agg(F.min("least").alias("component_id"))
     named = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     known = classes.join(named, "fp", "left").select("fp", "group_size", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(known, "fp").select(
+    return common.join_spread(prints, common.materialize(known), ["fp"], "group_size").select(
         F.col("id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size"
     )
 
@@ -317,162 +321,231 @@ def _views(shingle: int):
             keys = [np.unique(np.concatenate(x)) for x in zip(samples, of_print)]
             ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys).view(np.int64)))],
-                ["row", "size", "digest", "bits", "keys"],
+                [b.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys).view(np.int64))), b.column(2)],
+                ["row", "size", "digest", "bits", "keys", "of"],
             )
 
     return run
 
 
-def candidates(rows: np.ndarray, sizes: np.ndarray, bits: list[bytes], roots: np.ndarray, blocks: np.ndarray, similarity: float, nearest: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of the rows of one bucket that may be similar: of different roots (and blocks, if there are two), of sizes and
-    parity bits that don't rule it out. With ``nearest``, of each row's pairs those of the nearest bits and that with the first row."""
-    order = np.argsort([len(x) for x in bits], kind="stable")
-    rows, sizes, roots, blocks, bits = rows[order], sizes[order], roots[order], blocks[order], [bits[k] for k in order]
-    across, width, held = blocks.min() != blocks.max(), 0, None
-    share = (1 - similarity) / (1 + similarity)
-    lead = rows.argmin()
-    for k in range(len(rows) - 1):
-        if len(bits[k]) != width:  # this row's bits are the shortest of those left: the others are folded to them
-            width, start = len(bits[k]), k
-            held = np.empty((len(bits) - k, width // 8), np.uint64)
-            for j in range(k, len(bits)):
-                held[j - k] = np.bitwise_xor.reduce(fold(bits[j], width), axis=0)
-        other = slice(k + 1, None)
-        may = (np.minimum(sizes[other], sizes[k]) >= similarity * np.maximum(sizes[other], sizes[k])) & (roots[other] != roots[k])
-        if across:
-            may &= blocks[other] != blocks[k]
-        at = np.flatnonzero(may) + k + 1
-        if not len(at):
-            continue
-        apart = np.bitwise_count(held[at - start] ^ held[k - start]).sum(axis=1, dtype=np.int64)
-        near = apart <= share * (sizes[at].astype(np.int64) + int(sizes[k])) + 1e-6
-        at, apart = at[near], apart[near]
-        if nearest is not None and len(at) > nearest and k != lead:
-            at = np.union1d(at[np.argpartition(apart, nearest - 1)[:nearest]], at[at == lead])
-        if len(at):
-            yield np.full(len(at), rows[k]), rows[at]
-
-
 def fold(bits: bytes, width: int) -> np.ndarray:
-    """Parity bits as slices of ``width`` bytes: bit k of a longer set falls on bit k modulo the width."""
-    return np.frombuffer(bits, np.uint64).reshape(-1, width // 8)
+    """Parity bits folded to ``width`` bytes: bit k of a longer set falls on bit k modulo the width."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, width), axis=0)
 
 
-def _propose(similarity: float, nearest: int | None):
-    """Candidates of buckets whose rows come one after another: key, i, j, row, size, bits, root, block."""
+def _may_be_similar(similarity: float):
+    """Of pairs with their sizes and parity bits those that these don't rule out."""
+    share = (1 - similarity) / (1 + similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        last = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            row, size, root, block, bits = (np.concatenate(x) for x in zip(*held))
-            for u, v in candidates(row, size, list(bits), root, block, similarity, nearest):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
-
-        def collected(found: Iterator[pa.RecordBatch], out: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n = sum(x.num_rows for x in out)
-            for x in found:
-                out.append(x)
-                n += x.num_rows
-                if n >= 100_000:
-                    yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
-                    out.clear()
-                    n = 0
-
-        out: list[pa.RecordBatch] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            key, i, j, row, size, root, block = (b.column(k).to_numpy(zero_copy_only=False) for k in range(7))
-            bits = np.empty(len(row), object)
-            bits[:] = b.column(7).to_pylist()
-            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(row)]):
-                name = (key[s], i[s], j[s])
-                if held and name != last:
-                    yield from collected(flush(), out)
-                    held.clear()
-                last = name
-                held.append((row[s:e], size[s:e], root[s:e], block[s:e], bits[s:e]))
-        if held:
-            yield from collected(flush(), out)
-        if out:
-            yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+            sizes = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64) + b.column(3).to_numpy(zero_copy_only=False)
+            apart = np.empty(b.num_rows, np.int64)
+            for k, (x, y) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist())):
+                width = min(len(x), len(y))
+                apart[k] = np.bitwise_count(fold(x, width) ^ fold(y, width)).sum()
+            yield b.select([0, 1]).filter(pa.array(apart <= share * sizes + 1e-6))
 
     return run
 
 
 def _verify(shingle: int, similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held: dict[int, set] = {}
+    """Similar pairs (u, v), from rows of one block after another: its text ``a`` first (no other), then the others."""
 
-            def of(row: int, text: bytes) -> set:
-                if (got := held.get(row)) is None:
-                    if len(held) > 64:
-                        held.clear()
-                    got = held[row] = set(shingle_hashes(words_of(text or b""), shingle).tolist())
-                return got
+    def shingles(text: bytes | None) -> np.ndarray:
+        return np.unique(shingle_hashes(words_of(text or b""), shingle))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, held = None, None
+        for b in batches:
             u, v = [], []
-            for a, c, x, y in zip(*(b.column(k).to_pylist() for k in range(4))):
-                x, y = of(a, x), of(c, y)
-                both = len(x & y)
-                if both >= similarity * (len(x) + len(y) - both):
+            for a, other, text in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if other is None:
+                    lead, held = a, shingles(text)
+                    continue
+                if a != lead:
+                    raise RuntimeError("a block of pairs has no first text")
+                x = shingles(text)
+                both = len(np.intersect1d(x, held, assume_unique=True))
+                if both >= similarity * (len(x) + len(held) - both):
                     u.append(a)
-                    v.append(c)
+                    v.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return run
 
 
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v): the pairs (a, b) of rows whose sets of shingles have at least the similarity; texts: row, text.
+
+    The pairs of one row are dealt in blocks of ``BLOCK``: its text is sent once to each block, not with each pair."""
+    session = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = common.materialize(pairs.groupBy("a").agg(F.count("*").alias("n")))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = common.join_spread(pairs, counts, ["a"], "n").select("a", "b", F.pmod(F.xxhash64("b"), blocks).cast("int").alias("block"))
+    sent = dealt.join(texts.withColumnRenamed("row", "b"), "b").select("a", "b", "text", "block")
+    first = counts.select("a", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")).join(texts.withColumnRenamed("row", "a"), "a")
+    every = first.select("a", F.lit(None).cast("bigint").alias("b"), "text", "block").union(sent)
+    parts = max(session, -(-(counts.agg(F.sum("n")).first()[0] or 0) // PAIRS_A_PARTITION))
+    every = every.repartition(parts, "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    return every.select("a", "b", "text").mapInArrow(_verify(shingle, similarity), "u bigint, v bigint")
+
+
+# ---- crowded buckets: an exact join on the rarest shingles
+
+
+def _shingles(shingle: int):
+    """(row, size, shingles) of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(words_of(x or b""), shingle)) for x in b.column(1).to_pylist()]
+            ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+            every = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.ListArray.from_arrays(ends, pa.array(every))], ["row", "size", "shingles"])
+
+    return run
+
+
+def overlaps(low: np.ndarray, high: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries that share a shingle and may be similar: ``low`` holds the smaller set, ``high`` the larger.
+
+    Columns: row, root, size, place of the shingle in the order of the set. Of sets of x and y elements of a similarity s at least
+    s / (1 + s) * (x + y) are common, and all that come before the first common one are not."""
+    need = similarity / (1 + similarity)
+    for r, root, size, at in low:
+        y = high[:, 2]
+        may = (high[:, 1] != root) & (size >= similarity * y - 1e-6) & ((y > size) | ((y == size) & (high[:, 0] > r)))
+        may &= np.minimum(size - at, y - high[:, 3]) >= need * (size + y) - 1e-6
+        k = np.flatnonzero(may)
+        if len(k):
+            yield np.full(len(k), r), high[k, 0]
+
+
+def _propose(similarity: float):
+    """Pairs of each unit (h, part, salt) in turn: its entries of the smaller sets come first, then those of the larger."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, low = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            unit = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(3)], 1)
+            role = b.column(3).to_numpy(zero_copy_only=False)
+            entry = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(4, 8)], 1)
+            starts = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]).any(axis=1)]))
+            out = []
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(unit)]):
+                if (name := tuple(unit[s])) != last:
+                    last, low = name, []
+                first = role[s:e] == 0
+                if first.any():
+                    low.append(entry[s:e][first])
+                if low and not first.all():
+                    out += overlaps(np.concatenate(low), entry[s:e][~first], similarity)
+                    if sum(len(x) for x, _ in out) >= 100_000:
+                        yield _pairs(out)
+                        out = []
+            if out:
+                yield _pairs(out)
+
+    return run
+
+
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    u, v = (np.concatenate(x) for x in zip(*found))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+
+
+def crowd_pairs(texts: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): all pairs of rows (texts: row, text) of different roots that may be similar, by their rarest shingles.
+
+    In an order of all shingles from rare to frequent, two similar sets have a common one among the first of either: of the
+    smaller set within (1 - s) / (1 + s) of its size, of the larger within 1 - s. So shingles that crowds have in common
+    bring no pairs together, unless they are nearly all that a text holds."""
+    session = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = texts.mapInArrow(_shingles(shingle), "row bigint, size int, shingles array<bigint>")
+    each = common.materialize(sets.select("row", "size", F.explode("shingles").alias("h")))
+    held = common.materialize(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    ranked = common.join_spread(each, held, ["h"], "n").groupBy("row", "size").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("all"))
+    # shingles of one text only come first in any order, and meet nothing
+    spare = F.col("size") - F.size("all")
+    entry = ranked.join(roots, "row", "left").select("row", F.coalesce("root", "row").alias("root"), F.col("size").cast("long").alias("size"), spare.alias("spare"), F.posexplode("all").alias("k", "x"))
+    entry = entry.select("row", "root", "size", (F.col("spare") + F.col("k")).cast("long").alias("at"), F.col("x.h").alias("h"))
+    low = (F.lit(1.0) - similarity) / (1 + similarity) * F.col("size") + 1e-6
+    entry = common.materialize(entry.where(F.col("at") <= (1 - similarity) * F.col("size") + 1e-6).withColumn("low", F.col("at") <= low))
+    met = entry.groupBy("h").agg(F.count("*").alias("n"), F.count_if("low").alias("n_low"), F.min("root").alias("least"), F.max("root").alias("most"))
+    met = common.materialize(met.where("least <> most and n_low > 0").select("h", "n", F.ceil(F.col("n_low") / BLOCK).cast("long").alias("parts"), F.ceil(F.col("n") / PROBES).cast("long").alias("salts")))
+    entry = common.join_spread(entry, met, ["h"], "n")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    lows = entry.where("low").withColumn("part", F.pmod(F.xxhash64("row"), "parts")).withColumn("salt", every("salts")).withColumn("role", F.lit(0))
+    highs = entry.withColumn("salt", F.pmod(F.xxhash64("row"), "salts")).withColumn("part", every("parts")).withColumn("role", F.lit(1))
+    names = ["h", "part", "salt", "role", "row", "root", "size", "at"]
+    unit = lows.select(*names).union(highs.select(*names))
+    parts = max(session, -(-entry.count() // ROWS_A_PARTITION))
+    unit = unit.repartition(parts, "h", "part", "salt").sortWithinPartitions("h", "part", "salt", "role")
+    return unit.mapInArrow(_propose(similarity), "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, whole, one of each group of near-duplicates: the one of the smallest id,
     of repeated ids the first in the input's order; a null id is larger than any other."""
     common.tune(docs.sparkSession)
-    session = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), common.text_of(text_col).cast("binary").alias("text"))
-    views = common.materialize(texts.mapInArrow(_views(shingle), "row bigint, size int, digest binary, bits binary, keys array<bigint>"))
+    docs = common.stable(docs)
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), common.text_of(text_col).cast("binary").alias("text"), F.struct(F.col(id_col).alias("id"), *common.place(docs)).alias("of"))
+    kind = texts.schema["of"].dataType.simpleString()
+    views = common.materialize(texts.mapInArrow(_views(shingle), f"row bigint, size int, digest binary, bits binary, keys array<bigint>, of {kind}").select("row", "size", "digest", "bits", "keys", "of.*"))
 
     # rows of one set of shingles meet at the first of them, which stands for them
     sets = common.materialize(views.groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("n")))
-    copies = views.select("row", "digest").join(sets.where("n > 1"), "digest").where("row > first").select(F.col("first").alias("u"), F.col("row").alias("v"))
-    copies = common.materialize(copies)
-    first = views.join(copies.select(F.col("v").alias("row")), "row", "left_anti")
-
-    # buckets of the rows of one key; a large one is cut into blocks, each pair of which is a task's
-    keyed = first.select("row", F.explode("keys").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    keyed = common.materialize(keyed.select("row", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    bits = common.materialize(first.join(keyed.select("row").distinct(), "row", "left_semi").select("row", "size", "bits"))
-    parts = max(session, -(-keyed.count() // ROWS_A_PARTITION))
-
-    def meet(edges: DataFrame, nearest: int | None) -> DataFrame:
-        """Verified pairs of rows that ``edges`` don't connect."""
-        roots = connected_components(edges).select(F.col("node").alias("row"), "root")
-        known = common.materialize(bits.join(roots, "row", "left").select("row", "size", F.coalesce("root", "row").alias("root"), "bits"))
-        block = keyed.withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
-        met = block.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "row", "block").join(known, "row")
-        met = met.select("key", "i", "j", "row", "size", "root", "block", "bits").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        proposed = common.materialize(met.mapInArrow(_propose(similarity, nearest), "a bigint, b bigint").distinct())
-        asked = proposed.select(F.col("a").alias("row")).union(proposed.select("b")).distinct()
-        held_texts = common.materialize(common.pick_rows(texts, asked, keep=True))
-        left = held_texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
-        right = held_texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
-        pairs = proposed.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        return common.materialize(pairs.mapInArrow(_verify(shingle, similarity), "u bigint, v bigint"))
-
-    # the nearest first, then every pair that they leave unconnected; each is verified on whole texts
-    verified = meet(copies.limit(0), NEAREST)
-    verified = verified.union(meet(verified, None))
-    roots = common.materialize(connected_components(verified.union(copies)))
-
-    ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"))
-    members = roots.join(ids, roots.node == ids.row).select("root", "node", "id")
-    kept = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"))
-    gone = members.join(kept, "root").where(F.col("node") != F.col("best.node")).select(F.col("node").alias("row"))
+    copies = common.join_spread(views.select("row", "digest"), sets.where("n > 1"), ["digest"], "n").where("row > first").select(F.col("first").alias("u"), F.col("row").alias("v"))
+    first = views.join(sets.select(F.col("first").alias("row")), "row", "left_semi")
+
+    # buckets of the rows of one key: all pairs of a small one, the first row with each other of a crowded one
+    keyed = common.materialize(first.select("row", "size", F.explode("keys").alias("key")))
+    groups = common.materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("row", "size")).alias("lead")).where("n > 1"))
+    keyed = common.materialize(common.join_spread(keyed, groups, ["key"], "n"))
+    small, crowd = keyed.where(F.col("n") <= FEW), keyed.where(F.col("n") > FEW)
+    members = small.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("row", "size"))).alias("x"))  # at most FEW
+    members = members.select(F.posexplode("x").alias("k", "one"), "x").select("one", F.explode(F.slice("x", F.col("k") + 2, F.lit(FEW))).alias("two"))
+    alike = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-6
+    pairs = members.where(alike(F.col("one.size"), F.col("two.size"))).select(F.col("one.row").alias("a"), F.col("two.row").alias("b"))
+    star = crowd.where((F.col("row") > F.col("lead.row")) & alike(F.col("size"), F.col("lead.size"))).select(F.col("lead.row").alias("a"), F.col("row").alias("b"))
+
+    bits = common.materialize(first.join(keyed.select("row").distinct(), "row", "left_semi").select("row", "size", "bits", "file", "at"))
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """The pairs that sizes and parity bits don't rule out."""
+        pairs = common.materialize(pairs)
+        counts = common.materialize(pairs.groupBy("a").agg(F.count("*").alias("n")))
+        left = counts.join(bits.select(F.col("row").alias("a"), F.col("size").alias("size_a"), F.col("bits").alias("bits_a")), "a")
+        right = bits.select(F.col("row").alias("b"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b"))
+        both = common.join_spread(pairs, common.materialize(left), ["a"], "n").join(right, "b")
+        return common.materialize(both.select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(_may_be_similar(similarity), "a bigint, b bigint"))
+
+    proposed = possible(pairs.union(star).distinct())
+    crowded = common.materialize(crowd.select("row").distinct())
+    asked = proposed.select(F.col("a").alias("row")).union(proposed.select("b")).union(crowded).distinct()
+    plain = docs.select(common.text_of(text_col).cast("binary").alias("text"))
+    held = common.materialize(common.pick_rows(plain, bits.join(asked, "row", "left_semi"), True, "row"))
+    edges = common.materialize(verified(proposed, held, shingle, similarity))
+
+    # crowded buckets whose rows aren't connected yet: an exact join of all their rows
+    roots = common.materialize(connected_components(edges).select(F.col("node").alias("row"), "root"))
+    rooted = crowd.join(roots, "row", "left").select("row", "key", "n", F.coalesce("root", "row").alias("root"))
+    apart = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    open_rows = common.join_spread(crowd.select("row", "key"), common.materialize(apart.select("key", "n")), ["key"], "n").select("row").distinct()
+    left = held.join(open_rows, "row", "left_semi")
+    more = verified(possible(crowd_pairs(left, roots, shingle, similarity)), held, shingle, similarity)
+    joined = common.materialize(connected_components(edges.union(common.materialize(more)).union(copies)))
+
+    places = views.select(F.col("row").alias("node"), "id", "file", "at")
+    sizes = joined.groupBy("root").agg(F.count("*").alias("n"))
+    members = joined.join(places, "node").select("root", "node", "id", "file", "at")
+    kept = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best")).join(sizes, "root")
+    gone = common.join_spread(members, common.materialize(kept), ["root"], "n").where(F.col("node") != F.col("best.node")).select("file", "at")
     return common.pick_rows(docs, gone, keep=False)
 
 

@@ -15,17 +15,20 @@ hash of their anchor, and a context of ``LENGTH`` - ``GRAM`` bytes before and
 1. A worker sends, for every bucket of anchors, a packed list of (anchor hash, context
    hash, smallest document) of a chunk of text. Anchors of one context are one entry, so
    a passage that a third of all documents hold costs one entry a chunk. The bucket
-   decides: a context that an earlier document has as well is covered whole; a context
-   that is the first of its kind, beside other contexts of the same anchor, is
-   undecided.
+   decides the trivial ones by equality of 64-bit hashes: a context that an earlier document has as well is
+   covered whole; a context that is the only one of its anchor, or whose anchor stands in one document, is free; a
+   context that is the first of its kind, beside other contexts of the same anchor, is undecided.
 2. Undecided contexts (the borders of passages) are sent as bytes. The bucket sorts
-   their suffixes, and the longest previous factors tell which strings are covered.
+   their suffixes; the longest previous factor of a suffix is the larger of its common prefixes with the previous and the
+   next suffix, in suffix order, of a smaller document (``longest_previous``). Factors of ``LENGTH`` and more
+   are covered. An anchor of more than ``Sizes.hot`` contexts, the border of a very common passage, is split: its strings are
+   dealt by their own hash, each once for a chunk, and compared in the same way.
 3. The documents are read once more, and covered bytes are removed.
 
 Decisions go back by files in the shared folder, one for each partition of the
-scan, so texts are never exchanged. The three passes read the same partitions; if a
-partition's rows were different in a later pass, its checksum would show it and
-the job would fail.
+scan, so texts are never exchanged. The three passes read the same partitions: splits are pinned, so
+that lost or added executors don't move them, and a table that isn't a plain scan is written first. Each chunk's checksum
+goes with what it sends and is compared in the later passes; the job fails if it differs.
 
 Defined cases: null and empty texts, and texts shorter than ``LENGTH`` bytes, keep all
 bytes; a null id is larger than any other; repeated rows of one id never
@@ -36,13 +39,13 @@ result; other columns are left out.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,10 +55,20 @@ from . import common
 LENGTH, GRAM = 50, 30
 SIDE = LENGTH - GRAM  # bytes of context before an anchor, and after it
 WIDTH = LENGTH + SIDE  # bytes of a whole context
-#: Bytes of text of a chunk and of a piece of a long document.
-CHUNK, PIECE = 1 << 20, 1 << 19
-#: Input bytes of a bucket, and contexts whose suffixes are sorted at once.
-BUCKET_BYTES, SLICE = 4 << 20, 10_000
+#: Input bytes of a bucket.
+BUCKET_BYTES = 4 << 20
+
+
+class Sizes(NamedTuple):
+    """Bytes of text of a chunk and of a piece of a long document, contexts whose suffixes are sorted at once, and contexts of an
+    anchor beyond which it is split. They bound memory; results don't depend on them."""
+
+    chunk: int = 1 << 20
+    piece: int = 1 << 19
+    slice: int = 10_000
+    hot: int = 2_000
+
+
 #: Rows of an Arrow batch: packed lists are long.
 ROWS = 200
 PAD = 0xFF  # isn't in UTF-8
@@ -144,7 +157,33 @@ class Chunk:
         self.is_first_doc = doc == self.e_doc[self.entry] if len(h) else np.empty(0, bool)
 
     def checksum(self) -> int:
-        return zlib.crc32(self.e_context.tobytes(), len(self.data) & 0xFFFFFFFF)
+        """Of all bytes and ids, in their order."""
+        return zlib.crc32(self.data, zlib.crc32(self.ids.tobytes()))
+
+    def contexts(self, entry: np.ndarray) -> np.ndarray:
+        """The bytes of the contexts of some entries; what a document hasn't got is ``PAD``."""
+        a = self.e_first[entry]
+        place = self.at[a][:, None] + np.arange(-SIDE, LENGTH)
+        held = (place >= self.low[a][:, None]) & (place < self.high[a][:, None])
+        return np.where(held, self.data[np.clip(place, 0, max(0, len(self.data) - 1))], PAD).astype(np.uint8)
+
+    def strings(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(strings of ``LENGTH`` bytes of some entries' contexts, each once; the smallest document of each; for each place of
+        each entry the string's number or -1; whether the entry's document is larger than the string's smallest)."""
+        contexts = self.contexts(entry)
+        views = np.lib.stride_tricks.sliding_window_view(contexts, LENGTH, axis=1)
+        whole = (contexts == PAD).cumsum(axis=1)
+        whole = whole[:, LENGTH - 1 :] == np.concatenate([np.zeros((len(entry), 1), int), whole[:, :SIDE]], axis=1)
+        e, k = np.nonzero(whole)
+        rows = np.ascontiguousarray(views[e, k]).view(f"V{LENGTH}").ravel()
+        each, number = np.unique(rows, return_inverse=True)
+        doc = np.full(len(each), np.iinfo(np.int64).max)
+        np.minimum.at(doc, number, self.e_doc[entry[e]])
+        of = np.full(whole.shape, -1, np.int64)
+        of[e, k] = number
+        later = np.zeros(whole.shape, bool)
+        later[e, k] = self.e_doc[entry[e]] > doc[number]
+        return each.view(np.uint8).reshape(-1, LENGTH), doc, of, later
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -152,28 +191,28 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def pieces_of(text: bytes) -> Iterator[tuple[int, bytes]]:
+def pieces_of(text: bytes, piece: int = Sizes().piece) -> Iterator[tuple[int, bytes]]:
     """(start, bytes) of pieces that overlap so that each string of LENGTH is in one of them."""
     at = 0
     while True:
-        yield at, text[at : at + PIECE + LENGTH - 1]
-        at += PIECE
+        yield at, text[at : at + piece + LENGTH - 1]
+        at += piece
         if at + LENGTH - 1 >= len(text):
             return
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int | None, bytes]], Chunk, list[int]]]:
+def chunks(batches: Iterator[pa.RecordBatch], sizes: Sizes) -> Iterator[tuple[int, list[tuple[int | None, bytes]], Chunk, list[int]]]:
     """(number, documents, their pieces' chunk, start of each piece) of a partition's rows, cut by bytes alone."""
     number, docs, pieces, starts, size = 0, [], [], [], 0
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             text = t or b""
-            for at, piece in pieces_of(text):
+            for at, piece in pieces_of(text, sizes.piece):
                 pieces.append((len(docs), LAST if i is None else i, piece))
                 starts.append(at)
             docs.append((i, text))
             size += len(text) + 64
-            if size >= CHUNK:
+            if size >= sizes.chunk:
                 yield number, docs, Chunk(pieces), starts
                 number, docs, pieces, starts, size = number + 1, [], [], [], 0
     if docs:
@@ -223,28 +262,28 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 # ---- first pass
 
 
-def _send_entries(buckets: int):
+def _send_entries(buckets: int, sizes: Sizes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for number, _, chunk, _ in chunks(batches):
-            b = bucket_of(chunk.e_hash, buckets)
+        for number, _, chunk, _ in chunks(batches, sizes):
+            b, check = bucket_of(chunk.e_hash, buckets), chunk.checksum()
             cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.empty(0, np.int64)
             rows = []
             for low, high in zip(cuts, [*cuts[1:], len(b)]):
                 least, docs = _pack_docs(chunk.e_doc[low:high])
                 keys = _pack(chunk.e_hash[low:high].astype("<u4"), chunk.e_context[low:high])
-                rows.append((int(b[low]), part, number, least, docs, keys))
+                rows.append((int(b[low]), part, number, least, docs, keys, check))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _SENT)], ["bucket", "part", "chunk", "least", "docs", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _SENT)], ["bucket", "part", "chunk", "least", "docs", "keys", "checksum"])
 
     return run
 
 
-_SENT = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-FREE, COVERED, UNDECIDED = 0, 1, 2
+_SENT = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+FREE, COVERED, UNDECIDED, SPLIT = 0, 1, 2, 3
 
 
-def decide(h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def decide(h: np.ndarray, c: np.ndarray, doc: np.ndarray, hot: int) -> np.ndarray:
     """The code of each entry of a bucket."""
     order = np.lexsort((doc, c, h))
     h, c, doc = h[order], c[order], doc[order]
@@ -258,29 +297,35 @@ def decide(h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> np.ndarray:
     # contexts beside others of the same anchor, not all first in one document
     c_of_h = np.searchsorted(cs, hs)
     low, high = np.minimum.reduceat(first, c_of_h), np.maximum.reduceat(first, c_of_h)
-    mixed = np.repeat(low < high, np.diff(np.append(hs, n)))
-    code[mixed & (code == FREE)] = UNDECIDED
+    sizes = np.diff(np.append(hs, n))
+    mixed = np.repeat(low < high, sizes) & (code == FREE)
+    code[mixed] = UNDECIDED
+    code[mixed & np.repeat(np.diff(np.append(c_of_h, len(cs))) > hot, sizes)] = SPLIT
     out = np.empty(n, np.uint8)
     out[order] = code
     return out
 
 
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _groups(batches):
-        keys = [_unpack(r[5], "<u4", "<u8") for r in rows]
-        sizes = [len(k[0]) for k in keys]
-        docs = [_unpack_docs(r[3], r[4], n) for r, n in zip(rows, sizes)]
-        code = decide(np.concatenate([k[0] for k in keys]), np.concatenate([k[1] for k in keys]), np.concatenate(docs))
-        codes = np.split(code, np.cumsum(sizes)[:-1])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[1] for r in rows], pa.int32()),
-                pa.array([r[2] for r in rows], pa.int32()),
-                pa.array([r[0] for r in rows], pa.int32()),
-                pa.array([_pack(x)[:4] + np.packbits((x[:, None] >> np.array([0, 1], np.uint8)) & 1).tobytes() for x in codes], pa.binary()),
-            ],
-            ["part", "chunk", "bucket", "codes"],
-        )
+def _decide(hot: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            keys = [_unpack(r[5], "<u4", "<u8") for r in rows]
+            sizes = [len(k[0]) for k in keys]
+            docs = [_unpack_docs(r[3], r[4], n) for r, n in zip(rows, sizes)]
+            code = decide(np.concatenate([k[0] for k in keys]), np.concatenate([k[1] for k in keys]), np.concatenate(docs), hot)
+            codes = np.split(code, np.cumsum(sizes)[:-1])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([r[1] for r in rows], pa.int32()),
+                    pa.array([r[2] for r in rows], pa.int32()),
+                    pa.array([r[0] for r in rows], pa.int32()),
+                    pa.array([_pack(x)[:4] + np.packbits((x[:, None] >> np.array([0, 1], np.uint8)) & 1).tobytes() for x in codes], pa.binary()),
+                    pa.array([r[6] for r in rows], pa.int64()),
+                ],
+                ["part", "chunk", "bucket", "codes", "checksum"],
+            )
+
+    return run
 
 
 def _codes(blob: bytes) -> np.ndarray:
@@ -291,111 +336,130 @@ def _codes(blob: bytes) -> np.ndarray:
 
 def _told(folder: str, part: int, columns: list[str]) -> dict[int, list[tuple]]:
     """Rows for a partition of the scan, by chunk, in the order of ``columns``."""
-    store, path = common.open_fs(folder)
-    where = f"{path}/part={part}"
+    t = common.read_parquet(f"{folder}/part={part}", ["chunk", *columns])
     out: dict[int, list[tuple]] = {}
-    if store.get_file_info(where).type.name == "NotFound":
-        return out
-    from pyarrow import fs
-
-    for f in store.get_file_info(fs.FileSelector(where)):
-        if f.path.endswith(".parquet"):
-            with store.open_input_file(f.path) as source:
-                t = pq.read_table(source, columns=["chunk", *columns])
-            for row in zip(*(c.to_pylist() for c in t.columns)):
-                out.setdefault(row[0], []).append(row[1:])
+    if t is not None:
+        for row in zip(*(t.column(c).to_pylist() for c in ("chunk", *columns))):
+            out.setdefault(row[0], []).append(row[1:])
     return {k: sorted(v) for k, v in out.items()}
 
 
+_DECIDED = ["bucket", "codes", "checksum"]
+
+
 def _codes_of(told: dict, number: int, chunk: Chunk) -> np.ndarray:
-    got = [_codes(blob) for _, blob in told.get(number, ())]
-    codes = np.concatenate(got) if got else np.empty(0, np.uint8)
-    if len(codes) != len(chunk.e_hash):
+    got = told.get(number, ())
+    codes = np.concatenate([_codes(blob) for _, blob, _ in got]) if got else np.empty(0, np.uint8)
+    if len(codes) != len(chunk.e_hash) or (got and {c for _, _, c in got} != {chunk.checksum()}):
         raise RuntimeError("the partitions of the scan have changed between two passes")
     return codes
 
 
 # ---- second pass
 
+_CONTEXTS = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+
 
-def _send_contexts(buckets: int, decided: str):
+def _send_contexts(buckets: int, decided: str, sizes: Sizes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        told = _told(decided, part, ["bucket", "codes"])
-        for number, _, chunk, _ in chunks(batches):
-            entry = np.flatnonzero(_codes_of(told, number, chunk) == UNDECIDED)
-            if not len(entry):
-                continue
-            a = chunk.e_first[entry]
-            place = chunk.at[a][:, None] + np.arange(-SIDE, LENGTH)
-            held = (place >= chunk.low[a][:, None]) & (place < chunk.high[a][:, None])
-            context = np.where(held, chunk.data[np.clip(place, 0, len(chunk.data) - 1)], PAD).astype(np.uint8)
-            b = bucket_of(chunk.e_hash[entry], buckets)
-            cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-            rows = []
-            for low, high in zip(cuts, [*cuts[1:], len(b)]):
-                e = entry[low:high]
-                rows.append((int(b[low]), part, number, _pack(e.astype("<u4"), chunk.e_hash[e].astype("<u4"), chunk.e_doc[e]), context[low:high].tobytes()))
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["bucket", "part", "chunk", "keys", "contexts"])
+        told = _told(decided, part, _DECIDED)
+        for number, _, chunk, _ in chunks(batches, sizes):
+            codes, rows = _codes_of(told, number, chunk), []
+
+            def send(kind: int, b: np.ndarray, name: np.ndarray, h: np.ndarray, doc: np.ndarray, data: np.ndarray) -> None:
+                cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+                for low, high in zip(cuts, [*cuts[1:], len(b)]):
+                    keys = _pack(name[low:high].astype("<u4"), h[low:high].astype("<u4"), doc[low:high])
+                    rows.append((int(b[low]), part, number, kind, keys, data[low:high].tobytes()))
+
+            entry = np.flatnonzero(codes == UNDECIDED)
+            if len(entry):
+                h = chunk.e_hash[entry]
+                send(0, bucket_of(h, buckets), entry, h, chunk.e_doc[entry], chunk.contexts(entry))
+            entry = np.flatnonzero(codes == SPLIT)
+            if len(entry):
+                strings, doc, _, _ = chunk.strings(entry)
+                h = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in strings], np.uint64)
+                order = np.argsort(h, kind="stable")
+                send(1, bucket_of(h[order], buckets), order, h[order], doc[order], strings[order])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _CONTEXTS)], ["bucket", "part", "chunk", "kind", "keys", "contexts"])
 
     return run
 
 
-def longest_previous(contexts: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For the suffixes at the first SIDE + 1 places of each context: the longest previous
-    factor, cut off at LENGTH, that starts in a context of a smaller document.
-
-    Suffixes are sorted by LENGTH bytes. LPF is the larger of the common prefixes with the
-    previous and the next suffix, in that order, of a smaller document; the common prefix of two
-    suffixes is the smallest of those of neighbours between them. Suffixes that agree in LENGTH
-    bytes are put in the order of documents, so for a cut-off LPF the previous smaller one is in
-    the same run if there is one, and neighbours outside are shorter.
-    """
-    n = len(contexts)
-    starts = np.arange(SIDE + 1)
-    padded = np.concatenate([contexts, np.full((n, 8), PAD, np.uint8)], axis=1)
-    windows = np.lib.stride_tricks.sliding_window_view(padded, 56, axis=1)[:, : SIDE + 1].reshape(-1, 56)
-    words = np.ascontiguousarray(windows).view(">u8").astype(np.uint64)
-    words[:, 6] &= np.uint64(0xFFFF000000000000)  # 50 = 6 * 8 + 2 bytes
-    owner = np.repeat(doc, SIDE + 1)
-    # a suffix whose LENGTH bytes aren't all text matches nothing
-    whole = ((contexts == PAD).cumsum(axis=1)[:, LENGTH - 1 :] - np.concatenate([np.zeros((n, 1), int), (contexts == PAD).cumsum(axis=1)[:, :SIDE]], axis=1) == 0).ravel()
-    keep = np.flatnonzero(whole)
-    words, owner = words[keep], owner[keep]
-    lpf = np.zeros(n * len(starts), np.int64)
-    if len(keep):
-        order = np.lexsort((owner, *(words[:, k] for k in range(6, -1, -1))))
-        words, owner = words[order], owner[order]
-        full = np.concatenate([[False], (words[1:] == words[:-1]).all(axis=1)])  # common prefix with the one before is LENGTH
-        run = np.flatnonzero(~full)
-        size = np.diff(np.append(run, len(full)))
-        smaller = owner > np.repeat(owner[run], size)  # the previous smaller suffix is in the run
-        lpf[keep[order[smaller]]] = LENGTH
-    return lpf.reshape(n, -1)
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _groups(batches):
-        keys = [_unpack(r[3], "<u4", "<u4", "<i8") for r in rows]
-        sizes = [len(k[0]) for k in keys]
-        h, doc = np.concatenate([k[1] for k in keys]), np.concatenate([k[2] for k in keys])
-        contexts = np.concatenate([np.frombuffer(r[4], np.uint8).reshape(-1, WIDTH) for r in rows])
-        order = np.argsort(h, kind="stable")
-        ends = np.append(np.flatnonzero(np.diff(h[order])) + 1, len(h))
-        mask = np.zeros(len(h), np.uint32)
-        low = 0
-        while low < len(h):
-            # as many whole anchors as fit into a slice, at least one
-            k = max(np.searchsorted(ends, low + SLICE, "right") - 1, np.searchsorted(ends, low, "right"))
-            m = order[low : ends[k]]
-            lpf = longest_previous(contexts[m], doc[m])
-            mask[m] = ((lpf >= LENGTH) << np.arange(SIDE + 1)).sum(axis=1).astype(np.uint32)
-            low = ends[k]
-        masks = np.split(mask, np.cumsum(sizes)[:-1])
-        found = [(r[1], r[2], _pack(k[0][x > 0].astype("<u4"), x[x > 0])) for r, k, x in zip(rows, keys, masks) if x.any()]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.int32(), pa.int32(), pa.binary()))], ["part", "chunk", "masks"])
+def nearest_smaller(owner: np.ndarray, common_prefix: np.ndarray) -> np.ndarray:
+    """For each suffix the common prefix with the nearest one before it, in suffix order, of a smaller owner; 0 if there is none.
+
+    ``common_prefix``: of each suffix with the one before it. All suffixes step back at once: what lies between a suffix and
+    its pointer has no smaller owner, so where the pointer hasn't one either, it may jump to that one's pointer."""
+    at, size = np.arange(-1, len(owner) - 1), common_prefix.copy()
+    todo = np.flatnonzero((at >= 0) & (size > 0))
+    size[at < 0] = 0
+    while len(todo := todo[owner[at[todo]] >= owner[todo]]):
+        far = at[todo]
+        size[todo], at[todo] = np.where(at[far] >= 0, np.minimum(size[todo], size[far]), 0), at[far]
+        todo = todo[size[todo] > 0]
+    return size
+
+
+def longest_previous(contexts: np.ndarray, doc: np.ndarray, places: int = SIDE + 1) -> np.ndarray:
+    """For the suffixes at the first ``places`` places of each context (that are all text for ``LENGTH`` bytes): the longest previous
+    factor, up to the context's end: the longest prefix that also starts in a context of a smaller document.
+
+    Suffixes are sorted; of all smaller documents' suffixes the nearest before and the nearest after one in this order have the
+    longest common prefixes with it, which are the smallest of those of neighbours between them."""
+    n, width = contexts.shape
+    room = -(-width // 8) * 8
+    padded = np.concatenate([contexts, np.full((n, places - 1 + room - width), PAD, np.uint8)], axis=1)
+    suffixes = np.lib.stride_tricks.sliding_window_view(padded, room, axis=1)[:, :places].reshape(-1, room)
+    owner = np.repeat(doc, places)
+    gaps = (contexts == PAD).cumsum(axis=1)
+    before = np.concatenate([np.zeros((n, 1), gaps.dtype), gaps], axis=1)[:, :places]
+    whole = np.flatnonzero((gaps[:, LENGTH - 1 : LENGTH - 1 + places] == before).ravel())
+    lpf = np.zeros(n * places, np.int64)
+    if len(whole):
+        suffixes, owner = np.ascontiguousarray(suffixes[whole]), owner[whole]
+        words = suffixes.view(">u8").astype(np.uint64)
+        order = np.lexsort((owner, *(words[:, k] for k in range(words.shape[1] - 1, -1, -1))))
+        suffixes, owner = suffixes[order], owner[order]
+        sizes = (suffixes != PAD).sum(axis=1)  # a text's end is the context's end: no gap comes before text here
+        apart = suffixes[1:] != suffixes[:-1]
+        same = np.where(apart.any(axis=1), apart.argmax(axis=1), room)
+        same = np.concatenate([[0], np.minimum(same, np.minimum(sizes[1:], sizes[:-1]))])
+        back = np.concatenate([[0], same[1:][::-1]])
+        lpf[whole[order]] = np.maximum(nearest_smaller(owner, same), nearest_smaller(owner[::-1], back)[::-1])
+    return lpf.reshape(n, places)
+
+
+def _compare(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for every in _groups(batches):
+            for kind, width in ((0, WIDTH), (1, LENGTH)):
+                rows = [r for r in every if r[3] == kind]
+                if not rows:
+                    continue
+                keys = [_unpack(r[4], "<u4", "<u4", "<i8") for r in rows]
+                sizes = [len(k[0]) for k in keys]
+                h, doc = np.concatenate([k[1] for k in keys]), np.concatenate([k[2] for k in keys])
+                contexts = np.concatenate([np.frombuffer(r[5], np.uint8).reshape(-1, width) for r in rows])
+                order = np.argsort(h, kind="stable")
+                ends = np.append(np.flatnonzero(np.diff(h[order])) + 1, len(h))
+                mask, places, low = np.zeros(len(h), np.uint32), width - LENGTH + 1, 0
+                while low < len(h):
+                    # as many whole anchors as fit into a slice, at least one
+                    k = max(np.searchsorted(ends, low + most, "right") - 1, np.searchsorted(ends, low, "right"))
+                    m = order[low : ends[k]]
+                    mask[m] = ((longest_previous(contexts[m], doc[m], places) >= LENGTH) << np.arange(places)).sum(axis=1).astype(np.uint32)
+                    low = ends[k]
+                masks = np.split(mask, np.cumsum(sizes)[:-1])
+                found = [(r[1], r[2], kind, _pack(k[0][x > 0].astype("<u4"), x[x > 0])) for r, k, x in zip(rows, keys, masks) if x.any()]
+                if found:
+                    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], ["part", "chunk", "kind", "masks"])
+
+    return run
 
 
 # ---- third pass
@@ -416,19 +480,26 @@ def covered(chunk: Chunk, codes: np.ndarray, masks: np.ndarray) -> np.ndarray:
     return np.cumsum(change)[:-1] > 0
 
 
-def _remove(decided: str, compared: str):
+def _remove(decided: str, compared: str, sizes: Sizes):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        told, told_masks = _told(decided, part, ["bucket", "codes"]), _told(compared, part, ["masks"])
-        id_type = None
-        for number, docs, chunk, starts in chunks(batches):
+        told, told_masks = _told(decided, part, _DECIDED), _told(compared, part, ["kind", "masks"])
+        for number, docs, chunk, starts in chunks(batches, sizes):
             codes = _codes_of(told, number, chunk)
-            masks = np.zeros(len(codes), np.uint32)
-            for (blob,) in told_masks.get(number, ()):
-                e, m = _unpack(blob, "<u4", "<u4")
-                masks[e] = m
+            masks, split = np.zeros(len(codes), np.uint32), np.flatnonzero(codes == SPLIT)
+            hits = [(split_one, *_unpack(blob, "<u4", "<u4")) for split_one, blob in told_masks.get(number, ())]
+            for split_one, e, m in hits:
+                if not split_one:
+                    masks[e] = m
+            if len(split):
+                strings, _, of, later = chunk.strings(split)
+                found = np.zeros(len(strings) + 1, bool)  # the last one stands for -1
+                for split_one, e, _ in hits:
+                    if split_one:
+                        found[e] = True
+                masks[split] = ((later | found[of]) << np.arange(SIDE + 1)).sum(axis=1).astype(np.uint32)
             gone = covered(chunk, codes, masks)
             of_doc = [np.zeros(len(t), bool) for _, t in docs]
             for (d, _, p), at, low in zip(chunk.pieces, starts, chunk.starts):
@@ -443,25 +514,27 @@ def _remove(decided: str, compared: str):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: Sizes = Sizes()) -> DataFrame:
     """(id, n_bytes, spans: array of removed (start, end) bytes, kept: the remaining bytes) of every row."""
     spark = docs.sparkSession
+    docs = common.stable(docs)
+    common.pin_splits(spark)
     common.tune(spark, ROWS)
     base = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).cast("binary").alias("text"))
     buckets = common.partitions_for(docs, BUCKET_BYTES)
     folder = common.shared_dir(spark)
 
-    sent = base.mapInArrow(_send_entries(buckets), "bucket int, part int, chunk int, least bigint, docs binary, keys binary")
+    sent = base.mapInArrow(_send_entries(buckets, sizes), "bucket int, part int, chunk int, least bigint, docs binary, keys binary, checksum bigint")
     dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    decided = dealt.mapInArrow(_decide, "part int, chunk int, bucket int, codes binary")
+    decided = dealt.mapInArrow(_decide(sizes.hot), "part int, chunk int, bucket int, codes binary, checksum bigint")
     _by_part(decided, f"{folder}/decided")
 
-    sent = base.mapInArrow(_send_contexts(buckets, f"{folder}/decided"), "bucket int, part int, chunk int, keys binary, contexts binary")
+    sent = base.mapInArrow(_send_contexts(buckets, f"{folder}/decided", sizes), "bucket int, part int, chunk int, kind int, keys binary, contexts binary")
     dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    _by_part(dealt.mapInArrow(_compare, "part int, chunk int, masks binary"), f"{folder}/compared")
+    _by_part(dealt.mapInArrow(_compare(sizes.slice), "part int, chunk int, kind int, masks binary"), f"{folder}/compared")
 
     out = base.mapInArrow(
-        _remove(f"{folder}/decided", f"{folder}/compared"), "id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
+        _remove(f"{folder}/decided", f"{folder}/compared", sizes), "id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
     )
     return out.withColumnRenamed("id", id_col)
 

@@ -73,19 +73,28 @@ class Counter:
         self.table = {b: c for b, c in enumerate(v.chars)}
         self.whole = prove_whole(v)
         self.memo = Memo(self.count_piece, MEMO)
+        self.words = Memo(self.count_word, MEMO)
+
+    def count_word(self, word: str) -> int:
+        return sum(map(self.memo.__getitem__, self.v.cut(word)))
 
     def count_piece(self, piece: str) -> int:
         # plain ASCII stands for itself in a byte-level vocabulary
         text = piece if piece.isascii() and piece.isprintable() and " " not in piece else "".join(map(self.table.__getitem__, piece.encode("utf-8")))
         if text + self.v.suffix in self.whole:
             return 1
-        return len(self.v.merge(self.v.symbols(piece)))
+        return len(self.v.merge(self.v.symbols(piece)))  # n log n: a word of a megabyte takes seconds
 
     def count(self, text: str) -> int:
         n = 0
         for part, special in self.v.segments(text):
-            n += 1 if special >= 0 else sum(map(self.memo.__getitem__, self.v.pieces(part)))
+            if special >= 0:
+                n += 1
+            else:
+                words, uncut = self.v.words(part)
+                n += sum(map((self.words if uncut else self.memo).__getitem__, words))
         self.memo.trim()
+        self.words.trim()
         return n
 
 

@@ -10,7 +10,7 @@ each document starts, so one document is decoded without the others
 (``Shard.ids_at``).
 
 Shard files are written under temporary names, renamed, and listed in a manifest
-table; names come from the partition and the shard's number, so a task that is
+table beside them; names come from the partition and the shard's number, so a task that is
 run again replaces its files by equal ones.
 
 File format (little-endian): ``KLRP1``, header length (u32), header (JSON: counts, base
@@ -65,6 +65,10 @@ class LibraryEncoder:
         self.merges = self.library.model.tokenize
         self.table = {b: c for b, c in enumerate(self.v.chars)}
         self.memo = Memo(self._ask, MEMO)
+        self.words = Memo(self._word, MEMO)
+
+    def _word(self, word: str) -> bytes:
+        return b"".join(map(self.memo.__getitem__, self.v.cut(word)))
 
     def _ask(self, piece: str) -> bytes:
         # a piece is normalised and cut already: what is left of the library's work are the merges
@@ -74,8 +78,13 @@ class LibraryEncoder:
     def encode(self, text: str) -> bytes:
         out = []
         for part, special in self.v.segments(text):
-            out.append(special.to_bytes(4, "little") if special >= 0 else b"".join(map(self.memo.__getitem__, self.v.pieces(part))))
+            if special >= 0:
+                out.append(special.to_bytes(4, "little"))
+            else:
+                words, uncut = self.v.words(part)
+                out.extend(map((self.words if uncut else self.memo).__getitem__, words))
         self.memo.trim()
+        self.words.trim()
         return b"".join(out)
 
 
@@ -87,45 +96,51 @@ def library_encoder(path: str) -> LibraryEncoder:
 # ---- grammar
 
 
-def repair(ids: np.ndarray, base: int, end: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, base: int, end: int, least: int = LEAST, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rule k of two symbols is symbol ``base + k``; ``end`` is in no rule.
 
-    A round replaces the pairs of at least a quarter of the greatest count, where places overlap the more frequent
-    pair; rounds go on until no pair has ``least`` places that don't overlap."""
+    A round replaces all pairs of at least a ``step``-th of the last round's least count, where places overlap the more frequent
+    pair; counts are true ones. Rounds go on until no pair has ``least`` places that don't overlap."""
     least = max(2, least)
     seq = ids.astype(np.uint32)
-    live = np.ones(max(0, len(seq) - 1), bool)  # places whose pair may still have that many
-    live &= (seq[:-1] != end) & (seq[1:] != end)
+    live = np.ones(max(0, len(seq) - 1), bool)
+    live &= (seq[:-1] != end) & (seq[1:] != end)  # places whose pair may still have that many
     rules: list[np.ndarray] = []
-    made = 0
+    made, floor = 0, 1 << 31
     while True:
         at = np.flatnonzero(live)
         if len(at) < least:
             break
         left, right = seq[at], seq[at + 1]
+        size = min(1 << 22, 1 << max(10, (4 * len(at)).bit_length()))
         # buckets of a hash bound the counts from above: only pairs in full enough ones are counted
-        bucket = (left * np.uint32(2654435761) + right * np.uint32(2246822519)) >> np.uint32(10)
-        held = np.bincount(bucket, minlength=1 << 22)
-        live[at[held[bucket] < least]] = False
-        floor = max(least, int(held.max()) // 4)
+        bucket = ((left * np.uint32(2654435761) + right * np.uint32(2246822519)) >> np.uint32(32 - size.bit_length() + 1)).astype(np.int32)
+        held = np.bincount(bucket, minlength=size)
+        of = held[bucket]
+        live[at[of < least]] = False
+        floor = max(least, min(floor, int(held.max())) // step)
         while True:
-            some = np.flatnonzero(held[bucket] >= floor)
-            where, pair = at[some], left[some].astype(np.uint64) << np.uint64(32) | right[some]
+            some = np.flatnonzero(of >= floor)
+            where, l, r = at[some], left[some], right[some]
             # of a run of one symbol every other place counts
-            twin = np.flatnonzero(left[some] == right[some])
-            breaks = np.flatnonzero(np.concatenate([[True], np.diff(where[twin]) != 1])) if len(twin) else twin
-            odd = (np.arange(len(twin)) - np.repeat(breaks, np.diff(np.append(breaks, len(twin))))) % 2 == 1
-            counted = np.ones(len(some), bool)
-            counted[twin[odd]] = False
-            where, pair = where[counted], pair[counted]
+            twin = np.flatnonzero(l == r)
+            if len(twin):
+                breaks = np.flatnonzero(np.concatenate([[True], np.diff(where[twin]) != 1]))
+                odd = (np.arange(len(twin)) - np.repeat(breaks, np.diff(np.append(breaks, len(twin))))) % 2 == 1
+                counted = np.ones(len(some), bool)
+                counted[twin[odd]] = False
+                where, l, r = where[counted], l[counted], r[counted]
+            pair = l.astype(np.uint64) << np.uint64(32) | r
             order = np.argsort(pair, kind="stable")
             where, pair = where[order], pair[order]
             starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.empty(0, np.int64)
             counts = np.diff(np.append(starts, len(pair)))
-            live[where[np.repeat(counts < least, counts)]] = False
+            rare = counts < least
+            if rare.any():
+                live[where[np.repeat(rare, counts)]] = False
             if floor == least or (counts >= floor).any():
                 break
-            floor = max(least, floor // 4)
+            floor = max(least, floor // step)
         chosen = np.flatnonzero(counts >= floor)
         if not len(chosen):
             break
@@ -140,18 +155,22 @@ def repair(ids: np.ndarray, base: int, end: int, least: int = LEAST) -> tuple[np
         used = np.bincount(mine, minlength=len(chosen) + 1)
         keep = used[mine] >= least
         where, pair = where[keep], pair[keep]
-        ruled, k = np.unique(pair, return_inverse=True)
-        seq[where] = (base + made + k).astype(np.uint32)
-        stay = np.ones(len(seq), bool)
-        stay[where + 1] = False
-        live = np.append(live, False)
-        live[where] = True
-        live[where[where > 0] - 1] = True
-        live[where] |= live[where + 1]
-        seq, live = seq[stay], live[stay][:-1]
-        live &= (seq[:-1] != end) & (seq[1:] != end)
-        rules.append(np.stack([ruled >> np.uint64(32), ruled & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        made += len(ruled)
+        if len(where):
+            new = np.concatenate([[True], pair[1:] != pair[:-1]])
+            k = np.cumsum(new) - 1
+            ruled = pair[new]
+            seq[where] = (base + made + k).astype(np.uint32)
+            stay = np.ones(len(seq), bool)
+            stay[where + 1] = False
+            live = np.append(live, False)
+            live[where] = True
+            live[where[where > 0] - 1] = True
+            seq, live = seq[stay], live[stay][:-1]
+            live &= (seq[:-1] != end) & (seq[1:] != end)
+            rules.append(np.stack([ruled >> np.uint64(32), ruled & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+            made += len(ruled)
+        elif floor == least:
+            break
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
 
 
@@ -287,7 +306,7 @@ def write_shards(docs: DataFrame, vocab_path: str, end_id: int, folder: str, id_
     got = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), common.text_of(text_col).alias("text"))
     parts = common.partitions_for(docs, PARTITION_BYTES)
     ordered = got.repartitionByRange(parts, "id", "row").sortWithinPartitions("id", "row").select("id", "text")
-    return common.materialize(ordered.mapInArrow(run, "part int, seq int, name string, docs bigint, ids bigint, bytes bigint"))
+    return common.materialize(ordered.mapInArrow(run, "part int, seq int, name string, docs bigint, ids bigint, bytes bigint"), f"{folder}/manifest")
 
 
 def read_shards(manifest: DataFrame, folder: str, end_id: int) -> DataFrame:

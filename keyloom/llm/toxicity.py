@@ -13,7 +13,7 @@ covers every row and whole texts; a worker remembers weights of words in a
 bounded memo.
 
 Defined cases: null and empty texts have no sentences and score the noisy-or of
-none, zero; a null id or label is not trained on; repeated rows are scored each; an
+none, zero; a null id or label is not trained on, and a null id is in no held-out fold; repeated rows are scored each; an
 empty table gives an empty result; if no label can be learnt from, every score is
 zero; other columns are left out by ``score`` and kept by ``keep_rows``.
 """
@@ -33,7 +33,7 @@ from . import common
 from .vocab import Memo
 
 #: Labelled rows to learn from, and the longest of them in bytes.
-SAMPLE, BAG_BYTES = 4000, 64 << 10
+SAMPLE, BAG_BYTES = 4000, 32 << 10
 #: Features kept: those in the most telling words and n-grams.
 FEATURES, LEAST_BAGS = 4000, 4
 #: Standard deviations by which a feature's positive bags exceed the mean to be kept.
@@ -237,7 +237,7 @@ def keep_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.load(spark, sf_dir, "documents")
     got = score(docs, train(docs, common.load(spark, sf_dir, "labels")))
-    held_out = F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
     return got.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

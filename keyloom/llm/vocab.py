@@ -1,13 +1,16 @@
 """Front ends of the public BPE vocabularies: special strings, normalisation and pre-tokens.
 
 A vocabulary is a path parameter; every Python worker loads it once. The
-scanners below give the same pre-tokens as the vocabulary's own file asks for;
-``tests/llm`` holds them against the library.
+scanners below give the same pre-tokens as the vocabulary's own file asks for, for texts of
+the characters in ``_KNOWN``: ``tests/llm`` holds each of them against the library. Tables of letters and
+cases differ between versions of Unicode, so texts with any other character are
+normalised and cut by the library itself.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import re
 import unicodedata
@@ -17,8 +20,16 @@ import regex
 #: White space as the vocabulary files' regular expressions understand it.
 _WS = r"\t-\r \x85\xa0  -     　"
 #: Texts of these characters alone go to the standard scanner, whose letters and digits
-#: are then those of ``LETTER`` and 0-9; others to the general one.
-_PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞€]*")
+#: are then those of ``LETTER`` and 0-9.
+_PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u2030-\u205e\u20ac]*")
+#: Characters for which the general scanner is known to cut as the library does: no combining marks, no conjoining letters.
+KNOWN = (
+    (0x00, 0x2AF), (0x370, 0x373), (0x376, 0x377), (0x37B, 0x37D), (0x386, 0x386), (0x388, 0x38A), (0x38C, 0x38C), (0x38E, 0x3A1), (0x3A3, 0x482), (0x48A, 0x52F), (0x5D0, 0x5EA),
+    (0x620, 0x64A), (0x660, 0x669), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF), (0x2190, 0x21FF), (0x2500, 0x257F), (0x3000, 0x3029),
+    (0x3041, 0x3096), (0x309B, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0xFF01, 0xFF5E), (0x1F300, 0x1F5FF), (0x1F600, 0x1F64F),
+)
+_KNOWN = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in KNOWN) + "]*")
+
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 
 # letters come first: no other alternative begins with one, and most pre-tokens are words
@@ -50,15 +61,21 @@ def lower(text: str) -> str:
     return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
 
+#: The longest string whose answer is remembered.
+LONGEST = 200
+
+
 class Memo(dict):
     """Answers of ``of`` by key. Of two generations of at most ``most`` keys the older is
-    forgotten, and what is asked for again moves to the younger."""
+    forgotten, and what is asked for again moves to the younger. Long keys are never kept."""
 
     def __init__(self, of, most: int):
         super().__init__()
         self.of, self.most, self.old = of, most, {}
 
     def __missing__(self, key):
+        if isinstance(key, str) and len(key) > LONGEST:
+            return self.of(key)
         got = self.old.get(key)
         if got is None:
             got = self.of(key)
@@ -75,6 +92,7 @@ class Vocab:
     """A vocabulary file: token bytes by id, ids by token, merge ranks and the text front end."""
 
     def __init__(self, path: str):
+        self.path, self._library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -87,16 +105,48 @@ class Vocab:
         self._hint = next(iter(self.special), "\0")[:2]
         self.lowers = spec["normalizer"] is not None
         self._plain, self._general = _WORDS if self.lowers else _SPACED
-        self._table = {chr(b): c for b, c in enumerate(self.chars)}
+        self._bytes = {c: b for b, c in enumerate(self.chars)}
 
-    def pieces(self, text: str) -> list[str]:
-        """Pre-tokens of a text without special strings, as plain text."""
+    def normal(self, text: str) -> str | None:
+        """The text as its scanner takes it; nothing if that is left to the library."""
+        if not text.isascii() and not _KNOWN.fullmatch(text):
+            return None
         if self.lowers:
             if not text.isascii() and not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = lower(text)
-        scan = self._plain if _PLAIN.fullmatch(text) else self._general
-        return scan.findall(text)
+        return text
+
+    def pieces(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special strings, as plain text."""
+        low = self.normal(text)
+        if low is None:
+            return self._ask(text)
+        return self.cut(low)
+
+    def cut(self, low: str) -> list[str]:
+        return (self._plain if _PLAIN.fullmatch(low) else self._general).findall(low)
+
+    def words(self, text: str) -> tuple[list[str], bool]:
+        """Parts of a text that encode by themselves, and whether they are yet to be cut: where no pre-token has white space the
+        runs between it, which are fewer than pre-tokens and fast to find."""
+        low = self.normal(text)
+        if low is None:
+            return self._ask(text), False
+        if self.lowers and _PLAIN.fullmatch(low):
+            return low.split(), True
+        return self.cut(low), False
+
+    def _ask(self, text: str) -> list[str]:
+        """Pre-tokens by the library."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        if self._library.normalizer is not None:
+            text = self._library.normalizer.normalize_str(text)
+        back = self._bytes
+        return [bytes([back[c] for c in piece]).decode("utf-8") for piece, _ in self._library.pre_tokenizer.pre_tokenize_str(text)]
 
     def segments(self, text: str) -> list[tuple[str, int]]:
         """The text cut at its special strings: (text, -1) or ("", id)."""
@@ -118,22 +168,26 @@ class Vocab:
         return out
 
     def merge(self, symbols: list[str]) -> list[str]:
-        """Byte-pair merging by rank; of equal ranks the leftmost first."""
+        """Byte-pair merging by rank; of equal ranks the leftmost first. Time grows as n log n."""
         symbols, rank = list(symbols), self.rank
-        while len(symbols) > 1:
-            best, at = min((rank.get(p, 1 << 60), k) for k, p in enumerate(zip(symbols, symbols[1:])))
-            if best == 1 << 60:
-                break
-            a, b, out, k = symbols[at], symbols[at + 1], [], 0
-            while k < len(symbols):
-                if k + 1 < len(symbols) and symbols[k] == a and symbols[k + 1] == b:
-                    out.append(a + b)
-                    k += 2
-                else:
-                    out.append(symbols[k])
-                    k += 1
-            symbols = out
-        return symbols
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        todo = [(r, k, p[0], p[1]) for k, p in enumerate(zip(symbols, symbols[1:])) if (r := rank.get(p)) is not None]
+        heapq.heapify(todo)
+        while todo:
+            _, k, a, b = heapq.heappop(todo)
+            follow = after[k]
+            if symbols[k] != a or follow >= n or symbols[follow] != b:
+                continue  # one of the two has been taken up
+            symbols[k], symbols[follow] = a + b, None
+            after[k] = beyond = after[follow]
+            if beyond < n:
+                before[beyond] = k
+                if (r := rank.get((a + b, symbols[beyond]))) is not None:
+                    heapq.heappush(todo, (r, k, a + b, symbols[beyond]))
+            if (prior := before[k]) >= 0 and (r := rank.get((symbols[prior], a + b))) is not None:
+                heapq.heappush(todo, (r, prior, symbols[prior], a + b))
+        return [x for x in symbols if x is not None]
 
 
 @functools.lru_cache(maxsize=4)

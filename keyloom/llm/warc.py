@@ -113,8 +113,8 @@ def decisions(pages: DataFrame) -> DataFrame:
     keys = pages.select("page_id", "row", "url", F.octet_length("payload").alias("n"), F.sha2("payload", 256).alias("sha")).where(F.col("n") >= REVISIT_BYTES)
     keys = common.materialize(keys)
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row", "url")).alias("first")
-    groups = keys.groupBy("n", "sha").agg(first, F.count("*").alias("copies")).where("copies > 1").select("n", "sha", "first")
-    return keys.join(groups, ["n", "sha"]).where("row <> first.row").select(
+    groups = keys.groupBy("n", "sha").agg(first, F.count("*").alias("copies")).where("copies > 1").select("n", "sha", "first", "copies")
+    return common.join_spread(keys, common.materialize(groups), ["n", "sha"], "copies").where("row <> first.row").select(
         "page_id", "row", F.col("first.page_id").alias("ref_id"), F.col("first.row").alias("ref_row"), F.col("first.url").alias("ref_url")
     )
 
@@ -215,11 +215,12 @@ WITH p AS (
 ), d AS (
   SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p
 ), f AS (
-  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d
+  SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS first
+  FROM d WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST)
 )
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+       CASE WHEN payload_bytes >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND place > 1 THEN first END AS refers_to
 FROM f
 """
 }

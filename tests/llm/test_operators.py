@@ -136,17 +136,10 @@ def test_suffix_dedup_against_brute_force(docs, rows, empty, monkeypatch):
 
 def test_suffix_dedup_cuts_long_texts_without_losing_matches():
     text = prose(3, 3000).encode()
-    pieces = [p for _, p in suffix_dedup.pieces_of(text)]
-    assert pieces == [text]
-    old = suffix_dedup.PIECE
-    suffix_dedup.PIECE = 500
-    try:
-        cut = list(suffix_dedup.pieces_of(text))
-        windows = {at + k for at, p in cut for k in range(len(p) - 49)}
-        assert windows == set(range(len(text) - 49))
-        assert all(text[at : at + len(p)] == p for at, p in cut)
-    finally:
-        suffix_dedup.PIECE = old
+    assert [p for _, p in suffix_dedup.pieces_of(text)] == [text]
+    cut = list(suffix_dedup.pieces_of(text, 500))
+    assert {at + k for at, p in cut for k in range(len(p) - 49)} == set(range(len(text) - 49))
+    assert all(text[at : at + len(p)] == p for at, p in cut)
 
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -193,18 +186,24 @@ def test_decontamination_finds_items_and_leaves_others(spark, empty):
 
 def test_wand_retrieves_all_above_the_threshold():
     r = random.Random(5)
-    items = [(k, prose(1000 + k, r.randint(3, 40))) for k in range(60)]
+    items = [(k, prose(1000 + k, r.randint(3, 40))) for k in range(60)] + [(k, prose(1000 + k, 90)) for k in range(60, 64)]
     index = decontaminate.Index(items)
-    part = index.parts[0]
-    for seed in range(20):
-        words = decontaminate.words_of(prose(seed, r.randint(1, 400)) + " " + items[seed][1])
-        ids = np.array([part.terms.get(w, len(part.terms)) for w in words])
-        got = {(w, k) for w, k, _ in part.retrieve(ids, index.half)}
+    assert len(index.parts) == 2
+    texts = [decontaminate.words_of(prose(seed, r.randint(1, 400)) + " " + items[seed][1]) for seed in range(20)] + [[], ["unseen"]]
+    for part in index.parts:
+        got = {(d, w, k) for d, w, k, _ in part.retrieve(texts)}
+        by = {t: w for w, t in part.terms.items()}
         want = set()
-        for w in range(max(1, (len(words) - 1) // index.half)):
-            terms = np.unique(ids[w * index.half : (w + 2) * index.half])
-            score = part.impact[terms].sum(0, dtype=np.float64)
-            want |= {(w, int(k)) for k in np.flatnonzero(score >= decontaminate.THRESHOLD * 0.9999)}
+        for d, words in enumerate(texts):
+            halves = -(-len(words) // part.half)
+            for w in range(max(1, halves - 1)):
+                here = set(words[w * part.half : (w + 2) * part.half])
+                for block in range(part.blocks):
+                    lo, hi = part.b_start[block], part.b_start[block + 1]
+                    score = [0.0] * decontaminate.BLOCK
+                    for t, i, x in zip(part.b_term[lo:hi], part.b_item[lo:hi], part.b_impact[lo:hi]):
+                        score[i] += x if by[t] in here else 0
+                    want |= {(d, w, block * decontaminate.BLOCK + i) for i, x in enumerate(score) if x >= decontaminate.THRESHOLD * 0.9999}
         assert got == want
 
 
