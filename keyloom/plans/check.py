@@ -3,30 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import coverage, issues, policy
 from ..operators.matching import MatchOptions
-from ..sources import code, project
+from ..sources import extract, project
 from ..storage import cut
 
 
-def check(spark: SparkSession, root: str, options: MatchOptions | None = None, rules: dict[str, str] | None = None, ignore: list[str] | None = None, marker: str = "keyloom") -> DataFrame:
-    """Issues of a project below ``root``; comments that begin with the marker suppress some.
-
-    Files are read and scanned once: what they hold is written to the shared folder."""
-    files = project.scan(spark, root, ignore)
-    definitions = cut(project.definitions(files))
-    static, dynamic = map(cut, project.usages(files))
-    found = issues.analyze(definitions, static, dynamic, None, options or MatchOptions())
-    marks = code.extract_directives(files.where(F.col("rel_path").rlike(project.CODE)), marker)
-    found = policy.suppressed(cut(found), marks).where("not suppressed").drop("suppressed")
+def facts(spark: SparkSession, root: str, ignore: list[str] | None = None, paths: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+    """definitions, usages, dynamic, literals and files of a project. Files are read and parsed once."""
+    files = cut(project.scan(spark, root, ignore).where("role <> 'generated'"))
+    found = cut(extract.facts(files))
+    static, dynamic = extract.usages(found, files, paths)
+    return {"files": files, "definitions": cut(extract.definitions(found, files, paths)), "usages": cut(static), "dynamic": cut(dynamic), "literals": cut(extract.literals(found)), "facts": found}
+
+
+def check(
+    spark: SparkSession, root: str, options: MatchOptions | None = None, rules: dict[str, str] | None = None, ignore: list[str] | None = None, marker: str = "keyloom",
+    ignore_keys: list[str] | None = None, paths: dict[str, list[str]] | None = None, literals: bool = True, folder: str = "",
+) -> DataFrame:
+    """Issues of a project below ``root``; comments that begin with the marker suppress some. With a folder those of it."""
+    got = facts(spark, root, ignore, paths)
+    options = options or MatchOptions()
+    found = cut(issues.analyze(got["definitions"], got["usages"], got["dynamic"], got["literals"] if literals else None, options))
+    if folder:
+        found = cut(issues.in_folder(found, got["definitions"], folder, options))
+    found = policy.without_ignored_keys(found, ignore_keys or [])
+    found = policy.suppressed(found, project.directives(got["files"], marker)).where("not suppressed").drop("suppressed")
     return issues.ordered(policy.severities(found, rules) if rules else found)
 
 
 def coverage_of(spark: SparkSession, root: str, base: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(key coverage, coverage issues) of a project; the base is the one asked for, else English, else the first locale."""
-    definitions = project.definitions(project.scan(spark, root))
+    definitions = facts(spark, root)["definitions"]
     model = coverage.merged(definitions)
     locales = [r.locale for r in model.select("locale").distinct().orderBy("locale").collect()]  # as many as languages
     base = base or next((x for x in ("en", "en-US", "en-GB") if x in locales), locales[0] if locales else "en")

@@ -1,10 +1,4 @@
-"""Usages of translation keys in source code.
-
-A tolerant scanner, not a compiler: comments are blanked at equal length, bindings of
-translation functions are collected from hooks, imports and aliases, and the first argument
-of their calls is read as far as it is literal. What stays open becomes a dynamic usage with
-its prefix and suffix. Markup attributes that name keys, and directives in templates, are read as well.
-"""
+"""Suppression comments in source code."""
 
 from __future__ import annotations
 
@@ -15,120 +9,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 _TOKEN = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|<!--.*?(?:-->|\Z)|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`""", re.S)
-_LITERAL = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)"""
-_NAME = r"[A-Za-z_$][\w$]*"
-# fixed values: hooks and functions by library
-_HOOKS = {"useTranslation": "i18next", "useTranslations": "next-intl", "getTranslations": "next-intl", "useI18n": "vue-i18n", "createI18n": "vue-i18n"}
-_MEMBERS = {"i18n.t": "i18next", "i18next.t": "i18next", "i18n.global.t": "vue-i18n", "this.$t": "vue-i18n", "$t": "vue-i18n", "$tc": "vue-i18n", "$te": "vue-i18n", "translate.instant": "ngx-translate", "translate.get": "ngx-translate"}
-_HOOK = re.compile(rf"(?:const|let|var)\s+(?:\{{([^}}]*)\}}|\[([^\]]*)\]|({_NAME}))\s*=\s*(?:await\s+)?({'|'.join(_HOOKS)})\s*\(\s*(?:({_LITERAL})|(\[[^\]]*\]))?")
-_ALIAS = re.compile(rf"(?:const|let|var)\s+({_NAME})\s*=\s*({_NAME}(?:\.{_NAME})*)\s*(?:;|\n|$)")
-_MESSAGE = re.compile(rf"\bformatMessage\s*\(\s*\{{[^}}]*?\bid\s*:\s*({_LITERAL})")
-_MARKUP = re.compile(rf"<(FormattedMessage|Trans)\b[^>]*?\b(?:id|i18nKey)\s*=\s*\{{?\s*({_LITERAL})")
-_DIRECTIVE = re.compile(rf"""\b(?:v-t|keypath)\s*=\s*["']'?([\w.:-]+)'?["']|\{{\{{\s*({_LITERAL})\s*\|\s*(?:translate|transloco)\b""")
-_CONCAT = re.compile(rf"\s*({_LITERAL})\s*\+")
-_TERNARY = re.compile(rf"[^,()?]*\?\s*({_LITERAL})\s*:\s*({_LITERAL})\s*[,)]")
-_NS_KEY = re.compile(r"^([A-Za-z0-9_.@/-]+):(?!//)(.+)$", re.S)
-_OPTION_NS = re.compile(rf"\s*,\s*\{{[^}}]*?\bns\s*:\s*({_LITERAL})")
-
-
-def blank_comments(text: str) -> str:
-    """Comments as spaces, of equal length; strings stay."""
-    return _TOKEN.sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0][:2] in ("//", "/*", "<!") else m[0], text)
-
-
-def literal(raw: str) -> str:
-    return re.sub(r"\\(u[0-9a-fA-F]{4}|.)", lambda m: chr(int(m[1][1:], 16)) if m[1][0] == "u" and len(m[1]) == 5 else {"n": "\n", "t": "\t", "r": "\r"}.get(m[1], m[1]), raw[1:-1], flags=re.S)
-
-
-def bindings(code: str) -> dict[str, tuple[str, list[str], float]]:
-    """name -> (library, namespaces, confidence) of the translation functions of a file."""
-    found: dict[str, tuple[str, list[str], float]] = {}
-    for m in _HOOK.finditer(code):
-        library = _HOOKS[m[4]]
-        namespaces = [literal(x) for x in re.findall(_LITERAL, m[5] or m[6] or "")]
-        names = [p.split(":")[-1].split("=")[0].strip() for p in (m[1] or m[2]).split(",")] if m[1] or m[2] else [m[3]]
-        keys = [p.split(":")[0].split("=")[0].strip() for p in (m[1] or m[2]).split(",")] if m[1] or m[2] else ["t"]
-        for key, name in zip(keys, names):
-            if name and (key in ("t", "tc", "te", "$t") or m[3] or m[2]):
-                found[name] = (library, namespaces, 0.95)
-    for name, library in _MEMBERS.items():
-        found.setdefault(name, (library, [], 0.9))
-    if "t" not in found:
-        found["t"] = ("unknown", [], 0.5)  # implicit: nothing in the file says where it comes from
-    for m in _ALIAS.finditer(code):
-        if m[2] in found and m[1] not in found:
-            found[m[1]] = found[m[2]]
-    return found
-
-
-def scan(text: str) -> Iterator[tuple]:
-    """(kind, key, namespace, library, confidence, start, end, prefix, suffix) of the usages of a file; kind: static, dynamic."""
-    code = blank_comments(text)
-    bound = bindings(code)
-
-    def static(key: str, namespaces: list[str], library: str, confidence: float, start: int, end: int) -> tuple:
-        namespace = namespaces[0] if namespaces else None
-        if library == "next-intl" and namespace:
-            return "static", f"{namespace}.{key}", None, library, confidence, start, end, None, None
-        if m := _NS_KEY.match(key):
-            namespace, key = m[1], m[2]
-        return "static", key, namespace, library, confidence, start, end, None, None
-
-    called = "|".join(sorted((re.escape(n) for n in bound), key=len, reverse=True))
-    for m in re.finditer(rf"(?<![\w$.])({called})\s*\(\s*", code):
-        library, namespaces, confidence = bound[m[1]]
-        at = m.end()
-        one = re.compile(_LITERAL).match(code, at)
-        rest = code[one.end() : one.end() + 1] if one else ""
-        if one and not code[one.end() :].lstrip().startswith("+"):
-            body = one[0]
-            if body[0] == "`" and "${" in body:
-                inner = body[1:-1]
-                yield "dynamic", None, namespaces[0] if namespaces else None, library, 0.45, m.start(), one.end(), inner[: inner.index("${")], inner[inner.rindex("}") + 1 :]
-                continue
-            option = _OPTION_NS.match(code, one.end())
-            yield static(literal(body), [literal(option[1])] if option else namespaces, library, confidence, one.start(), one.end())
-            continue
-        if pair := _TERNARY.match(code, at):
-            for k in (1, 2):
-                yield static(literal(pair[k]), namespaces, library, min(confidence, 0.9), pair.start(k), pair.end(k))
-        elif joined := _CONCAT.match(code, at):
-            yield "dynamic", None, namespaces[0] if namespaces else None, library, 0.45, m.start(), joined.end(), literal(joined[1]), ""
-        del rest
-    for pattern, library, group in ((_MESSAGE, "react-intl", 1), (_MARKUP, "react-intl", 2)):
-        for m in pattern.finditer(code):
-            yield static(literal(m[group]), [], "i18next" if m[0].startswith("<Trans") else library, 0.9, m.start(group), m.end(group))
-    for m in _DIRECTIVE.finditer(code):
-        yield static(m[1] or literal(m[2]), [], "vue-i18n" if m[1] else "ngx-translate", 0.8, m.start(), m.end())
-
-
-def extract(files: DataFrame) -> DataFrame:
-    """Usages of files (rel_path, text)."""
-    names = ["kind", "key", "namespace", "library", "confidence", "start", "end", "prefix", "suffix", "line", "column"]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for path, text in zip(part["rel_path"], part["text"]):
-                for u in dict.fromkeys(scan(text or "")):
-                    start = u[5]
-                    rows.append((path, *u, text.count("\n", 0, start) + 1, start - text.rfind("\n", 0, start)))
-            yield pd.DataFrame(rows, columns=["rel_path", *names])
-
-    schema = "rel_path string, kind string, key string, namespace string, library string, confidence double, start bigint, end bigint, prefix string, suffix string, line bigint, column bigint"
-    return files.select("rel_path", "text").mapInPandas(run, schema)
-
-
+# fixed values: rules, and other names for them
 _RULES = ("missing-key", "unused-key", "duplicate-key", "untranslated-text")
+_RULE_NAMES = {
+    "unusedKey": "unused-key", "missingKey": "missing-key", "duplicateKey": "duplicate-key", "untranslatedText": "untranslated-text", "untranslated": "untranslated-text",
+    "hardcoded": "untranslated-text", "unused": "unused-key", "missing": "missing-key", "duplicate": "duplicate-key",
+}
 
 
 def directives(text: str, marker: str) -> Iterator[tuple[int, str, list[str]]]:
-    """(line, kind, rules) of the suppression comments of a file; strings don't count, unknown rules make one inert."""
+    """(line, kind, rules) of the suppression comments of a file; strings don't count. Unknown rules are left out; a comment that
+    names nothing else does nothing."""
     comments = "".join(m[0] if m[0][:2] in ("//", "/*", "<!") else re.sub(r"[^\n]", " ", m[0]) for m in re.finditer(rf"{_TOKEN.pattern}|[^\"'`/<]+|.", text, re.S))
     for m in re.finditer(rf"{re.escape(marker)}-(ignore-next-line|ignore|disable|enable)\b([^*\n]*)", comments):
-        rules = [r for r in re.split(r"[\s,]+", m[2].replace("-->", " ").split("--")[0].strip()) if r]
-        if all(r in _RULES for r in rules):
-            yield comments.count("\n", 0, m.start()) + 1, {"ignore-next-line": "ignore-next"}.get(m[1], m[1]), rules
+        given = [r for r in re.split(r"[\s,]+", m[2].replace("-->", " ").split("--")[0].strip()) if r]
+        rules = [r for r in (_RULE_NAMES.get(g, g) for g in given) if r in _RULES]
+        if rules or not given:
+            yield comments.count("\n", 0, m.start()) + 1, {"ignore-next-line": "ignore-next"}.get(m[1], m[1]), list(dict.fromkeys(rules))
 
 
 def extract_directives(files: DataFrame, marker: str) -> DataFrame:

@@ -2,60 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import locales
-from ..operators import policy
-from . import catalog, code
+from ..operators import files as kinds
+from ..operators import policy, settings
+from . import code, extract
 
-# fixed values: extensions that hold usages, folders that are never read, the largest file
-CODE = r"(?i)\.([cm]?[jt]sx?|vue|svelte|astro|html)$"
-CATALOG = r"(?i)\.json$"
+# fixed values: folders that are never read
 SKIPPED = r"(^|/)(node_modules|dist|build|coverage|out|\.[^/]+)/"
-LARGEST = 2_000_000
+#: Files that hold suppression comments.
+CODE = r"(?i)\.([cm]?[jt]sx?|vue|svelte|astro|html)$"
 
 
-def language(path: Column) -> Column:
-    ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1))
-    return (
-        F.when(ext.isin("ts", "tsx", "mts", "cts"), "typescript").when(ext.isin("js", "jsx", "mjs", "cjs"), "javascript").when(ext.isin("json", "jsonc"), "json")
-        .when(ext.isin("yml", "yaml"), "yaml").when(ext.isin("vue", "svelte", "astro", "html"), ext).otherwise("unknown")
-    )
+def listed(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
+    """(rel_path, language, role, size, state, content) of the files below a folder. Hidden, skipped and ignored ones are left out, by the
+    project's own .gitignore as well; too large ones are listed without their content."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = F.regexp_replace(F.lit(root.rstrip("/")), r"^[a-z]+:/+", "/")
+    found = found.withColumns({"clean": F.regexp_replace("path", r"^[a-z]+:/+", "/"), "base": base}).withColumn("rel_path", F.expr("substring(clean, length(base) + 2)"))
+    path = F.col("rel_path")
+    kept = found.where(~F.concat(F.lit("/"), path).rlike(SKIPPED))
+    own = found.where("rel_path = '.gitignore'").select(F.decode("content", "UTF-8").alias("t")).first()
+    if own is not None:
+        kept = kept.where(~settings.gitignored(path, own["t"].split("\n")))
+    for pattern in ignore or []:
+        kept = kept.where(~policy.glob_match(path, pattern, True))
+    language = F.when(kinds.extension(path).isin("mts", "cts"), "typescript").when(kinds.extension(path) == "html", "html").when(kinds.extension(path) == "jsonc", "json").otherwise(kinds.language(path))
+    limit = F.when(language.isin("json", "yaml"), kinds.LIMITS["sources"]).otherwise(kinds.LIMITS["usages"])
+    state = F.when(F.col("length") > limit, "skipped-too-large").otherwise("available")
+    return kept.select("rel_path", language.alias("language"), kinds.role(path).alias("role"), F.col("length").alias("size"), state.alias("state"), F.when(F.col("length") <= limit, F.col("content")).alias("content"))
 
 
 def scan(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
-    """(rel_path, language, size, text) of the files below a folder; large, binary, hidden and ignored ones are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/")), r"^[a-z]+:/+", "/")
-    rel = F.expr("substring(clean, length(base) + 2)")
-    files = files.withColumns({"clean": F.regexp_replace("path", r"^[a-z]+:/+", "/"), "base": base}).withColumn("rel_path", rel)
-    files = files.where((F.col("length") <= LARGEST) & ~F.concat(F.lit("/"), "rel_path").rlike(SKIPPED))
-    for pattern in ignore or []:
-        files = files.where(~policy.glob_match(F.col("rel_path"), pattern, True))
-    text = F.decode("content", "UTF-8")
-    return files.where(F.instr(text, "\0") == 0).select("rel_path", language(F.col("rel_path")).alias("language"), F.col("length").alias("size"), text.alias("text"))
+    """(rel_path, language, role, size, text) of the files that are read; large and binary ones are left out."""
+    body = F.decode("content", "UTF-8")
+    found = listed(spark, root, ignore).where("state = 'available'").withColumn("text", body)
+    return found.where(F.instr("text", "\0") == 0).select("rel_path", "language", "role", "size", "text")
 
 
 def definitions(files: DataFrame) -> DataFrame:
-    """Definition facts of the catalogs among the files, in catalog order."""
-    at = F.col("rel_path")
-    found = catalog.extract(files.where(at.rlike(CATALOG) & locales.infer_locale(at).isNotNull()).select(at.alias("file_id"), "text"))
-    path = F.col("file_id")
-    return found.select(
-        F.xxhash64("file_id", "start").alias("ord"), "key", locales.infer_locale(path).alias("locale"), locales.infer_namespace(path).alias("namespace"),
-        F.lit(None).cast("array<string>").alias("namespaces"), path.alias("rel_path"), "line", "column", F.lit(0.9).alias("confidence"), "value",
-    )
+    """Definition facts of the catalogs among the files."""
+    return extract.definitions(extract.facts(files.where("role <> 'generated'")), files)
 
 
 def usages(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Static and dynamic usage facts of the code among the files."""
-    found = code.extract(files.where(F.col("rel_path").rlike(CODE)))
-    none = F.lit(None).cast("array<string>").alias("namespaces")
-    static = found.where("kind = 'static'").select("key", "namespace", none, "rel_path", "line", "column", "confidence", F.lit(False).alias("suppress_unused_only"), "library")
-    part = lambda c: F.when(F.col(c) != "", F.array(c)).otherwise(F.array().cast("array<string>"))
-    dynamic = found.where("kind = 'dynamic'").select(
-        F.xxhash64("rel_path", "start").alias("ord"), "rel_path", "line", "column", "namespace", none, part("prefix").alias("prefixes"), part("suffix").alias("suffixes"),
-        F.array().cast("array<string>").alias("contains"), F.lit(False).alias("covers_namespace"),
-    )
-    return static, dynamic
+    return extract.usages(extract.facts(files.where("role <> 'generated'")), files)
+
+
+def directives(files: DataFrame, marker: str) -> DataFrame:
+    return code.extract_directives(files.where(F.col("rel_path").rlike(CODE)), marker)
