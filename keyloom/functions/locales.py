@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 
 # fixed values: tokens that are locales whatever else they mean
 WELL_KNOWN = (
-    "en en-us en-gb en-au en-ca fr fr-fr fr-ca de de-de de-at de-ch es es-es es-mx it it-it pt pt-br pt-pt nl nl-nl pl pl-pl ru ru-ru "
-    "ja ja-jp ko ko-kr zh zh-cn zh-tw zh-hans zh-hant ar ar-sa tr tr-tr sv sv-se da da-dk fi fi-fi no nb nn cs sk hu ro uk he hi th vi "
-    "id ms fa el bg hr sr sl lt lv et ca eu gl"
-).split()
+    "en", "en-us", "en-gb", "en-au", "en-ca", "fr", "fr-fr", "fr-ca", "de", "de-de", "de-at", "de-ch", "es", "es-es", "es-mx", "it", "it-it", "pt", "pt-br", "pt-pt", "nl", "nl-nl", "pl", "pl-pl",
+    "ru", "ru-ru", "ja", "ja-jp", "ko", "ko-kr", "zh", "zh-cn", "zh-tw", "zh-hans", "zh-hant", "ar", "ar-sa", "tr", "tr-tr", "sv", "sv-se", "da", "da-dk", "fi", "fi-fi", "no", "nb", "nn",
+    "cs", "sk", "hu", "ro", "uk", "he", "hi", "th", "vi", "id", "ms", "fa", "el", "bg", "hr", "sr", "sl", "lt", "lv", "et", "ca", "eu", "gl",
+)
 # fixed values: tokens of locale shape that are never locales
 BANNED = (
-    "src app lib libs bin dev tmp var opt api web ios css jsx tsx vue new old max min map set get put all any not and for key val obj doc "
-    "cfg env out dist build test tests spec main page pages node next nuxt vite public assets static shared common components hooks utils "
-    "helpers types models stores pkg mod dir id in is as at be by do go if me my of ok on or so to up us we"
-).split()
+    "src", "app", "lib", "libs", "bin", "dev", "tmp", "var", "opt", "api", "web", "ios", "css", "jsx", "tsx", "vue", "new", "old", "max", "min", "map", "set", "get", "put", "all", "any",
+    "not", "and", "for", "key", "val", "obj", "doc", "cfg", "env", "out", "dist", "build", "test", "tests", "spec", "main", "page", "pages", "node", "next", "nuxt", "vite", "public",
+    "assets", "static", "shared", "common", "components", "hooks", "utils", "helpers", "types", "models", "stores", "pkg", "mod", "dir", "id", "in", "is", "as", "at", "be", "by", "do",
+    "go", "if", "me", "my", "of", "ok", "on", "or", "so", "to", "up", "us", "we",
+)
 # fixed values: the shape of a locale, folders of locales, file name extensions and stems that are no namespace
 SHAPE = r"^(?:[a-z]{2,3})(?:[_-](?:[A-Z]{2}|\d{3}|[A-Z][a-z]{3}|[a-z]{2}))?(?:[_-](?:[A-Za-z0-9]+))?$"
 FOLDERS = r"(?i)(^|/)(locales?|i18n|langs?|languages|messages|translations)(/|$)"
 EXTENSION = r"(?i)\.(json|ya?ml|jsx?|tsx?|mjs|cjs|mts|cts)$"
-IGNORED_STEMS = "index messages locales locale i18n lang langs languages".split()
+IGNORED_STEMS = ("index", "messages", "locales", "locale", "i18n", "lang", "langs", "languages")
 
 
 def normalize_locale(token: Column) -> Column:
@@ -74,3 +75,8 @@ def looks_like_locale_map(keys: Column) -> Column:
     like = F.filter(keys, lambda k: looks_like_locale(k, True))
     known = F.filter(like, lambda k: F.lower(normalize_locale(k)).isin(*WELL_KNOWN))
     return (F.size(keys) > 0) & (F.size(like) / F.size(keys) >= 0.6) & ((F.size(known) >= 1) | (F.size(like) >= 2))
+
+
+def looks_like_namespace(key: Column) -> Column:
+    """An identifier, perhaps with hyphens, that is no locale."""
+    return (key != "") & ~looks_like_locale(key, True) & key.rlike(r"^[A-Za-z][A-Za-z0-9_-]*$")

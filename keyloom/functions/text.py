@@ -68,3 +68,8 @@ def coerce_severity(value: Column) -> Column:
     """error, warning, info or off of the aliases that configurations use."""
     low = F.lower(value)
     return F.when(low.isin("error", "2", "true"), "error").when(low.isin("warn", "warning", "1"), "warning").when(low == "info", "info").when(low.isin("off", "0", "false"), "off")
+
+
+def string_ratio(kind: Column) -> Column:
+    """Aggregate: the share of leaves that are strings; zero of none."""
+    return F.coalesce(F.avg(F.when(kind == "string", 1.0).otherwise(0.0)), F.lit(0.0))

@@ -108,3 +108,27 @@ def key_tree(model: DataFrame) -> DataFrame:
     nodes = parts.select("ns", "key", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("depth"), "parts")
     nodes = nodes.withColumn("path", F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "."))
     return nodes.groupBy("ns", "path", "depth").agg(F.max(F.col("depth") == F.size("parts")).alias("is_leaf"), F.count("*").alias("leaf_count"))
+
+
+def complete(covered: DataFrame) -> DataFrame:
+    """(ns, key) of the keys that every compared locale has."""
+    return covered.where("coverage = 1").select("ns", "key")
+
+
+def merged_catalogs(parts: list[DataFrame], min_confidence: float = 0.0) -> DataFrame:
+    """The winners over the catalogs of several packages; each package's order follows that of the ones before it."""
+    out = None
+    for k, part in enumerate(parts):
+        part = part.withColumn("ord", F.struct(F.lit(k).alias("package"), F.col("ord").alias("ord")))
+        out = part if out is None else out.unionByName(part)
+    facts = out.where((F.col("confidence") >= min_confidence) & (F.coalesce("locale", F.lit("")) != ""))
+    best = F.max_by(F.struct("rel_path", "line", "column", "confidence"), F.struct("confidence", (-F.col("ord.package")).alias("p"), (-F.col("ord.ord")).alias("o"))).alias("d")
+    return facts.groupBy(F.coalesce("namespace", F.lit(DEFAULT_NS)).alias("ns"), "key", "locale").agg(best).select("ns", "key", "locale", "d.*")
+
+
+def distinct_sources(definitions: DataFrame) -> DataFrame:
+    """(locale, namespace, print, rel_path, copies): sources of one locale and namespace that hold the same keys are one; the
+    first path stands for them."""
+    keys = F.md5(F.array_join(F.array_sort(F.collect_list("key")), ",")).alias("print")
+    each = definitions.groupBy("rel_path", F.coalesce("locale", F.lit("*")).alias("locale"), F.coalesce("namespace", F.lit("*")).alias("namespace")).agg(keys)
+    return each.groupBy("locale", "namespace", "print").agg(F.min("rel_path").alias("rel_path"), F.count("*").alias("copies"))

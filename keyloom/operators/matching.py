@@ -68,12 +68,6 @@ def probes(definitions: DataFrame) -> DataFrame:
     return own.union(more.where("ns <> ''")).distinct()
 
 
-def asked(usages: DataFrame, options: MatchOptions) -> DataFrame:
-    """(key, ns): each pair that some usage resolves to; and (key, null) for each key."""
-    pairs = usages.select("key", resolve_namespaces(options).alias("all")).distinct()
-    return pairs.select("key", F.explode("all").alias("ns")).union(pairs.select("key", F.lit(None).cast("string"))).distinct()
-
-
 def shared_origins(definitions: DataFrame) -> DataFrame:
     """(rel_path, line, column, key, siblings): sites whose key is registered under two or more namespaces."""
     site = ["rel_path", "line", "column", "key"]
@@ -82,7 +76,7 @@ def shared_origins(definitions: DataFrame) -> DataFrame:
     return each.groupBy(*site).agg(F.collect_set("ns").alias("siblings")).where(F.size("siblings") >= 2)
 
 
-def group_probes(definitions: DataFrame, options: MatchOptions) -> DataFrame:
+def group_probes(definitions: DataFrame, options: MatchOptions, origins: DataFrame | None = None) -> DataFrame:
     """(ns_group, key, ns): for each logical group, all (key, ns) by which a usage counts for it; unused-only siblings included."""
     if not options.match_namespace:
         return definitions.select(F.lit(None).cast("string").alias("ns_group"), "key", F.lit(None).cast("string").alias("ns")).distinct()
@@ -90,13 +84,14 @@ def group_probes(definitions: DataFrame, options: MatchOptions) -> DataFrame:
     plain = definitions.where(present().isNull()).select(F.lit(None).cast("string").alias("ns_group"), "key", F.lit(None).cast("string").alias("ns"))
     own = named.select(F.col("namespace").alias("ns_group"), "key", F.explode(F.concat(F.array("namespace"), F.coalesce("namespaces", F.array().cast("array<string>")))).alias("ns"))
     site = ["rel_path", "line", "column", "key"]
-    shared = named.select(F.col("namespace").alias("ns_group"), *site).join(shared_origins(definitions), site).select("ns_group", "key", F.explode("siblings").alias("ns"))
+    shared = named.select(F.col("namespace").alias("ns_group"), *site).join(shared_origins(definitions) if origins is None else origins, site).select("ns_group", "key", F.explode("siblings").alias("ns"))
     return plain.union(own).union(shared).distinct()
 
 
-def used_groups(definitions: DataFrame, usages: DataFrame, options: MatchOptions) -> DataFrame:
-    """(ns_group, key) of the logical groups that some usage refers to."""
-    hit = group_probes(definitions, options).alias("p").join(
-        asked(usages, options).alias("a"), (F.col("p.key") == F.col("a.key")) & F.col("p.ns").eqNullSafe(F.col("a.ns")), "left_semi"
-    )
+def used_groups(definitions: DataFrame, usages: DataFrame, options: MatchOptions, origins: DataFrame | None = None) -> DataFrame:
+    """(ns_group, key) of the logical groups that some usage refers to; usages may be folded already (key, all)."""
+    pairs = usages if "all" in usages.columns else usages.select("key", resolve_namespaces(options).alias("all"))
+    pairs = pairs.select("key", "all").distinct()
+    wanted = pairs.select("key", F.explode("all").alias("ns")).union(pairs.select("key", F.lit(None).cast("string"))).distinct()
+    hit = group_probes(definitions, options, origins).alias("p").join(wanted.alias("a"), (F.col("p.key") == F.col("a.key")) & F.col("p.ns").eqNullSafe(F.col("a.ns")), "left_semi")
     return hit.select("ns_group", "key").distinct()

@@ -58,16 +58,29 @@ def ignored_key(key: Column, patterns: list[str]) -> Column:
     return F.exists(key_candidates(key), lambda k: F.coalesce(*[F.when(glob_match(k, p), F.lit(True)) for p in patterns], F.lit(False)))
 
 
-def filter_facts(facts: DataFrame, ignore_files: list[str], exclude: list[str], include: list[str], locales: list[str] | None = None, namespaces: list[str] | None = None) -> DataFrame:
-    """Facts of included files; rows without a locale or namespace pass those filters."""
+def filter_facts(
+    facts: DataFrame, ignore_files: list[str], exclude: list[str], include: list[str], locales: list[str] | None = None, namespaces: list[str] | None = None,
+    ignore_locales: list[str] | None = None, ignore_namespaces: list[str] | None = None,
+) -> DataFrame:
+    """Facts of included files; rows without a locale or namespace pass those filters. Definitions, usages, dynamic usages and literals
+    go through the same one: a filter on a column that they haven't got doesn't apply. Keys are never filtered here."""
     kind, _ = explain_file(F.col("rel_path"), ignore_files, exclude, include)
     out = facts.where(kind == "include")
-    for name, allowed in (("locale", locales), ("namespace", namespaces)):
+    for name, allowed, ignored in (("locale", locales, ignore_locales), ("namespace", namespaces, ignore_namespaces)):
+        if name not in facts.columns:
+            continue
         if allowed:
             out = out.where((F.coalesce(F.col(name), F.lit("")) == "") | F.col(name).isin(*allowed))
+        if ignored:
+            out = out.where(F.col(name).isNull() | first_glob(F.col(name), ignored).isNull())
     return out
 
 
+def without_ignored_keys(issues: DataFrame, patterns: list[str]) -> DataFrame:
+    """Ignored keys are not reported as unused; other issues about them stay."""
+    return issues.where(~((F.col("type") == "unused-key") & ignored_key(F.col("key"), patterns))) if patterns else issues
+
+
 def severities(issues: DataFrame, rules: dict[str, str]) -> DataFrame:
     """Severities by rule; ``off`` drops, and softened unused keys go one step down."""
     given = F.coalesce(*[F.when(F.col("type") == k, F.lit(v)) for k, v in rules.items()], F.col("severity"))
@@ -101,8 +114,12 @@ def suppressed(issues: DataFrame, directives: DataFrame) -> DataFrame:
     return out.select(*issues.columns, (F.coalesce(F.col("_last") == "disable", F.lit(False)) | F.col("by_line").isNotNull()).alias("suppressed"))
 
 
-def exit_code(issues: DataFrame, max_warnings: int = -1) -> DataFrame:
-    """One row: errors, warnings and the exit code."""
+def exit_code(issues: DataFrame, missing_translations: DataFrame | None = None, exit_on_error: bool = True, fail_on_warning: bool = False) -> DataFrame:
+    """One row: errors, warnings and the exit code. Translations that are missing in a locale (column missing_count of the
+    coverage) count as warnings."""
     out = issues.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
-    too_many = F.col("warnings") > max_warnings if max_warnings >= 0 else F.lit(False)
-    return out.withColumn("exit_code", F.when((F.col("errors") > 0) | too_many, 1).otherwise(0).cast("long"))
+    if missing_translations is not None:
+        lacking = missing_translations.agg(F.lit(0).cast("long").alias("errors"), F.coalesce(F.sum("missing_count"), F.lit(0)).cast("long").alias("warnings"))
+        out = out.union(lacking).agg(F.sum("errors").alias("errors"), F.sum("warnings").alias("warnings"))
+    bad = ((F.col("errors") > 0) & F.lit(exit_on_error)) | ((F.col("warnings") > 0) & F.lit(fail_on_warning))
+    return out.withColumn("exit_code", F.when(bad, 1).otherwise(0).cast("long"))

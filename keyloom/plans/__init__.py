@@ -1,9 +1,9 @@
 """Registered queries of the localization engine."""
 
-from . import engine, library
+from . import audit, engine, library, texts
 
 FLAGSHIP = "O01_all_issues"
-_MODULES = (engine, library)
+_MODULES = (engine, library, audit, texts)
 
 
 def queries() -> dict:

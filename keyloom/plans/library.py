@@ -123,11 +123,13 @@ def G03_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {facts.EDGES}, r(node, confidence, hops) AS (SELECT 1::BIGINT, 0.92::DOUBLE, 0 UNION
-  SELECT e.caller, least(r.confidence, e.confidence), r.hops + 1 FROM r JOIN edges e ON e.callee = r.node AND r.hops < 5)
-SELECT node, confidence, hops FROM r QUALIFY row_number() OVER (PARTITION BY node ORDER BY confidence DESC, hops) = 1"""
+  SELECT e.caller, least(r.confidence, e.confidence, 0.85::DOUBLE), r.hops + 1 FROM r JOIN edges e ON e.callee = r.node AND e.caller <> e.callee AND r.hops < 64)
+SELECT node, floor(confidence * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS confidence, hops, CASE hops WHEN 0 THEN 'seed' WHEN 1 THEN 'passthrough' ELSE 'nested' END AS kind FROM r
+QUALIFY row_number() OVER (PARTITION BY node ORDER BY confidence DESC, hops) = 1"""
 )
 def G01_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.wrappers(facts.edges(spark, sf_dir), spark.createDataFrame([(1, 0.92)], "node bigint, confidence double"), 5)
+    found = graph.wrappers(facts.edges(spark, sf_dir), spark.createDataFrame([(1, 0.92)], "node bigint, confidence double"))
+    return found.select("node", "confidence", "hops", "kind")
 
 
 @query(
@@ -138,7 +140,7 @@ SELECT name, target, hops, false AS circular FROM w WHERE target NOT IN (SELECT
 def G02_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = facts.load(spark, sf_dir, "customer").select("c_custkey", "c_name")
     b = c.select(F.col("c_name").alias("name"), F.expr("case when c_custkey % 10 = 0 then 'seed' else concat('Customer#', lpad(cast(c_custkey div 2 as string), 9, '0')) end").alias("target"))
-    return graph.aliases(b, 40)
+    return graph.aliases(b)
 
 
 _EDITS = "edits AS (SELECT 'u' || user_id AS uri, event_id AS version, ts, event_type AS kind FROM events)"

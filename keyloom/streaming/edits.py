@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..storage import shared_dir
+from ..storage import cut, shared_dir
 
 #: Quiet time after which a burst of edits is analysed.
 QUIET = "250 milliseconds"
@@ -28,6 +28,56 @@ def bursts(edits: DataFrame, quiet: str = QUIET, late: str = LATE) -> DataFrame:
     return grouped.select("uri", "first_ts", "last_ts", "edits", "version")
 
 
+def bursts_by_kind(edits: DataFrame, quiet: str = QUIET, immediate: str = "1 millisecond", late: str = LATE) -> DataFrame:
+    """Bursts of a document where edits of catalogs (column immediate) don't wait for quiet: each kind has a gap of its own."""
+    if edits.isStreaming:
+        edits = edits.withWatermark("ts", late)
+    gap = F.when(F.col("immediate"), F.lit(immediate)).otherwise(F.lit(quiet))
+    grouped = edits.groupBy(F.session_window("ts", gap).alias("w"), "uri", "immediate").agg(F.count("*").alias("edits"), F.max("version").alias("version"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return grouped.select("uri", "immediate", "first_ts", "last_ts", "edits", "version")
+
+
+def dirty_scopes(changes: DataFrame) -> DataFrame:
+    """(uri, sources, usages, config): what the changes (uri, dirty) of a scope have made stale so far."""
+    return changes.groupBy("uri").agg(*[F.bool_or(F.col("dirty") == flag).alias(flag) for flag in ("sources", "usages", "config")])
+
+
+def current(runs: DataFrame) -> DataFrame:
+    """(uri, generation, version, stale): of all runs (uri, version, generation) the newest counts; those of older generations are dropped."""
+    each = runs.groupBy("uri", "generation").agg(F.count("*").alias("n"), F.max("version").alias("version"))
+    newest = F.max_by(F.struct("generation", "version", "n"), "generation").alias("r")
+    return each.groupBy("uri").agg(newest, F.sum("n").alias("all")).select("uri", "r.generation", "r.version", (F.col("all") - F.col("r.n")).alias("stale"))
+
+
+def fingerprint(files: DataFrame) -> int:
+    """A number that changes with any file (rel_path, size, mtime) of a session: what was analysed for it may be used again."""
+    one = files.agg(F.count("*").alias("n"), F.sum(F.xxhash64("rel_path", "size", "mtime").cast("decimal(38,0)")).alias("h")).first()
+    return hash((one["n"], one["h"]))
+
+
+class SessionCache:
+    """Results by the fingerprint of a session's files, for as long as the process lives; the oldest go first."""
+
+    def __init__(self, most: int = 8):
+        self.most, self.held = most, {}
+
+    def get(self, files: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        key = fingerprint(files)
+        if key in self.held:
+            self.held[key] = self.held.pop(key)
+        else:
+            self.held[key] = cut(make(files))
+            while len(self.held) > self.most:
+                self.held.pop(next(iter(self.held)))
+        return self.held[key]
+
+
+def publish_twice(partial: DataFrame, whole: Callable[[], DataFrame], publish: Callable[[DataFrame, bool], None]) -> None:
+    """Publish what is known at once, then all of it: the first are the findings that need no full analysis."""
+    publish(partial, False)
+    publish(whole(), True)
+
+
 def latest(edits: DataFrame) -> DataFrame:
     """The last version of each document; closed ones are left out."""
     last = edits.groupBy("uri").agg(F.max_by(F.struct("version", "ts", "kind"), "version").alias("e"))
