@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import modules
-from ..sources import catalog, code, extract
-from . import facts
+from ..operators import editor, issues, modules
+from ..sources import catalog, code, configs, extract, sinks
+from . import engine, facts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -276,3 +276,66 @@ def J10_import_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = extract.cut(_files(p, "concat('m', p_partkey, '.ts')", "typescript", text))
     imports = extract.view(extract.facts(files), "import").select("rel_path", F.col("source").alias("spec"))
     return modules.resolved(imports, files.select("rel_path")).select("rel_path", "spec", "target")
+
+
+# ---- settings, related files and constants
+
+_SETUP = r"""concat('import i18n from "i18next";\nconst ns = ["common", "ns', p_size % 3, '"];\ni18n.use(x).init({ lng: "de_AT", defaultNS: "', lower(p_brand), '", fallbackNS: ["shared"], ns, supportedLngs: ["de", "pt_BR"], fallbackLng: { "de-AT": ["de"], default: ["en"] }, nsSeparator: false });')"""
+
+
+@query(
+    """SELECT 'i18n' || p_partkey || '.ts' AS rel_path, 'i18next' AS library, v.field, CASE v.vals WHEN 'brand' THEN lower(p_brand) WHEN 'ns' THEN 'common|ns' || (p_size % 3) ELSE v.vals END AS vals, 0.9::DOUBLE AS confidence
+FROM part, (VALUES ('defaultNS', 'brand'), ('fallbackNS', 'shared'), ('namespaces', 'ns'), ('defaultLocale', 'de-at'), ('supportedLocales', 'de|pt-br'), ('fallbackLocales', 'en'), ('localeInheritance', 'de-at=de'), ('nsSeparator', '')) AS v(field, vals)"""
+)
+def S17_library_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(_parts(spark, sf_dir), "concat('i18n', p_partkey, '.ts')", "typescript", _SETUP)
+    return configs.fragments(files).select("rel_path", "library", "field", F.array_join("values", "|").alias("vals"), "confidence")
+
+
+_NEXT = r"""concat('module.exports = withX({ i18n: { defaultLocale: "en_US", locales: ["en_US", "l', p_size, '"] }, reactStrictMode: true });')"""
+
+
+@query(
+    """SELECT 'p' || p_partkey || '/next.config.js' AS rel_path, 'unknown' AS library, v.field, CASE v.field WHEN 'defaultLocale' THEN 'en-us' ELSE 'en-us|l' || p_size END AS vals, 0.88::DOUBLE AS confidence FROM part, (VALUES ('defaultLocale'), ('supportedLocales')) AS v(field)"""
+)
+def S17_next_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(_parts(spark, sf_dir), "concat('p', p_partkey, '/next.config.js')", "javascript", _NEXT)
+    return configs.fragments(files).select("rel_path", "library", "field", F.array_join("values", "|").alias("vals"), "confidence")
+
+
+_CARD = r"""concat('import { useTranslation } from "react-i18next";\nexport function Card(props) { const { t } = useTranslation("n"); return t(props.title) + t(props.own); }\nexport function Page() { const { t } = useTranslation(); const label = getRouteParam(r, "label"); return t(label); }')"""
+_ITEMS = r"""concat('export const items = [{ title: "it.', p_size, '", other: "no" }];')"""
+
+
+@query(
+    """SELECT 'src/app/pages/g' || (p_partkey % 9) || '/c' || p_partkey || '.tsx' AS rel_path, v.key, v.namespace, count(*) AS n FROM (
+  SELECT DISTINCT a.p_partkey, 'it.' || b.p_size AS key, 'n' AS namespace FROM part a JOIN (SELECT DISTINCT p_partkey % 9 AS g, p_size FROM part) b ON a.p_partkey % 9 = b.g
+  UNION ALL SELECT p_partkey, 'rt.label', NULL FROM part UNION ALL SELECT p_partkey, 'cfg.title', 'n' FROM part) AS v JOIN part p USING (p_partkey) GROUP BY ALL"""
+)
+def X13_J17_related_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _parts(spark, sf_dir)
+    one = spark.range(1)
+    files = _files(p, "concat('src/app/pages/g', p_partkey % 9, '/c', p_partkey, '.tsx')", "typescript", _CARD).union(_files(p, "concat('src/app/pages/g', p_partkey % 9, '/deep/i', p_partkey, '.ts')", "typescript", _ITEMS))
+    files = files.union(_files(one, "'lib/mainRoute.ts'", "typescript", "'export const route = { path: \"/\", label: \"rt.label\" };'")).union(_files(one, "'lib/navConfig.ts'", "typescript", "'export const nav = { a: { title: \"cfg.title\" } };'"))
+    files = files.union(_files(one, "'lib/other.ts'", "typescript", "'export const none = { a: { title: \"never\" } };'"))
+    files = extract.cut(files)
+    static, _ = extract.usages(extract.cut(extract.facts(files)), files)
+    return static.groupBy("rel_path", "key", "namespace").agg(F.count("*").alias("n"))
+
+
+_CONSTANTS = r"""concat('import { base } from "./b";\nenum E { A = "a" }\nconst one = "', p_brand, '", two = one + base, three = { k: E.A, f: two };\nlet four = one; const fn = () => three;')"""
+
+
+@query("SELECT 'k' || p_partkey || '.ts' AS rel_path, v.* FROM part, (VALUES ('two', 'one'), ('two', 'base'), ('three', 'E'), ('three', 'two')) AS v(name, needs)")
+def G10_constant_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.view(extract.facts(_files(_parts(spark, sf_dir), "concat('k', p_partkey, '.ts')", "typescript", _CONSTANTS)), "depend")
+
+
+@query(
+    engine._SETUP + """, i AS (SELECT * FROM missing_issues UNION ALL SELECT * FROM dup_issues UNION ALL SELECT * FROM unused_issues),
+e AS (SELECT DISTINCT rel_path, line, "column", CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END AS level, type, message FROM i),
+r AS (SELECT *, row_number() OVER (PARTITION BY rel_path ORDER BY line, "column", level, type, message) AS place FROM e QUALIFY place <= 3)
+SELECT rel_path AS uri, count(*) AS n, '[' || string_agg('{"line":' || line || ',"column":' || "column" || ',"severity":' || level || ',"code":"' || type || '","message":"' || replace(message, '"', '\\"') || '"}', ',' ORDER BY place) || ']' AS value FROM r GROUP BY rel_path"""
+)
+def K07_published_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.published_rows(editor.diagnostics(issues.analyze(*engine._facts(spark, sf_dir), None, engine.OPTIONS), 3))

@@ -26,6 +26,9 @@ SCHEMAS = {
     "usage": f"key string, namespaces array<string>, resolved boolean, library string, confidence double, context string, suppress boolean, via string, {_PLACE}",
     "dynamic": f"namespaces array<string>, library string, confidence double, prefixes array<string>, suffixes array<string>, contains array<string>, covers boolean, {_PLACE}",
     "ref": f"source string, name string, path string, prefix string, suffix string, key string, namespaces array<string>, resolved boolean, library string, confidence double, context string, suppress boolean, via string, {_PLACE}",
+    "ask": f"prop string, route boolean, key string, namespaces array<string>, resolved boolean, library string, confidence double, context string, suppress boolean, via string, {_PLACE}",
+    "told": "prop string, value string",
+    "depend": "name string, needs string",
     "literal": f"text string, context string, attribute string, library string, {_PLACE}",
     "import": "local string, source string, name string",
     "export": "name string, kind string, source string, source_name string",
@@ -89,6 +92,12 @@ def facts_of(path: str, language: str, body: str, nuxt: bool = False) -> Iterato
         yield "dynamic", {"namespaces": list(d.namespaces), "library": d.library, "confidence": d.confidence, "prefixes": list(d.prefixes), "suffixes": list(d.suffixes), "contains": list(d.contains), "covers": d.covers, **places.of(d.start, d.end)}
     for r, u in refs:
         yield "ref", {**r._asdict(), "key": u.key, "namespaces": list(u.namespaces), "resolved": u.resolved, "library": u.library, "confidence": u.confidence, "context": u.context, "suppress": u.suppress, "via": u.via, **places.of(u.start, u.end)}
+    for prop, route, u in dict.fromkeys(script.asks):
+        yield "ask", {"prop": prop, "route": route, "key": u.key, "namespaces": list(u.namespaces), "resolved": u.resolved, "library": u.library, "confidence": u.confidence, "context": u.context, "suppress": False, "via": u.via, **places.of(u.start, u.end)}
+    for prop, value in script.told():
+        yield "told", {"prop": prop, "value": value}
+    for name, needs in script.dependencies():
+        yield "depend", {"name": name, "needs": needs}
     for literal, context, attribute, start, end in script.literals():
         yield "literal", {"text": literal, "context": context, "attribute": attribute, "library": script.library(), **places.of(start, end)}
     for local, (source, name) in script.imports.items():
@@ -154,6 +163,33 @@ def symbols(found: DataFrame, links: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.distinct().join(got.select("req", F.col("rel_path").alias("at"), F.col("name").alias("as")), req == F.col("req")).select("file", "name", "at", "as")
 
 
+ROUTES = r"(?i)Route\.[cm]?[jt]sx?$|routesConfig\.[cm]?[jt]sx?$|(^|/)routes\.[cm]?[jt]sx?$"
+SHARED = r"(^|/)app-configs/|(?i)Config\.[cm]?[jt]sx?$"
+
+
+def related(found: DataFrame) -> DataFrame:
+    """Usages of telling properties (``ask``), with the strings (``told``) of related files: the same file, files below its folder, files
+    of its feature (the two folders below ``app``), and shared configurations; routes' properties with those of route files.
+
+    Each file has a few tokens of kinship, and meets others by them: an equi-join."""
+    path = F.col("rel_path")
+    folder = F.regexp_replace(path, r"/?[^/]*$", "")
+    feature = F.nullif(F.regexp_extract(path, r"(?:^|/)app/([^/]+/[^/]+)/", 1), F.lit(""))
+    none = F.array().cast("array<string>")
+    some = lambda c, x: F.when(c, F.array(x)).otherwise(none)
+    steps = F.split(folder, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.concat(F.lit("d:"), F.array_join(F.slice(steps, F.lit(1), k), "/")))
+    told = view(found, "told")
+    own = F.concat(above, F.array(F.concat(F.lit("p:"), path)), some(feature.isNotNull(), F.concat(F.lit("f:"), feature)), some(path.rlike(SHARED), F.lit("c:")), some(path.rlike(ROUTES), F.lit("r:")))
+    told = told.select("prop", "value", F.explode(own).alias("token")).distinct()
+    ask = view(found, "ask")
+    wanted = F.when(F.col("route"), F.array(F.lit("r:"))).otherwise(
+        F.concat(F.array(F.concat(F.lit("p:"), path), F.lit("c:")), some(folder != "", F.concat(F.lit("d:"), folder)), some(feature.isNotNull(), F.concat(F.lit("f:"), feature)))
+    )
+    met = ask.withColumn("token", F.explode(wanted)).join(told, ["prop", "token"])
+    return met.withColumn("key", F.when(F.col("key") != "", F.concat("key", "value")).otherwise(F.col("value"))).drop("token", "value", "prop", "route").distinct()
+
+
 def usages(found: DataFrame, files: DataFrame, paths: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
     """Static and dynamic usage facts. References meet the strings that other files export; parameters get the namespaces of their calls."""
     links = _links(found, files, paths)
@@ -165,7 +201,7 @@ def usages(found: DataFrame, files: DataFrame, paths: dict[str, list[str]] | Non
     met = refs.join(where, (refs.target == where.file) & (refs.name == where.name)).drop(where.name).join(value, ["at", "as", "path"])
     whole = F.concat("prefix", "value", "suffix")
     foreign = met.withColumn("key", F.when(F.col("key") != "", F.concat("key", whole)).otherwise(whole)).select(*own.columns)
-    every = own.union(foreign)
+    every = own.union(foreign).union(related(found).select(*own.columns))
     bound = graph.parameter_namespaces(view(found, "pass").select("fn", "ns", "from_fn"))
     every = every.join(bound.select(F.col("fn").alias("via"), F.col("namespaces").alias("_more")), "via", "left")
     names = F.when(F.size("namespaces") > 0, F.col("namespaces")).otherwise(F.coalesce("_more", F.array().cast("array<string>")))

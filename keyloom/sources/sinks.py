@@ -50,6 +50,13 @@ def html_rows(issues: DataFrame) -> DataFrame:
     return issues.select(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("value"))
 
 
+def published_rows(diagnostics: DataFrame) -> DataFrame:
+    """(uri, n, value): for each file what an editor or linter gets: its diagnostics, in their order, as one JSON array."""
+    one = F.struct("place", F.struct(F.col("line"), F.col("column"), F.col("level").alias("severity"), F.col("type").alias("code"), F.col("message")).alias("d"))
+    rows = diagnostics.groupBy(F.col("rel_path").alias("uri")).agg(F.array_sort(F.collect_list(one)).alias("all"), F.count("*").alias("n"))
+    return rows.select("uri", "n", F.to_json(F.transform("all", lambda x: x["d"])).alias("value"))
+
+
 def head(issues: DataFrame, most: int = TERMINAL) -> DataFrame:
     """The first issues in the order of reports, with their ``place``: no more than a person reads."""
     order = Window.orderBy("type", "key", F.coalesce("namespace", F.lit("")), "rel_path", "line", "column")
