@@ -76,6 +76,10 @@ class Counter:
         self.words = Memo(self.count_word, MEMO)
 
     def count_word(self, word: str) -> int:
+        if word.isalpha():
+            return self.count_piece(word)
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return self.words[word[:-1]] + self.memo[word[-1]]
         return sum(map(self.memo.__getitem__, self.v.cut(word)))
 
     def count_piece(self, piece: str) -> int:

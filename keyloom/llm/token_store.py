@@ -68,6 +68,10 @@ class LibraryEncoder:
         self.words = Memo(self._word, MEMO)
 
     def _word(self, word: str) -> bytes:
+        if word.isalpha():
+            return self._ask(word)
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():  # the commonest shape: a word is asked for once, with and without a mark
+            return self.words[word[:-1]] + self.memo[word[-1]]
         return b"".join(map(self.memo.__getitem__, self.v.cut(word)))
 
     def _ask(self, piece: str) -> bytes:
@@ -96,6 +100,22 @@ def library_encoder(path: str) -> LibraryEncoder:
 # ---- grammar
 
 
+def _grouped(pair: np.ndarray) -> np.ndarray:
+    """An order in which equal pairs stand together, in the order of their places.
+
+    Numbers sort faster than their places do: the pairs' hashes are sorted with the places in their lower bits. Two pairs
+    of one hash would lie mixed; then the pairs are sorted themselves."""
+    bits = max(1, int(len(pair)).bit_length())
+    low = np.uint64((1 << bits) - 1)
+    mixed = pair * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    key = np.sort((mixed & ~low) | np.arange(len(pair), dtype=np.uint64))
+    order = (key & low).astype(np.int64)
+    same, found = (key[1:] & ~low) == (key[:-1] & ~low), pair[order]
+    return np.argsort(pair, kind="stable") if (same & (found[1:] != found[:-1])).any() else order
+
+
 def repair(ids: np.ndarray, base: int, end: int, least: int = LEAST, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rule k of two symbols is symbol ``base + k``; ``end`` is in no rule.
 
@@ -103,20 +123,20 @@ def repair(ids: np.ndarray, base: int, end: int, least: int = LEAST, step: int =
     pair; counts are true ones. Rounds go on until no pair has ``least`` places that don't overlap."""
     least = max(2, least)
     seq = ids.astype(np.uint32)
-    live = np.ones(max(0, len(seq) - 1), bool)
-    live &= (seq[:-1] != end) & (seq[1:] != end)  # places whose pair may still have that many
+    live = (seq[:-1] != end) & (seq[1:] != end)  # places whose pair may still have that many
     rules: list[np.ndarray] = []
-    made, floor = 0, 1 << 31
+    made, floor = 0, 1 << 18
     while True:
-        at = np.flatnonzero(live)
+        at = np.flatnonzero(live).astype(np.int32)
         if len(at) < least:
             break
-        left, right = seq[at], seq[at + 1]
-        size = min(1 << 22, 1 << max(10, (4 * len(at)).bit_length()))
-        # buckets of a hash bound the counts from above: only pairs in full enough ones are counted
+        left, right = seq[:-1][live], seq[1:][live]
+        # buckets of a hash bound the counts from above: only pairs in full enough ones are counted. The fewer buckets,
+        # the faster; there are so many that chance fills none
+        size = 1 << min(22, max(10, (16 * len(at) // max(least, floor // step)).bit_length()))
         bucket = ((left * np.uint32(2654435761) + right * np.uint32(2246822519)) >> np.uint32(32 - size.bit_length() + 1)).astype(np.int32)
         held = np.bincount(bucket, minlength=size)
-        of = held[bucket]
+        of = held.astype(np.int32)[bucket]
         live[at[of < least]] = False
         floor = max(least, min(floor, int(held.max())) // step)
         while True:
@@ -131,7 +151,7 @@ def repair(ids: np.ndarray, base: int, end: int, least: int = LEAST, step: int =
                 counted[twin[odd]] = False
                 where, l, r = where[counted], l[counted], r[counted]
             pair = l.astype(np.uint64) << np.uint64(32) | r
-            order = np.argsort(pair, kind="stable")
+            order = _grouped(pair)
             where, pair = where[order], pair[order]
             starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.empty(0, np.int64)
             counts = np.diff(np.append(starts, len(pair)))
@@ -146,27 +166,29 @@ def repair(ids: np.ndarray, base: int, end: int, least: int = LEAST, step: int =
             break
         # the more frequent pair has a place before its neighbours, so the most frequent one has all of its places
         rank = np.zeros(len(counts), np.int32)
-        rank[chosen[np.lexsort((chosen, counts[chosen]))]] = np.arange(1, len(chosen) + 1)
-        ranks = np.zeros(len(seq) + 1, np.int32)
-        ranks[where + 1] = np.repeat(rank, counts)
-        mine = ranks[where + 1]
-        take = (mine > 0) & (mine > ranks[where]) & (mine > ranks[np.minimum(where + 2, len(seq))])
+        rank[chosen[np.lexsort((pair[starts[chosen]], counts[chosen]))]] = np.arange(1, len(chosen) + 1)
+        mine = np.repeat(rank, counts)
+        where, pair, mine = where[mine > 0], pair[mine > 0], mine[mine > 0]
+        ranks = np.zeros(len(seq) + 2, np.int32)
+        ranks[where + 1] = mine
+        take = (mine > ranks[where]) & (mine > ranks[where + 2])
         where, mine, pair = where[take], mine[take], pair[take]
-        used = np.bincount(mine, minlength=len(chosen) + 1)
-        keep = used[mine] >= least
+        keep = np.bincount(mine, minlength=len(chosen) + 1)[mine] >= least
         where, pair = where[keep], pair[keep]
         if len(where):
             new = np.concatenate([[True], pair[1:] != pair[:-1]])
-            k = np.cumsum(new) - 1
             ruled = pair[new]
-            seq[where] = (base + made + k).astype(np.uint32)
+            seq[where] = (base + made + np.cumsum(new) - 1).astype(np.uint32)
             stay = np.ones(len(seq), bool)
             stay[where + 1] = False
-            live = np.append(live, False)
-            live[where] = True
-            live[where[where > 0] - 1] = True
-            seq, live = seq[stay], live[stay][:-1]
-            live &= (seq[:-1] != end) & (seq[1:] != end)
+            seq, live = seq[stay], live[stay[:-1]]
+            # each place has moved by the places that went before it
+            here = np.sort(where)
+            here -= np.arange(len(here), dtype=np.int32)
+            live = live[: len(seq) - 1] if len(live) >= len(seq) - 1 else np.append(live, np.zeros(len(seq) - 1 - len(live), bool))
+            inner, after = here[here < len(seq) - 1], here[here > 0]
+            live[inner] = seq[inner + 1] != end
+            live[after - 1] = seq[after - 1] != end
             rules.append(np.stack([ruled >> np.uint64(32), ruled & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
             made += len(ruled)
         elif floor == least:
@@ -322,18 +344,17 @@ def read_shards(manifest: DataFrame, folder: str, end_id: int) -> DataFrame:
         for b in batches:
             for name, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 shard = Shard(common.get_file(folder, name))
-                starts = start + np.concatenate([[0], np.cumsum(shard.sizes.astype(np.int64))])
-                every = shard.documents()
+                ends = np.cumsum(shard.sizes.astype(np.int64))
+                starts = start + np.concatenate([[0], ends])
+                every = expand(shard.symbols, shard.rules, shard.base, shard.lengths)
+                every[ends - 1] = end_id
+                # all documents of a shard lie in one buffer, of which each is a stretch
+                offsets = np.concatenate([[0], 4 * ends]).astype(np.int64)
+                ids = pa.Array.from_buffers(pa.large_binary(), len(shard), [None, pa.py_buffer(offsets), pa.py_buffer(every.astype("<u4", copy=False))])
                 for low in range(0, len(shard), common.BATCH_ROWS):
                     high = min(len(shard), low + common.BATCH_ROWS)
-                    ids = []
-                    for x in every[low:high]:
-                        x[-1] = end_id
-                        ids.append(x.tobytes())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(shard.doc_ids[low:high], pa.int64(), mask=shard.null[low:high].astype(bool)), pa.array(starts[low:high]), pa.array(ids, pa.binary())],
-                        ["id", "start", "ids"],
-                    )
+                    doc_ids = pa.array(shard.doc_ids[low:high], pa.int64(), mask=shard.null[low:high].astype(bool))
+                    yield pa.RecordBatch.from_arrays([doc_ids, pa.array(starts[low:high]), ids[low:high].cast(pa.binary())], ["id", "start", "ids"])
 
     count = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return placed.repartition(count, "name").mapInArrow(run, "id bigint, start bigint, ids binary")
