@@ -42,9 +42,9 @@ def override(fragments: DataFrame) -> DataFrame:
     return fragments.where("value is not null").groupBy("field").agg(best).select("field", "w.value", "w.source")
 
 
-def gitignored(path: Column, rules: list[str]) -> Column:
-    """Whether ignore rules in order leave a path out: the last rule that matches it or a folder above it decides."""
-    out = F.lit(False)
+def ignore_verdict(path: Column, rules: list[str]) -> Column:
+    """What ignore rules in order say of a path: the last rule that matches it or a folder above it decides; null if none does."""
+    out = F.lit(None).cast("boolean")
     for rule in rules:
         rule = rule.strip()
         if not rule or rule.startswith("#"):
@@ -58,6 +58,22 @@ def gitignored(path: Column, rules: list[str]) -> Column:
     return out
 
 
+def gitignored(path: Column, rules: list[str]) -> Column:
+    """Whether ignore rules in order leave a path out."""
+    return F.coalesce(ignore_verdict(path, rules), F.lit(False))
+
+
+def layered_ignored(path: Column, layers: dict[str, list[str]]) -> Column:
+    """Whether the ignore rules of folders leave a path out: those of the nearest folder that say anything decide. Layers: rules by
+    folder, the empty one for the root."""
+    verdicts = []
+    for folder in sorted(layers, key=lambda f: -len(f.split("/")) if f else 0):
+        below = path if not folder else path.substr(F.lit(len(folder) + 2), F.length(path))
+        inside = F.lit(True) if not folder else F.startswith(path, F.lit(folder + "/"))
+        verdicts.append(F.when(inside, ignore_verdict(below, layers[folder])))
+    return F.coalesce(*verdicts, F.lit(False))
+
+
 def split_inline(key: Column) -> tuple[Column, Column]:
     """(namespace, key) of ``ns:key`` in code; addresses and times are keys as they are. (``resolve.inline_namespace`` is
     that of the settings, with a separator of their own.)"""

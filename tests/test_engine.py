@@ -172,7 +172,7 @@ def test_lookup_and_completion(spark):
 def test_graphs(spark):
     e = spark.createDataFrame([(2, 1, 0.9), (3, 2, 0.5), (3, 1, 0.4), (4, 3, 0.8), (2, 4, 1.0)], "caller bigint, callee bigint, confidence double")
     got = {r.node: (r.confidence, r.hops) for r in graph.wrappers(e, spark.createDataFrame([(1, 0.92)], "node bigint, confidence double"), 8).collect()}
-    assert got == {1: (0.92, 0), 2: (0.9, 1), 3: (0.5, 2), 4: (0.5, 3)}
+    assert got == {1: (0.92, 0), 2: (0.85, 1), 3: (0.5, 2), 4: (0.5, 3)}  # a call is no surer than 0.85
     b = spark.createDataFrame([("a", "b"), ("b", "t"), ("c", "d"), ("d", "c")], "name string, target string")
     assert {r.name: (r.target, r.circular) for r in graph.aliases(b).collect()} == {"a": ("t", False), "b": ("t", False), "c": (None, True), "d": (None, True)}
 
@@ -414,6 +414,38 @@ def project(tmp_path, **named):
     return f"file://{tmp_path}"
 
 
+def test_links_of_a_folder(tmp_path):
+    from keyloom.sources.project import links
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "x.ts").write_text("1")
+    for name, target in {"up": tmp_path, "away": "/usr", "one": tmp_path / "a" / "x.ts", "two": tmp_path / "a" / "x.ts", "gone": tmp_path / "none"}.items():
+        (tmp_path / "a" / "b" / name).symlink_to(target)
+    got = {p.rsplit("/", 1)[1]: s for p, _, s in links(str(tmp_path), "follow-once")}
+    assert got == {"up": "repeated", "away": "escaped", "one": "followed", "two": "repeated", "gone": "broken"}
+    assert {s for _, _, s in links(str(tmp_path))} == {"skipped"} and {p.rsplit("/", 1)[1]: s for p, _, s in links(str(tmp_path), "within-root")}["two"] == "followed"
+
+
+def test_ignore_rules_of_folders(spark):
+    from keyloom.operators import settings
+
+    layers = {"": ["*.json", "gen/"], "src": ["!keep.json", "local.ts"], "src/deep": ["keep.json"]}
+    rows = {"a.json": True, "src/keep.json": False, "src/deep/keep.json": True, "src/x/local.ts": True, "local.ts": False, "gen/a.ts": True, "src/gen/b.ts": True, "src/a.ts": False}
+    df = spark.createDataFrame([(p,) for p in rows], "p string")
+    assert {r.p: r.x for r in df.select("p", settings.layered_ignored(F.col("p"), layers).alias("x")).collect()} == rows
+
+
+def test_configured_project(spark, tmp_path):
+    root = project(
+        tmp_path, keyloom_dot_config_dot_ts='const soft = "info";\nexport default defineConfig({ ignoreKeys: ["old.*"], rules: { "missing-key": "warn", "untranslated-text": "off", "unused-key": soft }, exclude: ["src/gen/**"] });',
+        _dot_gitignore="tmp/\n", tmp__a_dot_ts='const { t } = useTranslation(); t("ignored.key");', src__gen__g_dot_ts='const { t } = useTranslation(); t("excluded.key");',
+        locales__en_dot_json='{"old": {"x": "1"}, "left": "L", "used": "U"}', src__i18n_dot_ts='import i18n from "i18next";\ni18n.init({ defaultNS: "en-only", lng: "en" });',
+        src__a_dot_tsx='import { useTranslation } from "react-i18next";\nconst { t } = useTranslation();\nexport const A = () => <p title="Some words here">{t("used")}{t("gone")}</p>;',
+    )
+    got = [(r.type, r.severity, r.key) for r in check.check(spark, root).collect()]
+    assert got == [("missing-key", "warning", "gone"), ("unused-key", "info", "left")]
+
+
 def test_project_across_files(spark, tmp_path):
     root = project(
         tmp_path,
