@@ -37,7 +37,7 @@ from . import common
 from .vocab import Memo, Vocab, vocab
 
 #: Pre-tokens that a worker remembers; beyond it the memo starts anew.
-MEMO = 300_000
+MEMO = 120_000
 NEVER = 1 << 60
 
 

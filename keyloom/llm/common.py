@@ -100,7 +100,9 @@ def join_spread(left: DataFrame, right: DataFrame, on: list[str], weight: str, t
     hot, value = F.col(weight) > total // HOT_SHARE, F.struct(*columns)
     met = left.join(F.broadcast(right.where(hot).select(*on, value.alias("_hot"))), on, "left")
     met = met.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(4093)).cast("int")))
-    met = met.join(right.where(~hot).select(*on, F.lit(0).alias("_salt"), value.alias("_rest")), [*on, "_salt"], "left")
+    # zero by a sum that is not folded: a literal would be moved out of the keys of the join, and the salt with it
+    zero = F.pmod(F.xxhash64(*on), F.lit(1)).cast("int")
+    met = met.join(right.where(~hot).select(*on, zero.alias("_salt"), value.alias("_rest")), [*on, "_salt"], "left")
     both = F.coalesce("_hot", "_rest")
     return met.where(both.isNotNull()).select(*left.columns, *[both[c].alias(c) for c in columns])
 

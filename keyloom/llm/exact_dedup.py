@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bytes of strings that one task's trie holds before subtrees are spilled.
-TRIE_BYTES = 96 << 20
+TRIE_BYTES = 48 << 20
 #: Input bytes of a partition of tries.
 PARTITION_BYTES = 16 << 20
 

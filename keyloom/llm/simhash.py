@@ -21,7 +21,7 @@ it has linked.
 fingerprints of sampled shingles (the three smallest of a seeded order): at the least similarity a
 lane's fingerprint is shared with a chance of 0.51, none of 16 with one of 1 in 90,000. Rows
 of equal sets are folded by a 128-bit digest first. In a bucket of at most ``FEW`` rows all pairs are
-candidates. In a crowded one each row meets the first row; where that leaves the bucket
+candidates. In a crowded one each row meets the row that has the most neighbours; where that leaves the bucket
 in several parts, its rows join exactly, by their rarest shingles (``crowd_pairs``): no
 pair of rows that only share what a crowd shares is ever looked at. Sizes and
 parity bits rule out candidates without losing a similar pair; the others are verified on the full sets.
@@ -43,6 +43,7 @@ from itertools import accumulate, combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,9 @@ MOST_BITS = 1 << 16
 #: Rows of a bucket all of whose pairs are looked at; rows of larger ones are crowded.
 FEW = 16
 #: Rows of a block, entries that one unit probes it with, entries and pairs that one partition holds.
-BLOCK, PROBES, ROWS_A_PARTITION, PAIRS_A_PARTITION = 1024, 1 << 14, 200_000, 20_000
+BLOCK, PROBES, ROWS_A_PARTITION, PAIRS_A_PARTITION = 1024, 1 << 12, 200_000, 20_000
+#: Shingles of a packed chunk, and of a bucket in which they are counted.
+PACKED, BUCKET = 1 << 18, 4 << 20
 #: Rows of keys that one partition holds.
 KEYS_A_PARTITION = 2_000_000
 
@@ -396,15 +399,89 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
 # ---- crowded buckets: an exact join on the rarest shingles
 
 
-def _shingles(shingle: int):
-    """(row, size, shingles) of each text."""
+def _pack_sets(shingle: int):
+    """Texts' sets of shingles in chunks: chunk, rows, sizes and shingles as packed integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, rows, sets, held = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            fields = [np.array(rows, np.int64), np.array([len(x) for x in sets], np.int32), np.concatenate([*sets, np.empty(0, np.uint64)])]
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | number]), *[pa.array([x.tobytes()], pa.binary()) for x in fields]], ["chunk", "rows", "sizes", "shingles"])
+
         for b in batches:
-            sets = [np.unique(shingle_hashes(words_of(x or b""), shingle)) for x in b.column(1).to_pylist()]
-            ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
-            every = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.ListArray.from_arrays(ends, pa.array(every))], ["row", "size", "shingles"])
+            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows.append(row)
+                sets.append(np.unique(shingle_hashes(words_of(text or b""), shingle)))
+                held += len(sets[-1])
+                if held >= PACKED:
+                    yield flush()
+                    number, rows, sets, held = number + 1, [], [], 0
+        if rows:
+            yield flush()
+
+    return run
+
+
+def _send_counts(buckets: int):
+    """(bucket, chunk, shingles, counts): the distinct shingles of chunks, dealt by their upper bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                each, times = np.unique(np.frombuffer(blob, np.uint64), return_counts=True)
+                cuts = np.searchsorted(each, _bounds(buckets))
+                rows = [(k, chunk, each[x:y].tobytes(), times[x:y].astype(np.uint32).tobytes()) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "chunk", "shingles", "counts"])
+
+    return run
+
+
+def _bounds(buckets: int) -> np.ndarray:
+    return np.array([k * (1 << 64) // buckets for k in range(buckets)] + [(1 << 64) - 1], np.uint64)
+
+
+def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, bucket, codes): for each shingle that a chunk sent, how many texts hold it: 0 for one, then eight steps a doubling."""
+    held: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        lists = [np.frombuffer(r[2], np.uint64) for r in held]
+        each, number = np.unique(np.concatenate(lists), return_inverse=True)
+        times = np.bincount(number, np.concatenate([np.frombuffer(r[3], np.uint32) for r in held]), len(each))
+        code = np.minimum(255, np.ceil(8 * np.log2(times))).astype(np.uint8)[number]
+        codes = np.split(code, np.cumsum([len(x) for x in lists])[:-1])
+        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in held], pa.int64()), pa.array([r[0] for r in held], pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["chunk", "bucket", "codes"])
+
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if held and held[-1][0] != row[0]:
+                yield flush()
+                held = []
+            held.append(row)
+    if held:
+        yield flush()
+
+
+def _prefixes(similarity: float):
+    """(h, row, size, at): of each set, ordered from rare shingles to frequent ones, the first that similar sets must share one of;
+    those that no other text holds are left out, but count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, sizes, blob, codes in zip(*(b.column(k).to_pylist() for k in range(4))):
+                every = np.frombuffer(blob, np.uint64)
+                each, number = np.unique(every, return_inverse=True)
+                code = np.concatenate([np.frombuffer(c["codes"], np.uint8) for c in sorted(codes, key=lambda c: c["bucket"])])[number]
+                size = np.frombuffer(sizes, np.int32).astype(np.int64)
+                of = np.repeat(np.arange(len(size)), size)
+                order = np.lexsort((every, code, of))
+                at = np.arange(len(every)) - np.repeat(np.cumsum(size) - size, size)
+                keep = (at <= (1 - similarity) * size[of] + 1e-6) & (code[order] > 0)
+                where = order[keep]
+                row = np.frombuffer(rows, np.int64)[of[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(every[where].view(np.int64)), pa.array(row), pa.array(size[of[keep]]), pa.array(at[keep])], ["h", "row", "size", "at"])
 
     return run
 
@@ -413,22 +490,31 @@ def overlaps(low: np.ndarray, high: np.ndarray, similarity: float) -> Iterator[t
     """Pairs of entries that share a shingle and may be similar: ``low`` holds the smaller set, ``high`` the larger.
 
     Columns: row, root, size, place of the shingle in the order of the set. Of sets of x and y elements of a similarity s at least
-    s / (1 + s) * (x + y) are common, and all that come before the first common one are not."""
+    s / (1 + s) * (x + y) are common, and all that come before the first common one are not: so a larger set with its place bounds the
+    smaller one's size, and only sizes in that range are looked at. Entries of the commonest root are passed over as a whole for
+    those of the same root."""
     need = similarity / (1 + similarity)
-    for r, root, size, at in low:
-        y = high[:, 2]
-        may = (high[:, 1] != root) & (size >= similarity * y - 1e-6) & ((y > size) | ((y == size) & (high[:, 0] > r)))
-        may &= np.minimum(size - at, y - high[:, 3]) >= need * (size + y) - 1e-6
-        k = np.flatnonzero(may)
-        if len(k):
-            yield np.full(len(k), r), high[k, 0]
+    roots, counts = np.unique(low[:, 1], return_counts=True)
+    top = roots[counts.argmax()]
+    low = low[np.argsort(low[:, 2], kind="stable")]
+    for pool, asked in ((low[low[:, 1] != top], high[high[:, 1] == top]), (low, high[high[:, 1] != top])):
+        y = asked[:, 2]
+        a = np.searchsorted(pool[:, 2], similarity * y - 1e-6, "left")
+        b = np.searchsorted(pool[:, 2], np.minimum(y, (y - asked[:, 3]) / need - y + 1e-6), "right")
+        for k in np.flatnonzero(b > a):
+            x = pool[a[k] : b[k]]
+            r, root, size, _ = asked[k]
+            may = (x[:, 1] != root) & ((x[:, 2] < size) | (x[:, 0] < r)) & (x[:, 2] - x[:, 3] >= need * (x[:, 2] + size) - 1e-6)
+            found = x[may, 0]
+            if len(found):
+                yield found, np.full(len(found), r)
 
 
 def _propose(similarity: float):
     """Pairs of each unit (h, part, salt) in turn: its entries of the smaller sets come first, then those of the larger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, low = None, []
+        last, low, out, held = None, [], [], 0
         for b in batches:
             if not b.num_rows:
                 continue
@@ -436,27 +522,30 @@ def _propose(similarity: float):
             role = b.column(3).to_numpy(zero_copy_only=False)
             entry = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(4, 8)], 1)
             starts = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]).any(axis=1)]))
-            out = []
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(unit)]):
                 if (name := tuple(unit[s])) != last:
                     last, low = name, []
                 first = role[s:e] == 0
                 if first.any():
                     low.append(entry[s:e][first])
-                if low and not first.all():
-                    out += overlaps(np.concatenate(low), entry[s:e][~first], similarity)
-                    if sum(len(x) for x, _ in out) >= 100_000:
+                if not low or first.all():
+                    continue
+                for pair in overlaps(np.concatenate(low), entry[s:e][~first], similarity):
+                    out.append(pair)
+                    held += len(pair[0])
+                    if held >= 50_000:
                         yield _pairs(out)
-                        out = []
-            if out:
-                yield _pairs(out)
+                        out, held = [], 0
+        if out:
+            yield _pairs(out)
 
     return run
 
 
 def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     u, v = (np.concatenate(x) for x in zip(*found))
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+    both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["a", "b"])
 
 
 def crowd_pairs(texts: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -464,18 +553,21 @@ def crowd_pairs(texts: DataFrame, roots: DataFrame, shingle: int, similarity: fl
 
     In an order of all shingles from rare to frequent, two similar sets have a common one among the first of either: of the
     smaller set within (1 - s) / (1 + s) of its size, of the larger within 1 - s. So shingles that crowds have in common
-    bring no pairs together, unless they are nearly all that a text holds."""
-    session = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = texts.mapInArrow(_shingles(shingle), "row bigint, size int, shingles array<bigint>")
-    each = common.materialize(sets.select("row", "size", F.explode("shingles").alias("h")))
-    held = common.materialize(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
-    ranked = common.join_spread(each, held, ["h"], "n").groupBy("row", "size").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("all"))
-    # shingles of one text only come first in any order, and meet nothing
-    spare = F.col("size") - F.size("all")
-    entry = ranked.join(roots, "row", "left").select("row", F.coalesce("root", "row").alias("root"), F.col("size").cast("long").alias("size"), spare.alias("spare"), F.posexplode("all").alias("k", "x"))
-    entry = entry.select("row", "root", "size", (F.col("spare") + F.col("k")).cast("long").alias("at"), F.col("x.h").alias("h"))
+    bring no pairs together, unless they are nearly all that a text holds. Shingles are counted in packed lists of chunks, each
+    once a chunk, so one that very many texts hold is no load for any task."""
+    spark = texts.sparkSession
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = common.materialize(texts.mapInArrow(_pack_sets(shingle), "chunk bigint, rows binary, sizes binary, shingles binary"))
+    total = (chunks.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0) // 8
+    buckets = max(session, -(-total // BUCKET))
+    sent = chunks.select("chunk", "shingles").mapInArrow(_send_counts(buckets), "bucket int, chunk bigint, shingles binary, counts binary")
+    ranked = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_rank, "chunk bigint, bucket int, codes binary")
+    codes = ranked.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "codes")).alias("codes"))
+    whole = chunks.join(codes, "chunk").select("rows", "sizes", "shingles", "codes")
+    entry = whole.mapInArrow(_prefixes(similarity), "h bigint, row bigint, size bigint, at bigint").join(roots, "row", "left")
+    entry = entry.select("row", F.coalesce("root", "row").alias("root"), "size", "at", "h")
     low = (F.lit(1.0) - similarity) / (1 + similarity) * F.col("size") + 1e-6
-    entry = common.materialize(entry.where(F.col("at") <= (1 - similarity) * F.col("size") + 1e-6).withColumn("low", F.col("at") <= low))
+    entry = common.materialize(entry.withColumn("low", F.col("at") <= low))
     met = entry.groupBy("h").agg(F.count("*").alias("n"), F.count_if("low").alias("n_low"), F.min("root").alias("least"), F.max("root").alias("most"))
     met = common.materialize(met.where("least <> most and n_low > 0").select("h", "n", F.ceil(F.col("n_low") / BLOCK).cast("long").alias("parts"), F.ceil(F.col("n") / PROBES).cast("long").alias("salts")))
     entry = common.join_spread(entry, met, ["h"], "n")
@@ -484,7 +576,7 @@ def crowd_pairs(texts: DataFrame, roots: DataFrame, shingle: int, similarity: fl
     highs = entry.withColumn("salt", F.pmod(F.xxhash64("row"), "salts")).withColumn("part", every("parts")).withColumn("role", F.lit(1))
     names = ["h", "part", "salt", "role", "row", "root", "size", "at"]
     unit = lows.select(*names).union(highs.select(*names))
-    parts = max(session, -(-entry.count() // ROWS_A_PARTITION))
+    parts = max(session, -(-(met.agg(F.sum("n")).first()[0] or 0) // ROWS_A_PARTITION))
     unit = unit.repartition(parts, "h", "part", "salt").sortWithinPartitions("h", "part", "salt", "role")
     return unit.mapInArrow(_propose(similarity), "a bigint, b bigint").distinct()
 
@@ -505,14 +597,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     # buckets of the rows of one key: all pairs of a small one, the first row with each other of a crowded one
     keyed = common.materialize(first.select("row", "size", F.explode("keys").alias("key")))
-    groups = common.materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("row", "size")).alias("lead")).where("n > 1"))
+    groups = common.materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     keyed = common.materialize(common.join_spread(keyed, groups, ["key"], "n"))
     small, crowd = keyed.where(F.col("n") <= FEW), keyed.where(F.col("n") > FEW)
+    # the row that meets the most others in its buckets leads: among edited copies that is the one nearest to the original
+    met = crowd.groupBy("row").agg(F.sum("n").alias("met"))
+    crowd = crowd.join(met, "row")
+    leads = crowd.groupBy("key").agg(F.max_by(F.struct("row", "size"), F.struct("met", -F.col("row"))).alias("lead"), F.first("n").alias("_n"))
+    crowd = common.materialize(common.join_spread(crowd.select("row", "size", "key", "n"), common.materialize(leads), ["key"], "_n"))
     members = small.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("row", "size"))).alias("x"))  # at most FEW
     members = members.select(F.posexplode("x").alias("k", "one"), "x").select("one", F.explode(F.slice("x", F.col("k") + 2, F.lit(FEW))).alias("two"))
     alike = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-6
     pairs = members.where(alike(F.col("one.size"), F.col("two.size"))).select(F.col("one.row").alias("a"), F.col("two.row").alias("b"))
-    star = crowd.where((F.col("row") > F.col("lead.row")) & alike(F.col("size"), F.col("lead.size"))).select(F.col("lead.row").alias("a"), F.col("row").alias("b"))
+    star = crowd.where((F.col("row") != F.col("lead.row")) & alike(F.col("size"), F.col("lead.size"))).select(F.col("lead.row").alias("a"), F.col("row").alias("b"))
 
     bits = common.materialize(first.join(keyed.select("row").distinct(), "row", "left_semi").select("row", "size", "bits", "file", "at"))
 

@@ -45,7 +45,7 @@ KEPT = 0.65
 LEAST_BIAS = -7.0
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
-MEMO = 300_000
+MEMO = 100_000
 
 _SENTENCE = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"\w+")

@@ -1,5 +1,6 @@
 """Operators where they are hard: crowded buckets, changed splits, very common passages, odd characters, long words."""
 
+import os
 import random
 import time
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.llm import bpe, common, decontaminate, exact_dedup, secrets, simhash, suffix_dedup, token_count, token_store, vocab
+from keyloom.llm import bpe, common, decontaminate, exact_dedup, secrets, simhash, suffix_dedup, token_count, token_store, toxicity, vocab
 from tests.llm.test_operators import base_spans, brute_removed, components, multiset, prose
 
 P = pytest.importorskip("public_tokenizers")
@@ -74,6 +75,42 @@ def test_crowd_pairs_lose_none(spark, seed, monkeypatch):
     assert want <= got and len(got) < len(sets) ** 2 / 4
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_near_duplicates_equal_an_exact_join(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, set(simhash.shingle_hashes(simhash.words_of((r.text or "").encode()), 5).tolist())) for r in docs.collect()]
+    met: dict = {}
+    for k, (_, x) in enumerate(rows):
+        for h in x:
+            met.setdefault(h, []).append(k)
+    pairs = {(a, b) for held in met.values() for i, a in enumerate(held) for b in held[i + 1 :]}
+    up = {i: i for i, _ in rows}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    empty = [i for i, x in rows if not x]
+    alike = [(rows[a][0], rows[b][0]) for a, b in pairs if len(rows[a][1] & rows[b][1]) >= 0.8 * len(rows[a][1] | rows[b][1])] + list(zip(empty, empty[1:]))
+    for a, b in alike:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    want = {i for i in up if root(i) == i}
+    got = {r.doc_id for r in simhash.near_duplicates(docs).collect()}
+    assert got == want and len(want) < len(rows)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_toxicity_ranks_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 3 = 1 and toxic is not null").select("score", "toxic").toPandas()
+    rank = got["score"].rank()
+    pos, n = got["toxic"].sum(), len(got)
+    area = (rank[got["toxic"] == 1].sum() - pos * (pos + 1) / 2) / (pos * (n - pos))
+    assert area >= 0.95
+
+
 def test_rows_are_named_alike_whatever_the_splits(spark, tmp_path):
     rows = [(k % 40, prose(k % 37, 40), "x" * (k % 50)) for k in range(400)]
     spark.createDataFrame(rows, "doc_id bigint, text string, wide string").repartition(3).write.parquet(f"{tmp_path}/d")
