@@ -54,7 +54,7 @@ _YAML = r"""concat('menu:\n  open: "', p_name, '"\n  size: ', p_size, ' # note\n
 FROM part, (VALUES ('menu.open', '', 'string', 2::BIGINT, 3::BIGINT), ('menu.size', '', 'number', 3, 3), ('list[0]', 'one', 'string', 5, 5), ('list[1]', '', 'string', 6, 5), ('menu.x', 'null', 'null', 7, 1)) AS v(key, value, kind, line, col)"""
 )
 def S10_yaml_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract.facts(_files(_parts(spark, sf_dir), "concat('f', p_partkey, '.yml')", "yaml", _YAML))
+    found = extract.facts(_files(_parts(spark, sf_dir), "concat('f', p_partkey, '.yml')", "yaml", _YAML), kinds=["entry"])
     return extract.view(found, "entry").select("rel_path", "key", "value", "value_kind", "line", "column")
 
 
@@ -66,7 +66,7 @@ _SCRIPT = r"""concat('const extra = { x: "1", deep: { y: `z` } };\nexport defaul
 FROM part, (VALUES ('title', 'name', NULL, 2::BIGINT), ('x', '1', NULL, 1), ('deep.n', 'size', NULL, 3), ('mid', 'D', NULL, 3), ('hi', 'Hi', 'en', 4), ('hi', 'brand', 'de', 4)) AS v(key, value, locale, line)"""
 )
 def S11_script_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract.facts(_files(_parts(spark, sf_dir), "concat('f', p_partkey, '.ts')", "typescript", _SCRIPT))
+    found = extract.facts(_files(_parts(spark, sf_dir), "concat('f', p_partkey, '.ts')", "typescript", _SCRIPT), kinds=["entry"])
     return extract.view(found, "entry").select("rel_path", "key", "value", "locale", "line")
 
 
@@ -84,7 +84,7 @@ def S12_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.range(7).withColumnRenamed("id", "k")
     files = _files(p, "concat('base/b', p_partkey, '.ts')", "typescript", _BASE).union(_files(p, "concat('locales/en/p', p_partkey, '.ts')", "typescript", _PAGE)).union(_files(more, "concat('more/m', k, '.ts')", "typescript", _MORE))
     files = extract.cut(files)
-    found = extract.cut(extract.facts(files))
+    found = extract.cut(extract.facts(files, kinds=extract.OF_DEFINITIONS))
     links = extract._links(found, files, None)
     own = extract.view(found, "entry").where("rel_path like 'locales/%'").select("rel_path", "key", "value")
     spread = extract.spread_entries(found, links).where("spread_into like 'locales/%'").select("rel_path", "key", "value")
@@ -99,7 +99,7 @@ _INIT = r"""concat('import i18n from "i18next";\ni18n.use(x).init({ lng: "en", r
 FROM part, (VALUES ('en', 'common', 'ok', 'name'), ('en', 'home', 'a.b', 'brand'), ('pt-BR', 'common', 'ok', 'size')) AS v(locale, ns, key, value)"""
 )
 def S13_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract.facts(_files(_parts(spark, sf_dir), "concat('i', p_partkey, '.js')", "javascript", _INIT))
+    found = extract.facts(_files(_parts(spark, sf_dir), "concat('i', p_partkey, '.js')", "javascript", _INIT), kinds=["entry"])
     return extract.view(found, "entry").select("rel_path", "locale", "namespace", "key", "value")
 
 
@@ -114,7 +114,7 @@ def S14_J06_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parts(spark, sf_dir)
     home = "concat('export default { title: \"', p_brand, '\" };')"
     files = extract.cut(_files(p, "concat('src/r', p_partkey, '.ts')", "typescript", _REGISTER).union(_files(p, "concat('src/home', p_partkey, '.ts')", "typescript", home)))
-    return extract.definitions(extract.cut(extract.facts(files)), files).select("rel_path", "locale", "namespace", "key", "value")
+    return extract.definitions(extract.cut(extract.facts(files, kinds=extract.OF_DEFINITIONS)), files).select("rel_path", "locale", "namespace", "key", "value")
 
 
 # ---- code
@@ -127,7 +127,7 @@ _HOOKS = r"""concat('import { useTranslation } from "react-i18next";\nexport fun
 FROM part, (VALUES ('brand', 'n', 0.9::DOUBLE, 5::BIGINT), ('p.k', 'other', 0.9, 5), ('p.yes', 'n', 0.9, 5), ('p.no', 'n', 0.9, 5), ('size', 'in', 0.75, 7)) AS v(key, ns, sure, line)"""
 )
 def X06_i18next_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract.facts(_files(_parts(spark, sf_dir), "concat('a', p_partkey, '.tsx')", "typescript", _HOOKS))
+    found = extract.facts(_files(_parts(spark, sf_dir), "concat('a', p_partkey, '.tsx')", "typescript", _HOOKS), kinds=["usage"])
     return extract.view(found, "usage").select("rel_path", "key", F.array_join("namespaces", "|").alias("namespaces"), "library", "confidence", "line")
 
 
@@ -135,7 +135,7 @@ def X06_i18next_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT 'a' || p_partkey || '.tsx' AS rel_path, 'ns' || (p_partkey % 3) || '|b' AS namespaces, v.pre AS prefixes, v.suf AS suffixes, 0.45::DOUBLE AS confidence FROM part, (VALUES ('dyn.', '.end'), ('pre.', '')) AS v(pre, suf)"""
 )
 def X05_dynamic_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract.facts(_files(_parts(spark, sf_dir), "concat('a', p_partkey, '.tsx')", "typescript", _HOOKS))
+    found = extract.facts(_files(_parts(spark, sf_dir), "concat('a', p_partkey, '.tsx')", "typescript", _HOOKS), kinds=["dynamic"])
     line = lambda c: F.array_join(c, "|").alias(c)
     return extract.view(found, "dynamic").select("rel_path", line("namespaces"), line("prefixes"), line("suffixes"), "confidence")
 
@@ -151,7 +151,7 @@ _LIBRARIES = {
 
 def _library(name: str, text: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = extract.facts(_files(_parts(spark, sf_dir), "concat('a', p_partkey, '.ts')", "typescript", text))
+        found = extract.facts(_files(_parts(spark, sf_dir), "concat('a', p_partkey, '.ts')", "typescript", text), kinds=["usage"])
         return extract.view(found, "usage").select("rel_path", "key", F.array_join("namespaces", "|").alias("namespaces"), "library", "confidence")
 
     run.__name__ = name
@@ -174,7 +174,7 @@ def X13_X14_J14_indirect_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, k = _parts(spark, sf_dir), spark.range(5).withColumnRenamed("id", "k")
     files = _files(p, "concat('src/u', p_partkey, '.tsx')", "typescript", _USER).union(_files(k, "concat('lib/s', k, '.ts')", "typescript", _SHARED)).union(_files(k, "concat('index', k, '.ts')", "typescript", "concat('export * from \"./lib/s', k, '\";')"))
     files = extract.cut(files)
-    static, _ = extract.usages(extract.cut(extract.facts(files)), files)
+    static, _ = extract.usages(extract.cut(extract.facts(files, kinds=extract.OF_USAGES)), files)
     return static.select("rel_path", "key", "namespace", "confidence", "line")
 
 
@@ -187,7 +187,7 @@ FROM part, (VALUES ('title', 'jsx-attribute', 'title', 2::BIGINT), ('hello', 'js
 )
 def X12_untranslated_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(_parts(spark, sf_dir), "concat('m', p_partkey, '.tsx')", "typescript", _MARKUP).union(_files(_parts(spark, sf_dir), "concat('m', p_partkey, '.test.tsx')", "typescript", _MARKUP))
-    return extract.literals(extract.facts(files)).select("rel_path", "text", "context", "attribute", "confidence", "line")
+    return extract.literals(extract.facts(files, kinds=["literal"])).select("rel_path", "text", "context", "attribute", "confidence", "line")
 
 
 _TEMPLATE = r"""concat('<template>\n  <!-- $t("no") --><p :title="$t(\'', p_brand, '\')" v-t="\'dir.x\'">{{ t("v.', p_size, '") }} {{ $tm("nuxt") }}</p>\n  <i18n-t keypath="kp.a"/>\n</template>\n<script setup>\nimport { useI18n } from "vue-i18n";\nconst { t } = useI18n();\nt("s.a");\n</script>\n<style>.t("x"){}</style>')"""
@@ -197,7 +197,7 @@ _TEMPLATE = r"""concat('<template>\n  <!-- $t("no") --><p :title="$t(\'', p_bran
     """SELECT 'c' || p_partkey || '.vue' AS rel_path, CASE v.key WHEN 'brand' THEN p_brand WHEN 'size' THEN 'v.' || p_size ELSE v.key END AS key, v.sure AS confidence, v.line FROM part, (VALUES ('brand', 0.85::DOUBLE, 2::BIGINT), ('dir.x', 0.8, 2), ('size', 0.75, 2), ('kp.a', 0.8, 3), ('s.a', 0.9, 8)) AS v(key, sure, line)"""
 )
 def C29_C33_vue_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract.facts(_files(_parts(spark, sf_dir), "concat('c', p_partkey, '.vue')", "vue", _TEMPLATE))
+    found = extract.facts(_files(_parts(spark, sf_dir), "concat('c', p_partkey, '.vue')", "vue", _TEMPLATE), kinds=["usage"])
     return extract.view(found, "usage").select("rel_path", "key", "confidence", "line")
 
 
@@ -210,7 +210,7 @@ _OTHERS = {
 
 def _template(name: str, language: str, text: str, nuxt: bool) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = extract.facts(_files(_parts(spark, sf_dir), "concat('t', p_partkey)", language, text), nuxt)
+        found = extract.facts(_files(_parts(spark, sf_dir), "concat('t', p_partkey)", language, text), nuxt, kinds=["usage"])
         return extract.view(found, "usage").select("rel_path", "key", "confidence")
 
     run.__name__ = name
@@ -229,7 +229,7 @@ _SYMBOLS = r"""concat('import a, { b as c } from "./x', p_size, '";\nexport { c
 FROM part, (VALUES ('d', 're-export', 'x', 'b'), ('e', 'local', NULL, 'e'), ('g', 're-export', './y', 'f'), ('*', 'star', './z', NULL), ('ns', 're-export', './w', '*'), ('e2', 'local', NULL, 'e2'), ('e3', 'local', NULL, 'e3'), ('default', 'default', NULL, 'Main')) AS v(name, kind, source, other)"""
 )
 def X16_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract.facts(_files(_parts(spark, sf_dir), "concat('e', p_partkey, '.ts')", "typescript", _SYMBOLS))
+    found = extract.facts(_files(_parts(spark, sf_dir), "concat('e', p_partkey, '.ts')", "typescript", _SYMBOLS), kinds=["export"])
     return extract.view(found, "export")
 
 
@@ -237,7 +237,7 @@ def X16_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT 'e' || p_partkey || '.ts' AS rel_path, v.* FROM part, (VALUES ('h', 't', 'call', true), ('w', 'h', 'call', true)) AS v(caller, callee, kind, forwards)"""
 )
 def X17_call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract.facts(_files(_parts(spark, sf_dir), "concat('e', p_partkey, '.ts')", "typescript", _SYMBOLS))
+    found = extract.facts(_files(_parts(spark, sf_dir), "concat('e', p_partkey, '.ts')", "typescript", _SYMBOLS), kinds=["edge"])
     return extract.view(found, "edge")
 
 
@@ -261,7 +261,7 @@ _BINDINGS = r"""concat('function usersColumns(t) { return [t("col.', p_size, '")
 )
 def J15_X14_call_site_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = extract.cut(_files(_parts(spark, sf_dir), "concat('p', p_partkey, '.tsx')", "typescript", _BINDINGS))
-    static, _ = extract.usages(extract.cut(extract.facts(files)), files)
+    static, _ = extract.usages(extract.cut(extract.facts(files, kinds=extract.OF_USAGES)), files)
     names = F.coalesce(F.array_join("namespaces", "|"), F.col("namespace")).alias("namespaces")
     return static.select("key", names).groupBy("key", "namespaces").agg(F.count("*").alias("n"))
 
@@ -274,7 +274,7 @@ def J10_import_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parts(spark, sf_dir)
     text = "concat('import x from \"', case when p_partkey % 3 = 0 then concat('./m', p_partkey div 2) else './none' end, '\";')"
     files = extract.cut(_files(p, "concat('m', p_partkey, '.ts')", "typescript", text))
-    imports = extract.view(extract.facts(files), "import").select("rel_path", F.col("source").alias("spec"))
+    imports = extract.view(extract.facts(files, kinds=["import"]), "import").select("rel_path", F.col("source").alias("spec"))
     return modules.resolved(imports, files.select("rel_path")).select("rel_path", "spec", "target")
 
 
@@ -319,7 +319,7 @@ def X13_J17_related_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = files.union(_files(one, "'lib/mainRoute.ts'", "typescript", "'export const route = { path: \"/\", label: \"rt.label\" };'")).union(_files(one, "'lib/navConfig.ts'", "typescript", "'export const nav = { a: { title: \"cfg.title\" } };'"))
     files = files.union(_files(one, "'lib/other.ts'", "typescript", "'export const none = { a: { title: \"never\" } };'"))
     files = extract.cut(files)
-    static, _ = extract.usages(extract.cut(extract.facts(files)), files)
+    static, _ = extract.usages(extract.cut(extract.facts(files, kinds=extract.OF_USAGES)), files)
     return static.groupBy("rel_path", "key", "namespace").agg(F.count("*").alias("n"))
 
 
@@ -328,7 +328,7 @@ _CONSTANTS = r"""concat('import { base } from "./b";\nenum E { A = "a" }\nconst
 
 @query("SELECT 'k' || p_partkey || '.ts' AS rel_path, v.* FROM part, (VALUES ('two', 'one'), ('two', 'base'), ('three', 'E'), ('three', 'two')) AS v(name, needs)")
 def G10_constant_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.view(extract.facts(_files(_parts(spark, sf_dir), "concat('k', p_partkey, '.ts')", "typescript", _CONSTANTS)), "depend")
+    return extract.view(extract.facts(_files(_parts(spark, sf_dir), "concat('k', p_partkey, '.ts')", "typescript", _CONSTANTS), kinds=["depend"]), "depend")
 
 
 @query(

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +41,9 @@ SCHEMAS = {
     "registration": "locale string, namespace string, source string, name string",
     "warning": "message string",
 }
+#: Kinds that ``usages`` and ``definitions`` need.
+OF_USAGES = ("usage", "dynamic", "ref", "ask", "told", "import", "export", "value", "pass")
+OF_DEFINITIONS = ("entry", "spread", "object", "registration", "import", "export")
 #: Languages whose files hold scripts, and those that hold markup.
 SCRIPTS, MARKUP = ("javascript", "typescript", "vue", "svelte", "astro", "html"), ("vue", "svelte", "astro", "html")
 
@@ -64,8 +67,15 @@ class _Places:
         return {"line": line, "column": self.units(low, start) + 1, "start": first, "end": first + self.units(start, end)}
 
 
-def facts_of(path: str, language: str, body: str, nuxt: bool = False) -> Iterator[tuple[str, dict]]:
-    """(kind, fields) of the facts of one file."""
+def facts_of(path: str, language: str, body: str, nuxt: bool = False, kinds: Collection[str] | None = None) -> Iterator[tuple[str, dict]]:
+    """(kind, fields) of the facts of one file; of the kinds asked for, if they are given."""
+    for kind, data in _facts_of(language, body, nuxt, frozenset(SCHEMAS if kinds is None else kinds)):
+        if kinds is None or kind in kinds:
+            yield kind, data
+
+
+def _facts_of(language: str, body: str, nuxt: bool, kinds: frozenset[str]) -> Iterator[tuple[str, dict]]:
+    """``facts_of``; what needs work of its own is left out where none of its kinds is asked for."""
     places = _Places(body)
     if language == "json":
         found, problems = catalog.read(body)
@@ -85,54 +95,108 @@ def facts_of(path: str, language: str, body: str, nuxt: bool = False) -> Iterato
             ns, _, rest = key.partition(":") if library == "i18next" and re.match(r"[\w@./-]+:[^/]", key) else ("", "", key)
             yield "usage", {"key": rest, "namespaces": [ns] if ns else [], "resolved": bool(ns), "library": library, "confidence": sure, "context": context, "suppress": False, "via": None, **places.of(start, end)}
     script = Script(templates.scripts(body, language), nuxt)
-    static, dynamic, refs = script.facts()
-    for u in static:
-        yield "usage", {"key": u.key, "namespaces": list(u.namespaces), "resolved": u.resolved, "library": u.library, "confidence": u.confidence, "context": u.context, "suppress": u.suppress, "via": u.via, **places.of(u.start, u.end)}
-    for d in dynamic:
-        yield "dynamic", {"namespaces": list(d.namespaces), "library": d.library, "confidence": d.confidence, "prefixes": list(d.prefixes), "suffixes": list(d.suffixes), "contains": list(d.contains), "covers": d.covers, **places.of(d.start, d.end)}
-    for r, u in refs:
-        yield "ref", {**r._asdict(), "key": u.key, "namespaces": list(u.namespaces), "resolved": u.resolved, "library": u.library, "confidence": u.confidence, "context": u.context, "suppress": u.suppress, "via": u.via, **places.of(u.start, u.end)}
-    for prop, route, u in dict.fromkeys(script.asks):
-        yield "ask", {"prop": prop, "route": route, "key": u.key, "namespaces": list(u.namespaces), "resolved": u.resolved, "library": u.library, "confidence": u.confidence, "context": u.context, "suppress": False, "via": u.via, **places.of(u.start, u.end)}
-    for prop, value in script.told():
-        yield "told", {"prop": prop, "value": value}
-    for name, needs in script.dependencies():
-        yield "depend", {"name": name, "needs": needs}
-    for literal, context, attribute, start, end in script.literals():
-        yield "literal", {"text": literal, "context": context, "attribute": attribute, "library": script.library(), **places.of(start, end)}
-    for local, (source, name) in script.imports.items():
-        yield "import", {"local": local, "source": source, "name": name}
-    for name, kind, source, source_name in script.exports():
-        yield "export", {"name": name, "kind": kind, "source": source, "source_name": source_name}
-    for name, inner, value in script.exported_values():
-        yield "value", {"name": name, "path": inner, "value": value}
-    for caller, callee, kind, forwards in script.call_edges():
-        yield "edge", {"caller": caller, "callee": callee, "kind": kind, "forwards": forwards}
-    for fn, ns, from_fn in script.translator_calls():
-        yield "pass", {"fn": fn, "ns": ns, "from_fn": from_fn}
+    if not kinds.isdisjoint(("usage", "dynamic", "ref", "ask")):
+        static, dynamic, refs = script.facts()
+        for u in static:
+            yield "usage", {"key": u.key, "namespaces": list(u.namespaces), "resolved": u.resolved, "library": u.library, "confidence": u.confidence, "context": u.context, "suppress": u.suppress, "via": u.via, **places.of(u.start, u.end)}
+        for d in dynamic:
+            yield "dynamic", {"namespaces": list(d.namespaces), "library": d.library, "confidence": d.confidence, "prefixes": list(d.prefixes), "suffixes": list(d.suffixes), "contains": list(d.contains), "covers": d.covers, **places.of(d.start, d.end)}
+        for r, u in refs:
+            yield "ref", {**r._asdict(), "key": u.key, "namespaces": list(u.namespaces), "resolved": u.resolved, "library": u.library, "confidence": u.confidence, "context": u.context, "suppress": u.suppress, "via": u.via, **places.of(u.start, u.end)}
+        for prop, route, u in dict.fromkeys(script.asks):
+            yield "ask", {"prop": prop, "route": route, "key": u.key, "namespaces": list(u.namespaces), "resolved": u.resolved, "library": u.library, "confidence": u.confidence, "context": u.context, "suppress": False, "via": u.via, **places.of(u.start, u.end)}
+    if "told" in kinds:
+        for prop, value in script.told():
+            yield "told", {"prop": prop, "value": value}
+    if "depend" in kinds:
+        for name, needs in script.dependencies():
+            yield "depend", {"name": name, "needs": needs}
+    if "literal" in kinds:
+        for literal, context, attribute, start, end in script.literals():
+            yield "literal", {"text": literal, "context": context, "attribute": attribute, "library": script.library(), **places.of(start, end)}
+    if "import" in kinds:
+        for local, (source, name) in script.imports.items():
+            yield "import", {"local": local, "source": source, "name": name}
+    if "export" in kinds:
+        for name, kind, source, source_name in script.exports():
+            yield "export", {"name": name, "kind": kind, "source": source, "source_name": source_name}
+    if "value" in kinds:
+        for name, inner, value in script.exported_values():
+            yield "value", {"name": name, "path": inner, "value": value}
+    if "edge" in kinds:
+        for caller, callee, kind, forwards in script.call_edges():
+            yield "edge", {"caller": caller, "callee": callee, "kind": kind, "forwards": forwards}
+    if "pass" in kinds:
+        for fn, ns, from_fn in script.translator_calls():
+            yield "pass", {"fn": fn, "ns": ns, "from_fn": from_fn}
+    if kinds.isdisjoint(("entry", "spread", "object", "registration")):
+        return
     held = messages.Messages(script)
-    for e in [*held.entries(), *held.inline_registrations()]:
-        if e.source is None:
-            yield "entry", {"key": e.key, "value": e.value, "value_kind": e.kind, "locale": e.locale, "namespace": e.namespace, "format": language, **places.of(e.start, e.end)}
-        else:
-            yield "spread", {"prefix": e.key, "locale": e.locale, "namespace": e.namespace, "source": e.source, "name": e.name, "format": language, **places.of(e.start, e.end)}
-    for export, e in held.objects():
-        yield "object", {"export": export, "key": e.key, "value": e.value, "value_kind": e.kind, "source": e.source, "name": e.name, **places.of(e.start, e.end)}
-    for locale, namespace, source, name in held.registrations():
-        yield "registration", {"locale": locale, "namespace": namespace, "source": source, "name": name}
-
-
-def facts(files: DataFrame, nuxt: bool = False) -> DataFrame:
-    """(rel_path, fact, data: JSON) of files (rel_path, language, text)."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for path, language, body in zip(part["rel_path"], part["language"], part["text"]):
-                rows = [(path, kind, json.dumps(data)) for kind, data in facts_of(path, language, body or "", nuxt)]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["rel_path", "fact", "data"])
-
-    return files.select("rel_path", "language", "text").mapInPandas(run, "rel_path string, fact string, data string")
+    if not kinds.isdisjoint(("entry", "spread")):
+        for e in [*held.entries(), *held.inline_registrations()]:
+            if e.source is None:
+                yield "entry", {"key": e.key, "value": e.value, "value_kind": e.kind, "locale": e.locale, "namespace": e.namespace, "format": language, **places.of(e.start, e.end)}
+            else:
+                yield "spread", {"prefix": e.key, "locale": e.locale, "namespace": e.namespace, "source": e.source, "name": e.name, "format": language, **places.of(e.start, e.end)}
+    if "object" in kinds:
+        for export, e in held.objects():
+            yield "object", {"export": export, "key": e.key, "value": e.value, "value_kind": e.kind, "source": e.source, "name": e.name, **places.of(e.start, e.end)}
+    if "registration" in kinds:
+        for locale, namespace, source, name in held.registrations():
+            yield "registration", {"locale": locale, "namespace": namespace, "source": source, "name": name}
+
+def facts(files: DataFrame, nuxt: bool = False, kinds: Collection[str] | None = None) -> DataFrame:
+    """(rel_path, fact, data: JSON) of files (rel_path, language, text); of the kinds asked for, if they are given.
+
+    Files are dealt to all cores first: a table of small files is few splits, and reading scripts takes far longer than moving them."""
+    spark = files.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    asked = None if kinds is None else frozenset(kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for path, language, body in zip(*(batch.column(c) for c in ("rel_path", "language", "text"))):
+                path = path.as_py()
+                for kind, data in _remembered(language.as_py(), body.as_py() or "", nuxt, asked):
+                    rows.append((path, kind, data))
+                    size += len(data)
+                if len(rows) >= _ROWS or size >= _CHARS:
+                    yield _batch(rows)
+                    rows, size = [], 0
+        if rows:
+            yield _batch(rows)
+
+    dealt = files.select("rel_path", "language", "text").repartition(parts, F.xxhash64("rel_path"))
+    return dealt.mapInArrow(run, "rel_path string, fact string, data string")
+
+
+#: Rows and characters of a batch that a worker sends, and characters that it remembers.
+_ROWS, _CHARS, _KEPT = 1 << 13, 1 << 22, 1 << 24
+_memo: dict[tuple, list[tuple[str, str]]] = {}
+_held = 0
+
+
+def _remembered(language: str, body: str, nuxt: bool, kinds: frozenset[str] | None) -> list[tuple[str, str]]:
+    """(kind, JSON) of the facts of a text. They don't depend on its path, so copies of a file are read once by a worker, while it
+    remembers them: it forgets all when they get too long, and keeps no text that is long itself."""
+    global _held
+    key = (language, body, nuxt, kinds)
+    found = _memo.get(key)
+    if found is None:
+        found = [(kind, json.dumps(data)) for kind, data in facts_of("", language, body, nuxt, kinds)]
+        size = len(body) + sum(len(data) for _, data in found) + 64 * (1 + len(found))
+        if size <= _KEPT >> 8:
+            if _held + size > _KEPT:
+                _memo.clear()
+                _held = 0
+            _memo[key] = found
+            _held += size
+    return found
+
+
+def _batch(rows: list[tuple[str, str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(column, pa.string()) for column in zip(*rows)], ["rel_path", "fact", "data"])
 
 
 def view(found: DataFrame, fact: str) -> DataFrame:

@@ -95,12 +95,12 @@ def scan(spark: SparkSession, root: str, ignore: list[str] | None = None) -> Dat
 
 def definitions(files: DataFrame) -> DataFrame:
     """Definition facts of the catalogs among the files."""
-    return extract.definitions(extract.facts(files.where("role <> 'generated'")), files)
+    return extract.definitions(extract.facts(files.where("role <> 'generated'"), kinds=extract.OF_DEFINITIONS), files)
 
 
 def usages(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Static and dynamic usage facts of the code among the files."""
-    return extract.usages(extract.facts(files.where("role <> 'generated'")), files)
+    return extract.usages(extract.facts(files.where("role <> 'generated'"), kinds=extract.OF_USAGES), files)
 
 
 def directives(files: DataFrame, marker: str) -> DataFrame:
