@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,13 +69,57 @@ def diagnostics(issues: DataFrame, most: int) -> DataFrame:
     return each.withColumn("place", place).where(F.col("place") <= most)
 
 
+#: Before the first character of a line, and behind its last.
+_FIRST, _LAST = -(1 << 63), (1 << 63) - 1
+
+
 def usage_at(cursors: DataFrame, usages: DataFrame) -> DataFrame:
     """(cursor, ord, dynamic): the usage under each cursor (cursor, rel_path, line, character: from one), or null.
 
     Usages: ord, rel_path, line, column, end_line, end_column, dynamic. Both ends count; dynamic ones go first, then catalog order.
-    A usage stands in each line it covers, so cursors meet it by file and line."""
-    spread = usages.withColumn("_line", F.explode(F.sequence("line", "end_line")))
-    met = cursors.alias("c").join(spread.alias("u"), (F.col("c.rel_path") == F.col("u.rel_path")) & (F.col("c.line") == F.col("u._line")))
-    inside = ~((F.col("c.line") == F.col("u.line")) & (F.col("c.character") < F.col("u.column"))) & ~((F.col("c.line") == F.col("u.end_line")) & (F.col("c.character") > F.col("u.end_column")))
-    best = met.where(inside).groupBy("c.cursor").agg(F.min_by(F.struct("u.ord", "u.dynamic"), F.struct(~F.col("u.dynamic"), F.col("u.ord"))).alias("b"))
-    return cursors.select("cursor").join(best.select("cursor", "b.ord", "b.dynamic"), "cursor", "left")
+    A usage stands in each line it covers. Places and ranges are folded first (of equal ranges the first usage counts); those of a line
+    go through one sweep in the order of characters, so no pairs are made."""
+    rank = F.when(F.col("dynamic"), 0).when(~F.col("dynamic"), 1).otherwise(2)
+    order = F.struct("rank", F.col("ord").isNull(), "ord")
+    ranges = usages.where("line <= end_line").withColumn("rank", rank).groupBy("rel_path", "line", "column", "end_line", "end_column").agg(F.min_by(F.struct("ord", "rank"), order).alias("b"))
+    spread = ranges.withColumn("_line", F.explode(F.sequence("line", "end_line")))
+    low = F.when(F.col("_line") == F.col("line"), F.col("column")).otherwise(F.lit(_FIRST)).cast("long")
+    high = F.when(F.col("_line") == F.col("end_line"), F.col("end_column")).otherwise(F.lit(_LAST)).cast("long")
+    held = spread.select("rel_path", F.col("_line").cast("long").alias("line"), low.alias("at"), F.lit(0).alias("role"), high.alias("until"), "b.ord", "b.rank").where("rel_path is not null and at <= until")
+    kind = held.schema["ord"].dataType.simpleString()
+    asked = cursors.where("rel_path is not null and line is not null").select("rel_path", F.col("line").cast("long").alias("line"), F.col("character").cast("long").alias("at")).distinct()
+    none = lambda t, c: F.lit(None).cast(t).alias(c)
+    both = held.union(asked.select("rel_path", "line", "at", F.lit(1).alias("role"), none("long", "until"), none(kind, "ord"), none("int", "rank")))
+    # a cursor without a character comes first, where only what covers the whole line holds it
+    dealt = both.repartition("rel_path", "line").sortWithinPartitions("rel_path", "line", F.coalesce("at", F.lit(_FIRST)), "role")
+    s = dealt.mapInArrow(_sweep, f"rel_path string, line bigint, at bigint, ord {kind}, rank int").alias("s")
+    c = cursors.alias("c")
+    same = (F.col("c.rel_path") == F.col("s.rel_path")) & (F.col("c.line") == F.col("s.line")) & F.col("c.character").eqNullSafe(F.col("s.at"))
+    met = c.join(s, same, "left").select("c.cursor", F.when(F.col("c.cursor").isNotNull(), F.col("s.ord")).alias("ord"), F.when(F.col("c.cursor").isNotNull(), F.col("s.rank")).alias("rank"))
+    # a cursor may stand in several places
+    best = F.min_by(F.struct("ord", "rank"), F.struct(F.col("rank").isNull(), order)).over(Window.partitionBy("cursor"))
+    return met.select("cursor", best.alias("b")).select("cursor", "b.ord", F.when(F.col("b.rank") < 2, F.col("b.rank") == 0).alias("dynamic"))
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places with the first of the ranges that hold them; the ranges of a line that may still hold one are a heap by their order."""
+    last, open_ = None, []
+    for batch in batches:
+        out = []
+        for path, line, at, role, until, ord_, rank in zip(*(batch.column(c).to_pylist() for c in ("rel_path", "line", "at", "role", "until", "ord", "rank"))):
+            if (path, line) != last:
+                last, open_ = (path, line), []
+            if not role:
+                heappush(open_, (rank, ord_ is None, ord_, until))
+                continue
+            if at is None:
+                first = min((x for x in open_ if x[3] == _LAST), default=None)
+            else:
+                while open_ and open_[0][3] < at:
+                    heappop(open_)  # characters only grow: it holds no later one either
+                first = open_[0] if open_ else None
+            if first is not None:
+                out.append((path, line, at, first[2], first[0]))
+        if out:
+            types = [pa.string(), pa.int64(), pa.int64(), batch.schema.field("ord").type, pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["rel_path", "line", "at", "ord", "rank"])

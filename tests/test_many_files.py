@@ -53,3 +53,33 @@ def test_a_worker_forgets_what_it_remembers(monkeypatch):
     assert len(extract._memo) < 1000
     long = "export const b = 1;\n" + "// long\n" * 200
     assert extract._remembered("typescript", long, False, None) and not any(k[1] == long for k in extract._memo)
+
+
+def test_cursors_of_a_crowded_line_meet_no_pairs_and_equal_brute_force(spark):
+    import random
+
+    from keyloom.operators import editor
+
+    r = random.Random(5)
+    usages = [(i, f"f{r.randrange(2)}", a, r.choice([1, 5, 9, None]), a + r.choice([0, 0, 1, 3, -1]), r.choice([3, 8, 12, None]), r.choice([True, False])) for i, a in ((i, r.randrange(6)) for i in range(60))]
+    usages += [(100 + i, "big", 1, i, 1, i + 3, i % 3 == 0) for i in range(3000)]
+    cursors = [(i, f"f{r.randrange(3)}", r.randrange(9), r.choice([0, 1, 2, 5, 8, 9, 11, None])) for i in range(300)]
+    cursors += [(1000 + i, "big", 1, i) for i in range(3000)] + [(7, "f0", 2, 5), (None, "f0", 2, 5)]
+    u = spark.createDataFrame(usages, "ord bigint, rel_path string, line bigint, column bigint, end_line bigint, end_column bigint, dynamic boolean")
+    c = spark.createDataFrame(cursors, "cursor bigint, rel_path string, line bigint, character bigint")
+
+    def holds(p, line, ch, x):
+        _, q, a, ac, b, bc, _ = x
+        if p != q or not a <= line <= b:
+            return False
+        return not (line == a and (ch is None or ac is None or ch < ac)) and not (line == b and (ch is None or bc is None or ch > bc))
+
+    near = lambda p: usages[:60] if p != "big" else usages[60:]
+    best = {}
+    for i, p, line, ch in cursors:
+        found = [(not x[6], x[0]) for x in (near(p) if p != "big" else usages[60 + max(0, ch - 4) : 60 + ch + 1]) if holds(p, line, ch, x)]
+        best.setdefault(i, []).extend(found if i is not None else [])
+    want = sorted(((i, *((lambda m: (m[1], not m[0]))(min(best[i])) if best[i] else (None, None))) for i, *_ in cursors), key=str)
+    got = editor.usage_at(c, u)
+    assert sorted((tuple(x) for x in got.collect()), key=str) == want
+    assert "sweep" in got._jdf.queryExecution().toString()
