@@ -184,7 +184,7 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
 
     got = docs.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"))
     kind = got.schema["id"].dataType.simpleString()
-    return got.mapInArrow(run, f"id {kind}, ids binary, n_tokens bigint").withColumnRenamed("id", id_col)
+    return got.mapInArrow(common.released(run), f"id {kind}, ids binary, n_tokens bigint").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -198,7 +198,7 @@ def decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col:
 
     got = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     kind = got.schema["id"].dataType.simpleString()
-    return got.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return got.mapInArrow(common.released(run), f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def encode_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,7 +216,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text
 
     got = docs.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"))
     kind = got.schema["id"].dataType.simpleString()
-    return got.mapInArrow(run, f"id {kind}, ids binary, n_tokens bigint, decoded string").withColumnRenamed("id", id_col)
+    return got.mapInArrow(common.released(run), f"id {kind}, ids binary, n_tokens bigint, decoded string").withColumnRenamed("id", id_col)
 
 
 def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -279,7 +279,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                 more = [old + new for old, new in zip(b.column(2).to_pylist(), held.value.leaks(list(common.texts(b.column(1)))))]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(more, kind)], ["id", "text", "leaks"])
 
-        found = found.mapInArrow(run, f"id {id_kind}, text string, leaks {_MATCH}")
+        found = found.mapInArrow(common.released(run), f"id {id_kind}, text string, leaks {_MATCH}")
     return found.select(F.col("id").alias(id_col), "leaks")
 
 
@@ -295,7 +295,7 @@ def keep_rows(docs: DataFrame, items: DataFrame, text_col: str = "text") -> Data
             for b in batches:
                 yield b.filter(pa.array([not found for found in held.value.leaks(list(common.texts(b.column(at))))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(common.released(run), docs.schema)
     return docs
 
 

@@ -253,8 +253,8 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     got = _keyed(docs, id_col, text_col)
     kind = got.schema["id"].dataType.simpleString()
     parts = common.partitions_for(docs, PARTITION_BYTES)
-    sent = got.mapInArrow(_distinct, f"n bigint, sha binary, text binary, id {kind}, rows bigint")
-    return sent.repartition(parts, "n", "sha").mapInArrow(_own, f"n bigint, sha binary, keep_id {kind}, group_size bigint")
+    sent = got.mapInArrow(common.released(_distinct), f"n bigint, sha binary, text binary, id {kind}, rows bigint")
+    return sent.repartition(parts, "n", "sha").mapInArrow(common.released(_own), f"n bigint, sha binary, keep_id {kind}, group_size bigint")
 
 
 def _owned_rows(docs: DataFrame, id_col: str, text_col: str, more: list | None = None) -> DataFrame:
@@ -262,7 +262,7 @@ def _owned_rows(docs: DataFrame, id_col: str, text_col: str, more: list | None =
     owned = common.materialize(owners(docs, id_col, text_col))
     got = _keyed(docs, id_col, text_col, more)
     kinds = {f.name: f.dataType.simpleString() for f in got.schema}
-    rows = got.mapInArrow(_digests, f"row {kinds['row']}, id {kinds['id']}, n bigint, sha binary")
+    rows = got.mapInArrow(common.released(_digests), f"row {kinds['row']}, id {kinds['id']}, n bigint, sha binary")
     return common.join_spread(rows, owned, ["n", "sha"], "group_size")
 
 

@@ -118,7 +118,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 
     got = docs.select(F.col(id_col).alias("id"), common.text_of(text_col).cast("binary").alias("text"))
-    return got.mapInArrow(run, f"id {got.schema['id'].dataType.simpleString()}, fp bigint")
+    return got.mapInArrow(common.released(run), f"id {got.schema['id'].dataType.simpleString()}, fp bigint")
 
 
 # ---- Golay code
@@ -258,7 +258,7 @@ def links(distinct: DataFrame) -> DataFrame:
     spark = distinct.sparkSession
     session = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(session, -(-distinct.count() * 16 // KEYS_A_PARTITION))
-    return distinct.select("fp").mapInArrow(_keys, "key bigint, fp bigint").repartition(parts, "key").mapInArrow(_link, "u bigint, v bigint")
+    return distinct.select("fp").mapInArrow(common.released(_keys), "key bigint, fp bigint").repartition(parts, "key").mapInArrow(common.released(_link), "u bigint, v bigint")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -393,7 +393,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     every = first.select("a", F.lit(None).cast("bigint").alias("b"), "text", "block").union(sent)
     parts = max(session, -(-(counts.agg(F.sum("n")).first()[0] or 0) // PAIRS_A_PARTITION))
     every = every.repartition(parts, "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    return every.select("a", "b", "text").mapInArrow(_verify(shingle, similarity), "u bigint, v bigint")
+    return every.select("a", "b", "text").mapInArrow(common.released(_verify(shingle, similarity)), "u bigint, v bigint")
 
 
 # ---- crowded buckets: an exact join on the rarest shingles
@@ -557,14 +557,14 @@ def crowd_pairs(texts: DataFrame, roots: DataFrame, shingle: int, similarity: fl
     once a chunk, so one that very many texts hold is no load for any task."""
     spark = texts.sparkSession
     session = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = common.materialize(texts.mapInArrow(_pack_sets(shingle), "chunk bigint, rows binary, sizes binary, shingles binary"))
+    chunks = common.materialize(texts.mapInArrow(common.released(_pack_sets(shingle)), "chunk bigint, rows binary, sizes binary, shingles binary"))
     total = (chunks.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0) // 8
     buckets = max(session, -(-total // BUCKET))
-    sent = chunks.select("chunk", "shingles").mapInArrow(_send_counts(buckets), "bucket int, chunk bigint, shingles binary, counts binary")
-    ranked = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_rank, "chunk bigint, bucket int, codes binary")
+    sent = chunks.select("chunk", "shingles").mapInArrow(common.released(_send_counts(buckets)), "bucket int, chunk bigint, shingles binary, counts binary")
+    ranked = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(common.released(_rank), "chunk bigint, bucket int, codes binary")
     codes = ranked.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "codes")).alias("codes"))
     whole = chunks.join(codes, "chunk").select("rows", "sizes", "shingles", "codes")
-    entry = whole.mapInArrow(_prefixes(similarity), "h bigint, row bigint, size bigint, at bigint").join(roots, "row", "left")
+    entry = whole.mapInArrow(common.released(_prefixes(similarity)), "h bigint, row bigint, size bigint, at bigint").join(roots, "row", "left")
     entry = entry.select("row", F.coalesce("root", "row").alias("root"), "size", "at", "h")
     low = (F.lit(1.0) - similarity) / (1 + similarity) * F.col("size") + 1e-6
     entry = common.materialize(entry.withColumn("low", F.col("at") <= low))
@@ -578,7 +578,7 @@ def crowd_pairs(texts: DataFrame, roots: DataFrame, shingle: int, similarity: fl
     unit = lows.select(*names).union(highs.select(*names))
     parts = max(session, -(-(met.agg(F.sum("n")).first()[0] or 0) // ROWS_A_PARTITION))
     unit = unit.repartition(parts, "h", "part", "salt").sortWithinPartitions("h", "part", "salt", "role")
-    return unit.mapInArrow(_propose(similarity), "a bigint, b bigint").distinct()
+    return unit.mapInArrow(common.released(_propose(similarity)), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -588,7 +588,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     docs = common.stable(docs)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), common.text_of(text_col).cast("binary").alias("text"), F.struct(F.col(id_col).alias("id"), *common.place(docs)).alias("of"))
     kind = texts.schema["of"].dataType.simpleString()
-    views = common.materialize(texts.mapInArrow(_views(shingle), f"row bigint, size int, digest binary, bits binary, keys array<bigint>, of {kind}").select("row", "size", "digest", "bits", "keys", "of.*"))
+    views = common.materialize(texts.mapInArrow(common.released(_views(shingle)), f"row bigint, size int, digest binary, bits binary, keys array<bigint>, of {kind}").select("row", "size", "digest", "bits", "keys", "of.*"))
 
     # rows of one set of shingles meet at the first of them, which stands for them
     sets = common.materialize(views.groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("n")))
@@ -620,7 +620,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         left = counts.join(bits.select(F.col("row").alias("a"), F.col("size").alias("size_a"), F.col("bits").alias("bits_a")), "a")
         right = bits.select(F.col("row").alias("b"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b"))
         both = common.join_spread(pairs, common.materialize(left), ["a"], "n").join(right, "b")
-        return common.materialize(both.select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(_may_be_similar(similarity), "a bigint, b bigint"))
+        return common.materialize(both.select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(common.released(_may_be_similar(similarity)), "a bigint, b bigint"))
 
     proposed = possible(pairs.union(star).distinct())
     crowded = common.materialize(crowd.select("row").distinct())

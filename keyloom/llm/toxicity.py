@@ -217,7 +217,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     got = docs.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"))
     kind = got.schema["id"].dataType.simpleString()
-    return got.mapInArrow(run, f"id {kind}, score double, sentences array<struct<start:int,end:int,p:double>>").withColumnRenamed("id", id_col)
+    return got.mapInArrow(common.released(run), f"id {kind}, score double, sentences array<struct<start:int,end:int,p:double>>").withColumnRenamed("id", id_col)
 
 
 def keep_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -231,7 +231,7 @@ def keep_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
         for b in batches:
             yield b.filter(pa.array([m.score(t) < THRESHOLD for t in common.texts(b.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.released(run), docs.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
