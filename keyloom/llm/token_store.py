@@ -130,13 +130,13 @@ def repair(ids: np.ndarray, base: int, end: int, least: int = LEAST, step: int =
         at = np.flatnonzero(live).astype(np.int32)
         if len(at) < least:
             break
-        left, right = seq[:-1][live], seq[1:][live]
+        left, right = seq.take(at), seq.take(at + 1)
         # buckets of a hash bound the counts from above: only pairs in full enough ones are counted. The fewer buckets,
         # the faster; there are so many that chance fills none
         size = 1 << min(22, max(10, (16 * len(at) // max(least, floor // step)).bit_length()))
-        bucket = ((left * np.uint32(2654435761) + right * np.uint32(2246822519)) >> np.uint32(32 - size.bit_length() + 1)).astype(np.int32)
+        bucket = ((left * np.uint32(2654435761) + right * np.uint32(2246822519)) >> np.uint32(32 - size.bit_length() + 1)).astype(np.intp)
         held = np.bincount(bucket, minlength=size)
-        of = held.astype(np.int32)[bucket]
+        of = held.astype(np.int32).take(bucket)
         live[at[of < least]] = False
         floor = max(least, min(floor, int(held.max())) // step)
         while True:
