@@ -9,6 +9,7 @@ from ..storage import cut
 
 # fixed values: what an import without an extension may mean, in order
 ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js")
+EXTENSION = r"\.[cm]?[jt]sx?$"
 #: Hops of a chain of re-exports.
 DEEPEST = 16
 #: The most that a symbol found by ``export *`` may claim.
@@ -17,11 +18,12 @@ STAR = 0.85
 
 def normal(path: Column) -> Column:
     """A path without ``.``, ``..`` and empty segments."""
+    short = F.regexp_replace(path, r"/(\.?/)+", "/")
     keep = F.aggregate(
-        F.split(path, "/"), F.array().cast("array<string>"),
+        F.split(short, "/"), F.array().cast("array<string>"),
         lambda acc, s: F.when((s == "") | (s == "."), acc).when((s == "..") & (F.size(acc) > 0), F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.concat(acc, F.array(s))),
     )
-    return F.array_join(keep, "/")
+    return F.when(~short.rlike(r"(^|/)\.{0,2}(/|$)"), short).otherwise(F.array_join(keep, "/"))
 
 
 def joined(folder: Column, spec: Column) -> Column:
@@ -49,22 +51,26 @@ def mapped(spec: Column, paths: dict[str, list[str]], base: str = "") -> Column:
     return F.array_distinct(F.concat(*each))
 
 
-def candidates(path: Column) -> Column:
-    """Files that an import may mean, in order; one with an extension means itself."""
-    return F.when(path.rlike(r"\.[cm]?[jt]sx?$"), F.array(path)).otherwise(F.array(*[F.concat(path, F.lit(e)) for e in ENDINGS]))
+def meant_by(path: Column) -> Column:
+    """The paths (stem, whole, place) of imports that may mean a file, with the place of their ending; one with an extension (whole) means itself."""
+    none = F.lit(None).cast("struct<stem: string, whole: boolean, place: int>")
+    short = [F.when(F.endswith(path, F.lit(e)), F.struct(path.substr(F.lit(1), F.length(path) - len(e)).alias("stem"), F.lit(False).alias("whole"), F.lit(k).alias("place"))).otherwise(none) for k, e in enumerate(ENDINGS)]
+    itself = F.when(path.rlike(EXTENSION), F.struct(path.alias("stem"), F.lit(True).alias("whole"), F.lit(0).alias("place"))).otherwise(none)
+    return F.array_compact(F.array(itself, *short))
 
 
 def resolved(imports: DataFrame, files: DataFrame, paths: dict[str, list[str]] | None = None, base: str = "") -> DataFrame:
     """Adds ``target``: the file that an import (rel_path, spec) means, or null; files: rel_path.
 
-    Every import is exploded to its candidates, which meet the files by equality; the first one that exists counts."""
+    Files are exploded to the paths that mean them, which meet those of imports by equality; the first one that exists counts."""
     folder = F.regexp_replace("rel_path", r"[^/]*$", "")
     local = F.array(joined(folder, F.col("spec")))
     bases = F.when(F.startswith("spec", F.lit(".")), local).otherwise(mapped(F.col("spec"), paths or {}, base) if paths is not None else F.array().cast("array<string>"))
     pairs = imports.select("rel_path", "spec").distinct()
-    every = pairs.select("rel_path", "spec", F.posexplode(F.flatten(F.transform(bases, candidates))).alias("rank", "target"))
-    found = every.join(files.select(F.col("rel_path").alias("target")).distinct(), "target")
-    best = found.groupBy("rel_path", "spec").agg(F.min_by("target", "rank").alias("target"))
+    every = pairs.select("rel_path", "spec", F.posexplode(bases).alias("rank", "stem")).withColumn("whole", F.col("stem").rlike(EXTENSION))
+    known = files.select(F.col("rel_path").alias("target")).select("target", F.inline(meant_by(F.col("target"))))
+    found = every.join(known, ["stem", "whole"])
+    best = found.groupBy("rel_path", "spec").agg(F.min_by("target", F.struct("rank", "place")).alias("target"))
     return imports.join(best, ["rel_path", "spec"], "left")
 
 
@@ -92,17 +98,16 @@ def follow(requests: DataFrame, exports: DataFrame, depth: int = DEEPEST) -> Dat
         at = cut(at)
         state = F.when(F.col("locals") > 1, "ambiguous").when(F.col("kind").isin("local", "default"), "found")
         done = at.where(state.isNotNull()).select("req", "rel_path", "name", "confidence", state.alias("state"))
+        ended = done if ended is None else ended.union(done)
         via = at.where("kind = 're-export'").select("req", F.col("target").alias("rel_path"), F.col("target_name").alias("name"), "confidence", "seen")
         bare = at.where("kind is null and name <> 'default'")
         starred = bare.join(stars, bare.rel_path == stars._file).select("req", F.col("_star").alias("rel_path"), "name", F.least("confidence", F.lit(STAR)).alias("confidence"), "seen")
-        more = via.union(starred).withColumn("id", F.concat_ws("#", "rel_path", "name"))
-        again = more.where(F.array_contains("seen", F.col("id")) | F.lit(hop == depth)).select("req", "rel_path", "name", F.lit(0.0).alias("confidence"), F.lit("circular").alias("state"))
-        step = cut(done.union(again))
-        ended = step if ended is None else ended.union(step)
-        if hop == depth:
+        more = cut(via.union(starred).withColumn("id", F.concat_ws("#", "rel_path", "name")))
+        if more.isEmpty():
             break
-        open_ = cut(more.where(~F.array_contains("seen", F.col("id"))).select("req", "rel_path", "name", "confidence", F.concat("seen", F.array("id")).alias("seen")))
-        if open_.isEmpty():
+        ended = ended.union(more.where(F.array_contains("seen", F.col("id")) | F.lit(hop == depth)).select("req", "rel_path", "name", F.lit(0.0).alias("confidence"), F.lit("circular").alias("state")))
+        open_ = more.where(~F.array_contains("seen", F.col("id"))).select("req", "rel_path", "name", "confidence", F.concat("seen", F.array("id")).alias("seen"))
+        if hop == depth or open_.isEmpty():
             break
     # of several branches a cycle counts first, then one file for all that were found
     best = F.max_by(F.struct("rel_path", "name", "confidence"), F.struct("confidence", F.col("name"))).alias("b")

@@ -84,7 +84,7 @@ def S12_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.range(7).withColumnRenamed("id", "k")
     files = _files(p, "concat('base/b', p_partkey, '.ts')", "typescript", _BASE).union(_files(p, "concat('locales/en/p', p_partkey, '.ts')", "typescript", _PAGE)).union(_files(more, "concat('more/m', k, '.ts')", "typescript", _MORE))
     files = extract.cut(files)
-    found = extract.cut(extract.facts(files, kinds=extract.OF_DEFINITIONS))
+    found = extract.kept(extract.facts(files, kinds=extract.OF_DEFINITIONS))
     links = extract._links(found, files, None)
     own = extract.view(found, "entry").where("rel_path like 'locales/%'").select("rel_path", "key", "value")
     spread = extract.spread_entries(found, links).where("spread_into like 'locales/%'").select("rel_path", "key", "value")
@@ -114,7 +114,7 @@ def S14_J06_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parts(spark, sf_dir)
     home = "concat('export default { title: \"', p_brand, '\" };')"
     files = extract.cut(_files(p, "concat('src/r', p_partkey, '.ts')", "typescript", _REGISTER).union(_files(p, "concat('src/home', p_partkey, '.ts')", "typescript", home)))
-    return extract.definitions(extract.cut(extract.facts(files, kinds=extract.OF_DEFINITIONS)), files).select("rel_path", "locale", "namespace", "key", "value")
+    return extract.definitions(extract.kept(extract.facts(files, kinds=extract.OF_DEFINITIONS)), files).select("rel_path", "locale", "namespace", "key", "value")
 
 
 # ---- code
@@ -174,7 +174,7 @@ def X13_X14_J14_indirect_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, k = _parts(spark, sf_dir), spark.range(5).withColumnRenamed("id", "k")
     files = _files(p, "concat('src/u', p_partkey, '.tsx')", "typescript", _USER).union(_files(k, "concat('lib/s', k, '.ts')", "typescript", _SHARED)).union(_files(k, "concat('index', k, '.ts')", "typescript", "concat('export * from \"./lib/s', k, '\";')"))
     files = extract.cut(files)
-    static, _ = extract.usages(extract.cut(extract.facts(files, kinds=extract.OF_USAGES)), files)
+    static, _ = extract.usages(extract.kept(extract.facts(files, kinds=extract.OF_USAGES)), files)
     return static.select("rel_path", "key", "namespace", "confidence", "line")
 
 
@@ -261,7 +261,7 @@ _BINDINGS = r"""concat('function usersColumns(t) { return [t("col.', p_size, '")
 )
 def J15_X14_call_site_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = extract.cut(_files(_parts(spark, sf_dir), "concat('p', p_partkey, '.tsx')", "typescript", _BINDINGS))
-    static, _ = extract.usages(extract.cut(extract.facts(files, kinds=extract.OF_USAGES)), files)
+    static, _ = extract.usages(extract.kept(extract.facts(files, kinds=extract.OF_USAGES)), files)
     names = F.coalesce(F.array_join("namespaces", "|"), F.col("namespace")).alias("namespaces")
     return static.select("key", names).groupBy("key", "namespaces").agg(F.count("*").alias("n"))
 
@@ -319,7 +319,7 @@ def X13_J17_related_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = files.union(_files(one, "'lib/mainRoute.ts'", "typescript", "'export const route = { path: \"/\", label: \"rt.label\" };'")).union(_files(one, "'lib/navConfig.ts'", "typescript", "'export const nav = { a: { title: \"cfg.title\" } };'"))
     files = files.union(_files(one, "'lib/other.ts'", "typescript", "'export const none = { a: { title: \"never\" } };'"))
     files = extract.cut(files)
-    static, _ = extract.usages(extract.cut(extract.facts(files, kinds=extract.OF_USAGES)), files)
+    static, _ = extract.usages(extract.kept(extract.facts(files, kinds=extract.OF_USAGES)), files)
     return static.groupBy("rel_path", "key", "namespace").agg(F.count("*").alias("n"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import locales, text
 from ..operators import graph, modules
 from ..operators.files import test_like
-from ..storage import cut
+from ..storage import cut, cut_by
 from . import catalog, code, messages, templates
 from .analysis import Script
 
@@ -95,6 +95,11 @@ def _facts_of(language: str, body: str, nuxt: bool, kinds: frozenset[str]) -> It
             ns, _, rest = key.partition(":") if library == "i18next" and re.match(r"[\w@./-]+:[^/]", key) else ("", "", key)
             yield "usage", {"key": rest, "namespaces": [ns] if ns else [], "resolved": bool(ns), "library": library, "confidence": sure, "context": context, "suppress": False, "via": None, **places.of(start, end)}
     script = Script(templates.scripts(body, language), nuxt)
+    yield from _facts_in(script, language, places, kinds)
+    script.release()
+
+
+def _facts_in(script: Script, language: str, places: _Places, kinds: frozenset[str]) -> Iterator[tuple[str, dict]]:
     if not kinds.isdisjoint(("usage", "dynamic", "ref", "ask")):
         static, dynamic, refs = script.facts()
         for u in static:
@@ -145,6 +150,7 @@ def _facts_of(language: str, body: str, nuxt: bool, kinds: frozenset[str]) -> It
         for locale, namespace, source, name in held.registrations():
             yield "registration", {"locale": locale, "namespace": namespace, "source": source, "name": name}
 
+
 def facts(files: DataFrame, nuxt: bool = False, kinds: Collection[str] | None = None) -> DataFrame:
     """(rel_path, fact, data: JSON) of files (rel_path, language, text); of the kinds asked for, if they are given.
 
@@ -199,6 +205,11 @@ def _batch(rows: list[tuple[str, str, str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(column, pa.string()) for column in zip(*rows)], ["rel_path", "fact", "data"])
 
 
+def kept(found: DataFrame) -> DataFrame:
+    """The facts written once; each ``view`` reads only its kind."""
+    return cut_by(found, "fact")
+
+
 def view(found: DataFrame, fact: str) -> DataFrame:
     """The facts of one kind, as columns."""
     return found.where(F.col("fact") == fact).select("rel_path", F.from_json("data", SCHEMAS[fact]).alias("d")).select("rel_path", "d.*")

@@ -83,3 +83,61 @@ def test_cursors_of_a_crowded_line_meet_no_pairs_and_equal_brute_force(spark):
     got = editor.usage_at(c, u)
     assert sorted((tuple(x) for x in got.collect()), key=str) == want
     assert "sweep" in got._jdf.queryExecution().toString()
+
+
+def test_the_tree_of_a_file_is_freed_without_the_collector():
+    import gc
+
+    from keyloom.sources.syntax import Node
+
+    gc.collect()
+    gc.disable()
+    try:
+        for language in ("typescript", "vue"):
+            for body in TEXTS:
+                for kinds in (None, extract.OF_DEFINITIONS, ["literal"]):
+                    list(extract.facts_of("a", language, body, kinds=kinds))
+        assert not any(type(x) is Node for x in gc.get_objects())
+    finally:
+        gc.enable()
+
+
+def test_views_of_kept_facts_read_their_kind_only(spark):
+    files = spark.createDataFrame([(f"f{i}.ts", "typescript", body) for i, body in enumerate(TEXTS)], "rel_path string, language string, text string")
+    found = extract.facts(files)
+    held = extract.kept(found)
+    assert held.dtypes == found.dtypes and sorted(held.collect()) == sorted(found.collect())
+    plan = extract.view(held, "export")._jdf.queryExecution().executedPlan().toString()
+    assert "fact=export" in plan.replace(" ", "") or "(fact#" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    none = extract.kept(found.where("rel_path = 'none'"))
+    assert none.dtypes == found.dtypes and extract.view(none, "import").count() == 0
+
+
+def test_imports_mean_the_first_file_that_exists_and_arent_multiplied(spark):
+    import posixpath
+    import random
+
+    from keyloom.operators import modules
+
+    r = random.Random(2)
+    names = ["a", "b/a", "a/index", "a.ts", "b", "c/b/a", "x.vue", "a.test"]
+    files = sorted({n + r.choice(["", ".ts", ".tsx", ".js", ".mjs", "/index.ts", "/index.js", ".d.ts", ".TS"]) for n in names * 4})
+    specs = ["./a", "../a", ".//a", "././b/./a", "../../b/a", "./a.ts", "./a/", ".", "..", "./b//a", "a", "./x.vue", "./a/index", "./a.test", "./a/../a"]
+    asked = [(f, s) for f in [*files, "c/b/q.ts"] for s in specs]
+
+    def want(path, spec):
+        parts = []
+        for s in [*posixpath.dirname(path).split("/"), *spec.split("/")]:
+            if s == ".." and parts:
+                parts.pop()
+            elif s not in ("", "."):
+                parts.append(s)
+        base = "/".join(parts)
+        ends = [""] if base.endswith((".ts", ".tsx", ".js", ".jsx", ".mjs")) else modules.ENDINGS
+        return next((base + e for e in ends if base + e in files), None) if spec.startswith(".") else None
+
+    i = spark.createDataFrame(asked, "rel_path string, spec string")
+    got = modules.resolved(i, spark.createDataFrame([(f,) for f in [*files, files[0]]], "rel_path string"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(((f, s, want(f, s)) for f, s in asked), key=str)
+    assert "/index.tsx" not in got._jdf.queryExecution().optimizedPlan().toString().split("posexplode")[0].split("generate")[-1]
+    assert i.select(F.size(modules.meant_by(F.col("rel_path"))).alias("n")).where("n > 3").count() == 0
