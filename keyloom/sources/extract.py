@@ -243,10 +243,11 @@ SHARED = r"(^|/)app-configs/|(?i)Config\.[cm]?[jt]sx?$"
 
 
 def related(found: DataFrame) -> DataFrame:
-    """Usages of telling properties (``ask``), with the strings (``told``) of related files: the same file, files below its folder, files
+    """Usages, some of them repeated, of telling properties (``ask``), with the strings (``told``) of related files: the same file, files below its folder, files
     of its feature (the two folders below ``app``), and shared configurations; routes' properties with those of route files.
 
-    Each file has a few tokens of kinship, and meets others by them: an equi-join."""
+    Each file has a few tokens of kinship, and meets others by them: an equi-join. What a file wants follows from its folder, so the
+    strings are found once for each folder and property; files of no folder have themselves instead."""
     path = F.col("rel_path")
     folder = F.regexp_replace(path, r"/?[^/]*$", "")
     feature = F.nullif(F.regexp_extract(path, r"(?:^|/)app/([^/]+/[^/]+)/", 1), F.lit(""))
@@ -258,11 +259,13 @@ def related(found: DataFrame) -> DataFrame:
     own = F.concat(above, F.array(F.concat(F.lit("p:"), path)), some(feature.isNotNull(), F.concat(F.lit("f:"), feature)), some(path.rlike(SHARED), F.lit("c:")), some(path.rlike(ROUTES), F.lit("r:")))
     told = told.select("prop", "value", F.explode(own).alias("token")).distinct()
     ask = view(found, "ask")
-    wanted = F.when(F.col("route"), F.array(F.lit("r:"))).otherwise(
-        F.concat(F.array(F.concat(F.lit("p:"), path), F.lit("c:")), some(folder != "", F.concat(F.lit("d:"), folder)), some(feature.isNotNull(), F.concat(F.lit("f:"), feature)))
-    )
-    met = ask.withColumn("token", F.explode(wanted)).join(told, ["prop", "token"])
-    return met.withColumn("key", F.when(F.col("key") != "", F.concat("key", "value")).otherwise(F.col("value"))).drop("token", "value", "prop", "route").distinct()
+    group = F.when(F.col("route"), F.lit("r:")).otherwise(F.concat(F.when(folder != "", F.lit("d:")).otherwise(F.lit("p:")), F.when(folder != "", folder).otherwise(path)))
+    # a file's own strings have its folder's token as well
+    wanted = F.array_compact(F.array(F.col("group"), F.when(~F.col("route"), F.lit("c:")), F.when(~F.col("route"), F.concat(F.lit("f:"), feature))))
+    ask = ask.withColumn("group", group)
+    heard = ask.select("prop", "group", F.explode(wanted).alias("token")).distinct().join(told, ["prop", "token"])
+    met = ask.join(cut(heard.select("prop", "group", "value").distinct()), ["prop", "group"])
+    return met.withColumn("key", F.when(F.col("key") != "", F.concat("key", "value")).otherwise(F.col("value"))).drop("group", "value", "prop", "route")
 
 
 def usages(found: DataFrame, files: DataFrame, paths: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -277,8 +280,8 @@ def usages(found: DataFrame, files: DataFrame, paths: dict[str, list[str]] | Non
     whole = F.concat("prefix", "value", "suffix")
     foreign = met.withColumn("key", F.when(F.col("key") != "", F.concat("key", whole)).otherwise(whole)).select(*own.columns)
     every = own.union(foreign).union(related(found).select(*own.columns))
-    bound = graph.parameter_namespaces(view(found, "pass").select("fn", "ns", "from_fn"))
-    every = every.join(bound.select(F.col("fn").alias("via"), F.col("namespaces").alias("_more")), "via", "left")
+    bound = cut(graph.parameter_namespaces(view(found, "pass").select("fn", "ns", "from_fn")))
+    every = every.repartition("rel_path").join(bound.select(F.col("fn").alias("via"), F.col("namespaces").alias("_more")), "via", "left")
     names = F.when(F.size("namespaces") > 0, F.col("namespaces")).otherwise(F.coalesce("_more", F.array().cast("array<string>")))
     every = every.withColumn("_names", names)
     static = every.select(

@@ -141,3 +141,21 @@ def test_imports_mean_the_first_file_that_exists_and_arent_multiplied(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(((f, s, want(f, s)) for f, s in asked), key=str)
     assert "/index.tsx" not in got._jdf.queryExecution().optimizedPlan().toString().split("posexplode")[0].split("generate")[-1]
     assert i.select(F.size(modules.meant_by(F.col("rel_path"))).alias("n")).where("n > 3").count() == 0
+
+
+def test_strings_of_related_files_are_found_once_a_folder(spark):
+    asks = [(f"{d}c{i}.tsx", f"prop{i % 2}", i == 3, f"k{i % 2}.") for d in ("", "src/app/p/g1/", "src/app/p/g1/deep/", "src/app/p/g2/", "lib/") for i in range(4)]
+    tells = [(f, f"prop{k}", f"{f}:{k}") for f in ("c0.tsx", "c1.tsx", "src/app/p/g1/x.ts", "src/app/p/g1/deep/c0.tsx", "src/app/p/g2/deep/y.ts", "src/z.ts", "navConfig.ts", "lib/routes.ts", "lib/c3.tsx") for k in range(2)]
+    row = {"namespaces": [], "resolved": False, "library": "l", "confidence": 0.9, "context": "c", "suppress": False, "via": None, "line": 1, "column": 1, "start": 0, "end": 1}
+    facts = [(f, "ask", json.dumps({"prop": p, "route": r, "key": k, **row})) for f, p, r, k in asks] + [(f, "told", json.dumps({"prop": p, "value": v})) for f, p, v in tells]
+    got = extract.related(spark.createDataFrame(facts, "rel_path string, fact string, data string"))
+
+    def kin(path, other):
+        folder, feature = path.rpartition("/")[0], path.split("app/")[-1].rsplit("/")[:2] if "app/" in path else None
+        below = folder != "" and other.startswith(folder + "/")
+        return path == other or below or other == "navConfig.ts" or (feature and "app/" in other and other.split("app/")[1].split("/")[:2] == feature)
+
+    want = {(f, k + v) for f, p, r, k in asks for o, q, v in tells if p == q and (o == "lib/routes.ts" if r else kin(f, o))}
+    rows = [(x.rel_path, x.key) for x in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
