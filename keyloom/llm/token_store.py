@@ -116,83 +116,91 @@ def _grouped(pair: np.ndarray) -> np.ndarray:
     return np.argsort(pair, kind="stable") if (same & (found[1:] != found[:-1])).any() else order
 
 
+def _bounds(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each pair a count that isn't below its true one: how many pairs share its bucket of a hash."""
+    bits = min(19, max(10, (4 * len(left)).bit_length()))
+    bucket = ((left * np.uint32(2654435761) + right * np.uint32(2246822519)) >> np.uint32(32 - bits)).astype(np.intp)
+    return np.bincount(bucket, minlength=1 << bits).astype(np.int32).take(bucket)
+
+
 def repair(ids: np.ndarray, base: int, end: int, least: int = LEAST, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rule k of two symbols is symbol ``base + k``; ``end`` is in no rule.
 
     A round replaces all pairs of at least a ``step``-th of the last round's least count, where places overlap the more frequent
-    pair; counts are true ones. Rounds go on until no pair has ``least`` places that don't overlap."""
+    pair; counts are true ones. Rounds go on until no pair has ``least`` places that don't overlap.
+
+    All places of a pair come up in one round, that of its younger symbol, and only get fewer. So each place keeps a bound of its
+    pair's count from then on: a round counts at the places that it changed and at those whose bound is high enough. Once few
+    places are left, the symbols at none of them are set aside."""
     least = max(2, least)
     seq = ids.astype(np.uint32)
-    live = (seq[:-1] != end) & (seq[1:] != end)  # places whose pair may still have that many
-    rules: list[np.ndarray] = []
-    made, floor = 0, 1 << 18
+    most = np.zeros(len(seq), np.int32)  # at each place the bound of its pair with the next symbol; 0 where none may be replaced
+    fresh, rules = np.arange(len(seq) - 1, dtype=np.int32), []
+    made, floor, whole = 0, 1 << 18, None
     while True:
-        at = np.flatnonzero(live).astype(np.int32)
-        if len(at) < least:
-            break
-        left, right = seq.take(at), seq.take(at + 1)
-        # buckets of a hash bound the counts from above: only pairs in full enough ones are counted. The fewer buckets,
-        # the faster; there are so many that chance fills none
-        size = 1 << min(22, max(10, (16 * len(at) // max(least, floor // step)).bit_length()))
-        bucket = ((left * np.uint32(2654435761) + right * np.uint32(2246822519)) >> np.uint32(32 - size.bit_length() + 1)).astype(np.intp)
-        held = np.bincount(bucket, minlength=size)
-        of = held.astype(np.int32).take(bucket)
-        live[at[of < least]] = False
-        floor = max(least, min(floor, int(held.max())) // step)
-        while True:
-            some = np.flatnonzero(of >= floor)
-            where, l, r = at[some], left[some], right[some]
-            # of a run of one symbol every other place counts
-            twin = np.flatnonzero(l == r)
-            if len(twin):
-                breaks = np.flatnonzero(np.concatenate([[True], np.diff(where[twin]) != 1]))
-                odd = (np.arange(len(twin)) - np.repeat(breaks, np.diff(np.append(breaks, len(twin))))) % 2 == 1
-                counted = np.ones(len(some), bool)
-                counted[twin[odd]] = False
-                where, l, r = where[counted], l[counted], r[counted]
+        left, right = seq.take(fresh), seq.take(fresh + 1)
+        most[fresh] = _bounds(left, right) * ((left != end) & (right != end))
+        if whole is None and floor == least and 4 * np.count_nonzero(live := most >= least) < len(seq):
+            live[1:] |= live[:-1]
+            kept = live.copy()
+            kept[1:] |= live[:-1]  # one symbol behind each stretch, for all that are left out there
+            whole, slot = (seq, ~live), np.flatnonzero(kept)
+            most, seq = most[kept], np.where(live, seq, np.uint32(end))[kept]
+        while (top := int(most.max(initial=0))) >= least:
+            floor = max(least, min(floor, top) // step)
+            where = np.flatnonzero(most >= floor).astype(np.int32)
+            l, r = seq.take(where), seq.take(where + 1)
             pair = l.astype(np.uint64) << np.uint64(32) | r
             order = _grouped(pair)
             where, pair = where[order], pair[order]
-            starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.empty(0, np.int64)
-            counts = np.diff(np.append(starts, len(pair)))
-            rare = counts < least
-            if rare.any():
-                live[where[np.repeat(rare, counts)]] = False
-            if floor == least or (counts >= floor).any():
+            starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+            sizes = np.diff(np.append(starts, len(pair)))
+            # of a run of one symbol every other place counts
+            twin = np.flatnonzero((l == r)[order])
+            runs = np.flatnonzero(np.concatenate([[True], np.diff(where[twin]) != 1])) if len(twin) else twin
+            odd = twin[(np.arange(len(twin)) - np.repeat(runs, np.diff(np.append(runs, len(twin))))) % 2 == 1]
+            counts = sizes - np.bincount(np.searchsorted(starts, odd, "right") - 1, minlength=len(starts))
+            most[where] = np.repeat(counts, sizes)
+            chosen = np.flatnonzero(counts >= floor)
+            if len(chosen):
                 break
-            floor = max(least, floor // step)
-        chosen = np.flatnonzero(counts >= floor)
-        if not len(chosen):
+        else:
             break
         # the more frequent pair has a place before its neighbours, so the most frequent one has all of its places
+        times = counts[chosen]
         rank = np.zeros(len(counts), np.int32)
-        rank[chosen[np.lexsort((pair[starts[chosen]], counts[chosen]))]] = np.arange(1, len(chosen) + 1)
-        mine = np.repeat(rank, counts)
-        where, pair, mine = where[mine > 0], pair[mine > 0], mine[mine > 0]
+        rank[chosen[np.argsort(times.astype(np.uint16) if times.max() < 1 << 16 else times, kind="stable")]] = np.arange(1, len(chosen) + 1)
+        mine = np.repeat(rank, sizes)
+        mine[odd] = 0
+        some = np.flatnonzero(mine)
+        where, pair, mine = where[some], pair[some], mine[some]
         ranks = np.zeros(len(seq) + 2, np.int32)
         ranks[where + 1] = mine
         take = (mine > ranks[where]) & (mine > ranks[where + 2])
-        where, mine, pair = where[take], mine[take], pair[take]
-        keep = np.bincount(mine, minlength=len(chosen) + 1)[mine] >= least
-        where, pair = where[keep], pair[keep]
-        if len(where):
-            new = np.concatenate([[True], pair[1:] != pair[:-1]])
-            ruled = pair[new]
-            seq[where] = (base + made + np.cumsum(new) - 1).astype(np.uint32)
-            stay = np.ones(len(seq), bool)
-            stay[where + 1] = False
-            seq, live = seq[stay], live[stay[:-1]]
-            # each place has moved by the places that went before it
-            here = np.sort(where)
-            here -= np.arange(len(here), dtype=np.int32)
-            live = live[: len(seq) - 1] if len(live) >= len(seq) - 1 else np.append(live, np.zeros(len(seq) - 1 - len(live), bool))
-            inner, after = here[here < len(seq) - 1], here[here > 0]
-            live[inner] = seq[inner + 1] != end
-            live[after - 1] = seq[after - 1] != end
-            rules.append(np.stack([ruled >> np.uint64(32), ruled & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-            made += len(ruled)
-        elif floor == least:
-            break
+        take &= np.bincount(mine[take], minlength=len(chosen) + 1)[mine] >= least
+        where, pair = where[take], pair[take]
+        new = np.concatenate([[True], pair[1:] != pair[:-1]])
+        ruled = pair[new]
+        seq[where] = (base + made + np.cumsum(new) - 1).astype(np.uint32)
+        where = np.sort(where)
+        stay = np.ones(len(seq), bool)
+        stay[where + 1] = False
+        seq, most = seq[stay], most[stay]
+        if whole is not None:
+            slot = slot[stay]
+        # each place has moved by the places that went before it
+        here = where - np.arange(len(where), dtype=np.int32)
+        before = here[np.diff(here, prepend=-1) > 1] - 1
+        if here[-1] == len(seq) - 1:
+            most[-1], here = 0, here[:-1]
+        fresh = np.concatenate([here, before])
+        rules.append(np.stack([ruled >> np.uint64(32), ruled & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        made += len(ruled)
+    if whole is not None:
+        every, aside = whole
+        inner = seq != end
+        every[slot[inner]], aside[slot[inner]] = seq[inner], True
+        seq = every[aside]
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
 
 
@@ -208,21 +216,46 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray | None = None) -> np.ndarray:
-    seq = symbols.astype(np.int64)
-    lengths = (expansion_lengths(rules, base) if lengths is None else lengths).astype(np.int64)
-    size = np.ones(len(seq), np.int64)
-    size[seq >= base] = lengths[seq[seq >= base] - base]
-    at = np.cumsum(size) - size
-    out = np.empty(int(size.sum()), np.uint32)
-    while len(seq):
-        big = seq >= base
-        out[at[~big]] = seq[~big]
-        parts, at = rules[seq[big] - base].astype(np.int64), at[big]
-        first = np.ones(len(parts), np.int64)
-        nested = parts[:, 0] >= base
-        first[nested] = lengths[parts[nested, 0] - base]
-        seq, at = parts.T.reshape(-1), np.concatenate([at, at + first])
-    return out
+    """The ids of symbols. Each rule that is asked for is written down once, the shorter before those made of them; should that take
+    more than twice the result, the longest are taken apart where they stand."""
+    lengths = expansion_lengths(rules, base) if lengths is None else lengths
+    seq, asked = symbols.astype(np.int64), np.zeros(len(rules), bool)
+    asked[seq[seq >= base] - base] = True
+    todo = np.flatnonzero(asked)
+    while len(todo):
+        parts = rules[todo].reshape(-1)
+        todo = parts[parts >= base].astype(np.int64) - base
+        todo = todo[~asked[todo]]
+        asked[todo] = True
+    known = np.flatnonzero(asked)
+    known = known[np.argsort(lengths[known], kind="stable")]
+    sizes = lengths[known].astype(np.int64)
+    few = int(np.searchsorted(np.cumsum(sizes), 2 * (len(seq) + int(lengths[seq[seq >= base] - base].sum(dtype=np.int64))), "right"))
+    if few < len(known):
+        asked[:] = False
+        asked[known[few:]] = True
+        while len(at := np.flatnonzero(seq >= base)) and len(at := at[asked[seq[at] - base]]):
+            parts = np.ones(len(seq), np.int64)
+            parts[at] = 2
+            pair, at = rules[seq[at] - base], (np.cumsum(parts) - parts)[at]
+            seq = np.repeat(seq, parts)
+            seq[at], seq[at + 1] = pair[:, 0], pair[:, 1]
+        known, sizes = known[:few], sizes[:few]
+    total = int(sizes.sum())
+    # where a symbol's ids are written down: a plain one's at its own number, then those of the rules
+    wide = np.int32 if base + 3 * total < 1 << 30 else np.int64
+    place, size = np.arange(base + len(rules), dtype=wide), np.ones(base + len(rules), wide)
+    place[base + known], size[base + known] = base + np.cumsum(sizes) - sizes, sizes
+    held, low = np.arange(base + total, dtype=np.uint32), base
+    starts = np.flatnonzero(np.diff(sizes, prepend=0))
+    for these, n in zip(np.split(known, starts[1:]), sizes[starts].tolist()):
+        left, right = rules[these, 0], rules[these, 1]
+        j, first = np.arange(n, dtype=wide), size[left]
+        held[low : low + n * len(these)] = held[np.where(j < first[:, None], place[left][:, None], (place[right] - first)[:, None]) + j].reshape(-1)
+        low += n * len(these)
+    each = size[seq]
+    ends = np.cumsum(each, dtype=np.int64)
+    return held[np.repeat(place[seq] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Shard:

@@ -335,3 +335,23 @@ def test_secrets_of_a_text_with_very_many(spark):
     got = {x.doc_id: [tuple(s) for s in x.base] for x in secrets.find_secrets(docs).collect()}
     assert time.time() - started < 60
     assert got == {k: base_spans(t) for k, t in enumerate(texts)}
+
+
+def test_compression_counts_only_where_a_round_changed_something(monkeypatch):
+    r = np.random.default_rng(7)
+    ids = np.minimum(r.zipf(1.3, 60_000), 3000).astype(np.uint32)
+    ids[::500] = 9999
+    counted, real = [], token_store._bounds
+    monkeypatch.setattr(token_store, "_bounds", lambda left, right: (counted.append(len(left)), real(left, right))[1])
+    symbols, rules = token_store.repair(ids, 10_000, 9999)
+    assert token_store.expand(symbols, rules, 10_000).tolist() == ids.tolist()
+    assert len(counted) > 8 and sum(counted) <= len(ids) + 2 * (len(ids) - len(symbols))
+
+
+def test_expansions_of_rules_in_a_chain_take_no_square():
+    n = 3000  # each rule adds one id to the one before: written down they'd take 4.5 million
+    rules = np.array([[0, 1], *([1000 + k, k % 7] for k in range(n - 1))], np.uint32)
+    want = [0, 1, *(k % 7 for k in range(n - 1))]
+    for symbols in ([999 + n], [999 + n, 5, 1000], [1000, 1000], [3], []):
+        got = token_store.expand(np.array(symbols, np.uint32), rules, 1000)
+        assert got.dtype == np.uint32 and got.tolist() == [x for s in symbols for x in (want[: s - 998] if s >= 1000 else [s])]
