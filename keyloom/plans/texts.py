@@ -99,8 +99,7 @@ _INIT = r"""concat('import i18n from "i18next";\ni18n.use(x).init({ lng: "en", r
 FROM part, (VALUES ('en', 'common', 'ok', 'name'), ('en', 'home', 'a.b', 'brand'), ('pt-BR', 'common', 'ok', 'size')) AS v(locale, ns, key, value)"""
 )
 def S13_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract.facts(_files(_parts(spark, sf_dir), "concat('i', p_partkey, '.js')", "javascript", _INIT), kinds=["entry"])
-    return extract.view(found, "entry").select("rel_path", "locale", "namespace", "key", "value")
+    return extract.facts_of_kind(_files(_parts(spark, sf_dir), "concat('i', p_partkey, '.js')", "javascript", _INIT), "entry", ["locale", "namespace", "key", "value"])
 
 
 _REGISTER = r"""concat('import i18n from "./i18n";\nimport home from "./home', p_partkey, '";\ni18n.addResourceBundle("en", "ns', p_partkey % 5, '", home);\ni18n.addResource("de", "in', p_size, '", "one.key", "', p_name, '");')"""

@@ -10,9 +10,12 @@ import json
 import re
 from collections.abc import Collection, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import locales, text
 from ..operators import graph, modules
@@ -205,6 +208,80 @@ def _batch(rows: list[tuple[str, str, str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(column, pa.string()) for column in zip(*rows)], ["rel_path", "fact", "data"])
 
 
+def facts_of_kind(files: DataFrame, fact: str, columns: Collection[str] | None = None, nuxt: bool = False) -> DataFrame:
+    """The facts of one kind, as ``view`` gives those of ``facts``; of its columns those asked for, if they are given.
+
+    Workers send columns: what copies of a text say is taken from what a worker remembers, without a step for each fact."""
+    spark, schema = files.sparkSession, StructType.fromDDL(SCHEMAS[fact])
+    schema = StructType([schema[c] for c in (schema.names if columns is None else columns)])
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    kind = pa.struct(list(to_arrow_schema(schema)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from _columns(batch, fact, kind, nuxt)
+
+    dealt = files.select("rel_path", "language", "text").repartition(parts, F.xxhash64("rel_path"))
+    return dealt.mapInArrow(run, StructType([StructField("rel_path", StringType()), *schema.fields]))
+
+
+class _Store:
+    """Facts of texts, one behind the other, with the place, the number and the size of each text's: what a worker remembers of one kind.
+    It forgets all when they get too long, and keeps no text that is long itself."""
+
+    def __init__(self, fact: str, kind: pa.DataType, nuxt: bool):
+        self.of, self.facts, self.known, self.held = (fact, kind, nuxt), pa.array([], kind), {}, 0
+
+
+_store: _Store | None = None
+
+
+def _columns(batch: pa.RecordBatch, fact: str, kind: pa.DataType, nuxt: bool) -> Iterator[pa.RecordBatch]:
+    """The facts of a batch of files (rel_path, language, text)."""
+    global _store
+    if _store is None or _store.of != (fact, kind, nuxt):
+        _store = _Store(fact, kind, nuxt)
+    store = _store
+    language, body = (batch.column(c).dictionary_encode("encode") for c in ("language", "text"))
+    languages, bodies = language.dictionary.to_pylist(), body.dictionary.to_pylist()
+    both = language.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(bodies) + body.indices.to_numpy(zero_copy_only=False)
+    each, number = np.unique(both, return_inverse=True)
+    keys = [(languages[k // len(bodies)], bodies[k % len(bodies)] or "") for k in each.tolist()]
+    fresh: dict[tuple, list[dict]] = {key: [data for _, data in facts_of("", *key, nuxt, (fact,))] for key in keys if key not in store.known}
+    size = {key: len(key[1]) + 64 + sum(64 + sum(len(str(v)) for v in data.values()) for data in found) for key, found in fresh.items()}
+    short = [key for key in fresh if size[key] <= _KEPT >> 8]
+    learnt, at = {}, len(store.facts)
+    for key in [*short, *(fresh.keys() - set(short))]:
+        learnt[key] = (at, len(fresh[key]), size[key])
+        at += len(fresh[key])
+    held = pa.concat_arrays([store.facts, _array([data for key in learnt for data in fresh[key]], kind)]) if fresh else store.facts
+    start, count, weight = (np.array(x, np.int64)[number] for x in zip(*(learnt.get(key) or store.known[key] for key in keys)))
+    if (more := sum(size[key] for key in short)) + store.held > _KEPT:
+        _store = None
+    elif short:
+        store.known.update((key, learnt[key]) for key in short)
+        store.facts, store.held = held[: len(store.facts) + sum(learnt[key][1] for key in short)], store.held + more
+    rows, chars, low = np.cumsum(count), np.cumsum(weight), 0
+    while low < len(count):
+        done = (rows[low - 1], chars[low - 1]) if low else (0, 0)
+        high = max(low + 1, int(min(np.searchsorted(rows, done[0] + _ROWS, "right"), np.searchsorted(chars, done[1] + _CHARS, "right"))))
+        n, total = count[low:high], int(rows[high - 1] - done[0])
+        if total:
+            taken = held.take(pa.array(np.repeat(start[low:high] - (rows[low:high] - done[0] - n), n) + np.arange(total)))
+            paths = batch.column("rel_path").take(pa.array(np.repeat(np.arange(low, high), n)))
+            yield pa.RecordBatch.from_arrays([paths, *taken.flatten()], ["rel_path", *(f.name for f in kind)])
+        low = high
+
+
+def _array(found: list[dict], kind: pa.DataType) -> pa.Array:
+    try:
+        return pa.array(found, kind)
+    except UnicodeEncodeError:  # halves of characters, as escapes may name them: pairs become one, others a question mark
+        whole = lambda x: x.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "surrogatepass").encode("utf-8", "replace").decode() if isinstance(x, str) else [whole(y) for y in x] if isinstance(x, list) else x
+        return pa.array([{k: whole(v) for k, v in data.items()} for data in found], kind)
+
+
 def kept(found: DataFrame) -> DataFrame:
     """The facts written once; each ``view`` reads only its kind."""
     return cut_by(found, "fact")
@@ -298,7 +375,15 @@ def usages(found: DataFrame, files: DataFrame, paths: dict[str, list[str]] | Non
 
 def literals(found: DataFrame) -> DataFrame:
     """Literals that may be copy, with their score; those of tests are left out."""
-    lit = view(found, "literal").where(~test_like(F.col("rel_path")))
+    return scored(view(found, "literal").where(~test_like(F.col("rel_path"))))
+
+
+def literals_of(files: DataFrame) -> DataFrame:
+    """``literals`` of files of which nothing else is asked: tests needn't be read."""
+    return scored(facts_of_kind(files.where(~test_like(F.col("rel_path"))), "literal", ["text", "line", "column", "context", "attribute"]))
+
+
+def scored(lit: DataFrame) -> DataFrame:
     scored = lit.withColumn("confidence", text.score_literal(F.col("text"))).where("confidence is not null")
     return scored.select(text.truncate(F.col("text"), 120).alias("text"), "rel_path", "line", "column", "confidence", "context", "attribute")
 

@@ -163,3 +163,41 @@ def test_strings_of_related_files_are_found_once_a_folder(spark):
     rows = [(x.rel_path, x.key) for x in got.collect()]
     assert set(rows) == want and len(rows) == len(want)
     assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_facts_of_one_kind_are_sent_as_columns_and_equal_their_views(spark, monkeypatch):
+    odd = ['import { useTranslation } from "react-i18next";\nconst { t } = useTranslation(); t("a\\ud83d\\ude00b"); t("\\ud83dx"); t(`é😀.${q}`); t("p" + q);', None]
+    rows = [(f"f{k}.ts", language, body) for k, body in enumerate([*TEXTS, *odd] * 3) for language in ("typescript", "vue", "json", None)]
+    files = spark.createDataFrame(rows, "rel_path string, language string, text string")
+    whole = extract.facts(files)
+    for kind in extract.SCHEMAS:
+        got = extract.facts_of_kind(files, kind)
+        want = extract.view(whole, kind)
+        assert [(c, t) for c, t in got.dtypes] == want.dtypes
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), kind
+        assert "from_json" not in got._jdf.queryExecution().toString().lower().replace("jsontostructs", "from_json")
+    few = extract.facts_of_kind(files, "usage", ["line", "key"])
+    assert few.columns == ["rel_path", "line", "key"] and few.count() == extract.view(whole, "usage").count()
+    assert sorted(map(str, extract.literals_of(files).collect())) == sorted(map(str, extract.literals(whole).collect()))
+
+
+def test_what_a_worker_remembers_of_a_kind_stays_bounded(monkeypatch):
+    import pyarrow as pa
+
+    read, real = [], extract.facts_of
+    monkeypatch.setattr(extract, "facts_of", lambda *a: (read.append(a[2]), real(*a))[1])
+    monkeypatch.setattr(extract, "_store", None)
+    monkeypatch.setattr(extract, "_KEPT", 1 << 16)
+    monkeypatch.setattr(extract, "_ROWS", 16)
+    kind = pa.struct([("name", pa.string())])
+
+    def names(bodies):
+        batch = pa.RecordBatch.from_pydict({"rel_path": [f"f{k}" for k in range(len(bodies))], "language": ["typescript"] * len(bodies), "text": bodies})
+        return [x for out in extract._columns(batch, "export", kind, False) for x in zip(*(out.column(c).to_pylist() for c in ("rel_path", "name")))]
+
+    long = "export const long = 1;\n" + "// long\n" * 200
+    for low in range(0, 2000, 50):
+        bodies = [f"export const a{k} = 1, b{k} = 2;" for k in range(low, low + 50) for _ in range(3)] + ["", long]
+        assert names(bodies) == [(f"f{k}", f"{c}{low + k // 3}") for k in range(150) for c in "ab"] + [("f151", "long")]
+        assert extract._store is None or (extract._store.held <= 1 << 16 and ("typescript", long) not in extract._store.known)
+    assert len(read) < 2000 + 2 * 40 + 40
