@@ -126,8 +126,8 @@ _HOOKS = r"""concat('import { useTranslation } from "react-i18next";\nexport fun
 FROM part, (VALUES ('brand', 'n', 0.9::DOUBLE, 5::BIGINT), ('p.k', 'other', 0.9, 5), ('p.yes', 'n', 0.9, 5), ('p.no', 'n', 0.9, 5), ('size', 'in', 0.75, 7)) AS v(key, ns, sure, line)"""
 )
 def X06_i18next_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract.facts(_files(_parts(spark, sf_dir), "concat('a', p_partkey, '.tsx')", "typescript", _HOOKS), kinds=["usage"])
-    return extract.view(found, "usage").select("rel_path", "key", F.array_join("namespaces", "|").alias("namespaces"), "library", "confidence", "line")
+    found = extract.facts_of_kind(_files(_parts(spark, sf_dir), "concat('a', p_partkey, '.tsx')", "typescript", _HOOKS), "usage", ["key", "namespaces", "library", "confidence", "line"])
+    return found.select("rel_path", "key", F.array_join("namespaces", "|").alias("namespaces"), "library", "confidence", "line")
 
 
 @query(
