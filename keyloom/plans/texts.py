@@ -134,9 +134,9 @@ def X06_i18next_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT 'a' || p_partkey || '.tsx' AS rel_path, 'ns' || (p_partkey % 3) || '|b' AS namespaces, v.pre AS prefixes, v.suf AS suffixes, 0.45::DOUBLE AS confidence FROM part, (VALUES ('dyn.', '.end'), ('pre.', '')) AS v(pre, suf)"""
 )
 def X05_dynamic_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract.facts(_files(_parts(spark, sf_dir), "concat('a', p_partkey, '.tsx')", "typescript", _HOOKS), kinds=["dynamic"])
+    found = extract.facts_of_kind(_files(_parts(spark, sf_dir), "concat('a', p_partkey, '.tsx')", "typescript", _HOOKS), "dynamic", ["namespaces", "prefixes", "suffixes", "confidence"])
     line = lambda c: F.array_join(c, "|").alias(c)
-    return extract.view(found, "dynamic").select("rel_path", line("namespaces"), line("prefixes"), line("suffixes"), "confidence")
+    return found.select("rel_path", line("namespaces"), line("prefixes"), line("suffixes"), "confidence")
 
 
 _LIBRARIES = {
