@@ -150,8 +150,8 @@ _LIBRARIES = {
 
 def _library(name: str, text: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = extract.facts(_files(_parts(spark, sf_dir), "concat('a', p_partkey, '.ts')", "typescript", text), kinds=["usage"])
-        return extract.view(found, "usage").select("rel_path", "key", F.array_join("namespaces", "|").alias("namespaces"), "library", "confidence")
+        found = extract.facts_of_kind(_files(_parts(spark, sf_dir), "concat('a', p_partkey, '.ts')", "typescript", text), "usage", ["key", "namespaces", "library", "confidence"])
+        return found.select("rel_path", "key", F.array_join("namespaces", "|").alias("namespaces"), "library", "confidence")
 
     run.__name__ = name
     QUERIES[name] = run
