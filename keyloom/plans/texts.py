@@ -236,8 +236,7 @@ def X16_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT 'e' || p_partkey || '.ts' AS rel_path, v.* FROM part, (VALUES ('h', 't', 'call', true), ('w', 'h', 'call', true)) AS v(caller, callee, kind, forwards)"""
 )
 def X17_call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract.facts(_files(_parts(spark, sf_dir), "concat('e', p_partkey, '.ts')", "typescript", _SYMBOLS), kinds=["edge"])
-    return extract.view(found, "edge")
+    return extract.facts_of_kind(_files(_parts(spark, sf_dir), "concat('e', p_partkey, '.ts')", "typescript", _SYMBOLS), "edge")
 
 
 _COMMENTS = r"""concat('// keyloom-disable missing-key bogus\na = "keyloom-enable"; /* keyloom-enable unusedKey */\n// keyloom-ignore-next-line hardcoded, duplicate\n// keyloom-ignore no-such-rule\n// ', p_brand, ' keyloom-ignore')"""
