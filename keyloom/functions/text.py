@@ -34,7 +34,11 @@ def collapse(text: Column) -> Column:
 
 def score_literal(text: Column) -> Column:
     """How likely a literal is copy for readers: null, 0.55, 0.7 or 0.85."""
-    t = trimmed(text)
+    # trimmed once, by a variable: named many times it would be many times computed
+    return F.get(F.transform(F.array(trimmed(text)), _score), F.lit(0))
+
+
+def _score(t: Column) -> Column:
     technical = F.lit(False)
     for shape in TECHNICAL:
         technical = technical | t.rlike(shape)

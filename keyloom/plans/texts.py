@@ -186,7 +186,7 @@ FROM part, (VALUES ('title', 'jsx-attribute', 'title', 2::BIGINT), ('hello', 'js
 )
 def X12_untranslated_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(_parts(spark, sf_dir), "concat('m', p_partkey, '.tsx')", "typescript", _MARKUP).union(_files(_parts(spark, sf_dir), "concat('m', p_partkey, '.test.tsx')", "typescript", _MARKUP))
-    return extract.literals(extract.facts(files, kinds=["literal"])).select("rel_path", "text", "context", "attribute", "confidence", "line")
+    return extract.literals_of(files).select("rel_path", "text", "context", "attribute", "confidence", "line")
 
 
 _TEMPLATE = r"""concat('<template>\n  <!-- $t("no") --><p :title="$t(\'', p_brand, '\')" v-t="\'dir.x\'">{{ t("v.', p_size, '") }} {{ $tm("nuxt") }}</p>\n  <i18n-t keypath="kp.a"/>\n</template>\n<script setup>\nimport { useI18n } from "vue-i18n";\nconst { t } = useI18n();\nt("s.a");\n</script>\n<style>.t("x"){}</style>')"""

@@ -201,3 +201,12 @@ def test_what_a_worker_remembers_of_a_kind_stays_bounded(monkeypatch):
         assert names(bodies) == [(f"f{k}", f"{c}{low + k // 3}") for k in range(150) for c in "ab"] + [("f151", "long")]
         assert extract._store is None or (extract._store.held <= 1 << 16 and ("typescript", long) not in extract._store.known)
     assert len(read) < 2000 + 2 * 40 + 40
+
+
+def test_literals_are_trimmed_once_for_their_score(spark):
+    from keyloom.functions import text
+
+    want = {None: 0.55, "": None, " a ": None, "Save": 0.7, " ok ": 0.55, "Open it": 0.85, "a.b": None, "no": 0.55, "MAX_SIZE": None, "camelCase": None, "12px": None, "Hello!": 0.85}
+    df = spark.createDataFrame([(x,) for x in want], "x string").select("x", text.score_literal(F.col("x")).alias("s"))
+    assert {r.x: r.s for r in df.collect()} == want
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1
