@@ -18,7 +18,11 @@ STAR = 0.85
 
 def normal(path: Column) -> Column:
     """A path without ``.``, ``..`` and empty segments."""
-    short = F.regexp_replace(path, r"/(\.?/)+", "/")
+    # shortened once, by a variable
+    return F.get(F.transform(F.array(F.regexp_replace(path, r"/(\.?/)+", "/")), _normal), F.lit(0))
+
+
+def _normal(short: Column) -> Column:
     keep = F.aggregate(
         F.split(short, "/"), F.array().cast("array<string>"),
         lambda acc, s: F.when((s == "") | (s == "."), acc).when((s == "..") & (F.size(acc) > 0), F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.concat(acc, F.array(s))),

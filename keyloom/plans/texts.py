@@ -272,7 +272,7 @@ def J10_import_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parts(spark, sf_dir)
     text = "concat('import x from \"', case when p_partkey % 3 = 0 then concat('./m', p_partkey div 2) else './none' end, '\";')"
     files = extract.cut(_files(p, "concat('m', p_partkey, '.ts')", "typescript", text))
-    imports = extract.view(extract.facts(files, kinds=["import"]), "import").select("rel_path", F.col("source").alias("spec"))
+    imports = extract.cut(extract.facts_of_kind(files, "import", ["source"]).withColumnRenamed("source", "spec"))
     return modules.resolved(imports, files.select("rel_path")).select("rel_path", "spec", "target")
 
 

@@ -210,3 +210,18 @@ def test_literals_are_trimmed_once_for_their_score(spark):
     df = spark.createDataFrame([(x,) for x in want], "x string").select("x", text.score_literal(F.col("x")).alias("s"))
     assert {r.x: r.s for r in df.collect()} == want
     assert df._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1
+
+
+def test_imports_are_read_once_and_their_paths_shortened_once(spark, tmp_path):
+    from keyloom.operators import modules
+    from keyloom.plans import texts
+
+    spark.range(30).selectExpr("id p_partkey", "'n' p_name", "'b' p_brand", "1 p_size").write.parquet(str(tmp_path / "part.parquet"))
+    got = texts.QUERIES["J10_import_targets"](spark, str(tmp_path))
+    assert "MapInArrow" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = [(f"m{k}.ts", f"./m{k // 2}" if k % 3 == 0 else "./none", f"m{k // 2}.ts" if k % 3 == 0 else None) for k in range(30)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    paths = {"a//b/./c": "a/b/c", "a/../b": "b", "../a": "../a", None: None, "": "", "a/b": "a/b"}
+    df = spark.createDataFrame([(p,) for p in paths], "p string").select("p", modules.normal(F.col("p")).alias("n"))
+    assert {r.p: r.n for r in df.collect()} == paths
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1
