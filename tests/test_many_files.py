@@ -225,3 +225,15 @@ def test_imports_are_read_once_and_their_paths_shortened_once(spark, tmp_path):
     df = spark.createDataFrame([(p,) for p in paths], "p string").select("p", modules.normal(F.col("p")).alias("n"))
     assert {r.p: r.n for r in df.collect()} == paths
     assert df._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1
+
+
+def test_exported_objects_are_taken_apart_once(monkeypatch):
+    from keyloom.sources import messages
+
+    asked, real = [], messages.Messages.flat
+    monkeypatch.setattr(messages.Messages, "flat", lambda self, node, prefix="", depth=0, *a, **k: (asked.append(node.start) if depth == 0 else None, real(self, node, prefix, depth, *a, **k))[1])
+    body = 'import base from "./base";\nexport default { own: "x", box: { ...base, y: "z" } };\nexport const messages = { a: "b" };'
+    got = list(extract.facts_of("a", "typescript", body, kinds=extract.OF_DEFINITIONS))
+    assert len(asked) == len(set(asked)) == 2
+    assert [(d["export"], d["key"]) for k, d in got if k == "object"] == [("default", "own"), ("default", "box"), ("default", "box.y"), ("messages", "a")]
+    assert [d["key"] for k, d in got if k == "entry"] == ["own", "box.y", "a"] and [d["prefix"] for k, d in got if k == "spread"] == ["box"]
