@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,11 +47,47 @@ PARTITION_BYTES = 16 << 20
 #: The fewest places a pair must have to be replaced.
 LEAST = 2
 MEMO = 400_000
+#: Bytes of texts whose words are looked up at once.
+LOOKUP_BYTES = 8 << 20
 MAGIC = b"KLRP1"
+#: What is remembered of a word that doesn't encode by itself; ids have four bytes each.
+ODD = b"?"
 
 
 # ---- ids
 
+#: Kinds of bytes: white space, letters (with all that isn't ASCII), digits, others.
+_KIND = np.array([0 if chr(b) in "\t\n\v\f\r " else 1 if b >= 128 or chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
+#: Bytes of whose words only the scanner knows where they are cut: apostrophes, and what begins a character outside U+00C0 to U+027F.
+_HARD = np.array([b == ord("'") or b == 0xC2 or b >= 0xCA for b in range(256)])
+
+
+def _atoms(low: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """(parts of texts that encode by themselves, the first part of each text and one more). Parts are runs of letters, digits, runs of others
+    and of white space, as the standard scanner cuts them; words with a hard character stay whole."""
+    offsets = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1]
+    data = np.frombuffer(low.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    kind = _KIND.take(data)
+    cut = np.empty(len(data) + 1, bool)
+    cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    cut[offsets] = True
+    starts = np.flatnonzero(cut).astype(np.int32)
+    hard = _HARD.take(data)
+    hard[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # signs amid letters
+    if len(hard := np.flatnonzero(hard)):
+        space = kind.take(starts[:-1]) == 0
+        edge = space.copy()
+        edge[1:] |= space[:-1]
+        edge[np.searchsorted(starts, offsets[offsets < len(data)])] = True
+        edges = np.append(np.flatnonzero(edge), len(edge))
+        word = np.unique(np.searchsorted(edges, np.searchsorted(starts, hard, "right") - 1, "right") - 1)
+        inside = np.zeros(len(starts) + 1, np.int8)
+        inside[edges[word] + 1] += 1
+        inside[edges[word + 1]] -= 1
+        starts = starts[np.cumsum(inside, dtype=np.int8)[:-1] == 0]
+    return pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(data)), np.searchsorted(starts, offsets)
+
 
 class LibraryEncoder:
     """Ids by the tokenizers library, asked once for each pre-token that isn't in the memo."""
@@ -68,6 +105,10 @@ class LibraryEncoder:
         self.words = Memo(self._word, MEMO)
 
     def _word(self, word: str) -> bytes:
+        if not (word.isascii() and word.isalpha()):
+            if not self.v.plain(word):
+                return ODD
+            word = word.lower()
         if word.isalpha():
             return self._ask(word)
         if word[-1] in ".,;:!?" and word[:-1].isalpha():  # the commonest shape: a word is asked for once, with and without a mark
@@ -91,6 +132,45 @@ class LibraryEncoder:
         self.words.trim()
         return b"".join(out)
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one behind the other, number of each text's). Every word is looked up once for all texts."""
+        docs, v = len(texts), self.v
+        if not v.lowers or not docs:
+            every = [np.frombuffer(self.encode(t), "<u4") for t in common.texts(texts)]
+            return np.concatenate([np.empty(0, np.uint32), *every]), np.array([len(x) for x in every], np.int64)
+        low = pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), ""))
+        atoms, places = _atoms(low)
+        coded = atoms.dictionary_encode()
+        index = coded.indices.to_numpy()
+        found = self.words.all(coded.dictionary.to_pylist())
+        self.memo.trim()
+        self.words.trim()
+        odd = np.zeros(docs, bool)
+        odd[np.flatnonzero(pc.match_substring(texts, v.hint).to_numpy(zero_copy_only=False))] = True
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        if len(left := np.flatnonzero(sizes & 3)):
+            sizes[left] = 0
+            for k in left.tolist():
+                found[k] = b""
+            hit = np.zeros(len(found), bool)
+            hit[left] = True
+            odd[np.searchsorted(places, np.flatnonzero(hit[index]), "right") - 1] = True
+        sizes >>= 2
+        each = sizes.take(index)
+        ends = np.cumsum(each, dtype=np.int32)
+        shift = (np.cumsum(sizes, dtype=np.int32) - sizes).take(index) - (ends - each)
+        ids = np.frombuffer(b"".join(found), "<u4").take(np.repeat(shift, each) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32))
+        bounds = np.concatenate([[0], ends])[places].astype(np.int64)
+        counts = np.diff(bounds)
+        if odd.any():
+            parts, done = [], 0
+            for k in np.flatnonzero(odd).tolist():
+                own = np.frombuffer(self.encode(texts[k].as_py() or ""), "<u4")
+                parts += [ids[done : bounds[k]], own]
+                counts[k], done = len(own), bounds[k + 1]
+            ids = np.concatenate([*parts, ids[done:]])
+        return ids, counts
+
 
 @functools.lru_cache(maxsize=2)
 def library_encoder(path: str) -> LibraryEncoder:
@@ -135,11 +215,11 @@ def repair(ids: np.ndarray, base: int, end: int, least: int = LEAST, step: int =
     least = max(2, least)
     seq = ids.astype(np.uint32)
     most = np.zeros(len(seq), np.int32)  # at each place the bound of its pair with the next symbol; 0 where none may be replaced
-    fresh, rules = np.arange(len(seq) - 1, dtype=np.int32), []
+    fresh, rules = None, []
     made, floor, whole = 0, 1 << 18, None
     while True:
-        left, right = seq.take(fresh), seq.take(fresh + 1)
-        most[fresh] = _bounds(left, right) * ((left != end) & (right != end))
+        left, right = (seq[:-1], seq[1:]) if fresh is None else (seq.take(fresh), seq.take(fresh + 1))
+        most[slice(len(left)) if fresh is None else fresh] = _bounds(left, right) * ((left != end) & (right != end))
         if whole is None and floor == least and 4 * np.count_nonzero(live := most >= least) < len(seq):
             live[1:] |= live[:-1]
             kept = live.copy()
@@ -253,9 +333,11 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarra
         j, first = np.arange(n, dtype=wide), size[left]
         held[low : low + n * len(these)] = held[np.where(j < first[:, None], place[left][:, None], (place[right] - first)[:, None]) + j].reshape(-1)
         low += n * len(these)
-    each = size[seq]
+    each = size.take(seq)
     ends = np.cumsum(each, dtype=np.int64)
-    return held[np.repeat(place[seq] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+    count = int(ends[-1]) if len(ends) else 0
+    ends = ends.astype(wide if count < 1 << 30 else np.int64)
+    return held.take(np.repeat(place.take(seq) - (ends - each), each) + np.arange(count, dtype=ends.dtype))
 
 
 class Shard:
@@ -304,9 +386,8 @@ class Shard:
         return expand(s[a:b], self.rules, self.base, self.lengths)[start - skipped : stop - skipped]
 
 
-def pack(docs: list[tuple[int | None, bytes]], base: int, end: int) -> bytes:
-    """A shard file of (id, ids with the end id as little-endian u32)."""
-    ids = np.frombuffer(b"".join(x for _, x in docs), "<u4")
+def pack(docs: list[int | None], sizes: np.ndarray, ids: np.ndarray, base: int, end: int) -> bytes:
+    """A shard file of documents: their own ids, and the number and all of their tokens' with the end id."""
     symbols, rules = repair(ids, base, end)
     first = np.concatenate([[0], np.flatnonzero(symbols == end) + 1]).astype("<u8")
     width = 2 if base + len(rules) <= 1 << 16 else 4
@@ -318,9 +399,9 @@ def pack(docs: list[tuple[int | None, bytes]], base: int, end: int) -> bytes:
             head,
             rules.astype("<u4").tobytes(),
             expansion_lengths(rules, base).astype("<u4").tobytes(),
-            np.array([i or 0 for i, _ in docs], "<i8").tobytes(),
-            np.array([i is None for i, _ in docs], "u1").tobytes(),
-            np.array([len(x) // 4 for _, x in docs], "<u4").tobytes(),
+            np.array([i or 0 for i in docs], "<i8").tobytes(),
+            np.array([i is None for i in docs], "u1").tobytes(),
+            sizes.astype("<u4").tobytes(),
             first.tobytes(),
             symbols.astype(f"<u{width}").tobytes(),
         ]
@@ -330,6 +411,16 @@ def pack(docs: list[tuple[int | None, bytes]], base: int, end: int) -> bytes:
 # ---- writing and reading
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list[int | None], pa.Array]]:
+    """(ids, texts) of a batch's rows, some ``LOOKUP_BYTES`` at once."""
+    names, texts = batch.column(0).to_pylist(), batch.column(1)
+    size, low = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy()).astype(np.int64), 0
+    while low < len(size):
+        high = max(low + 1, int(np.searchsorted(size, LOOKUP_BYTES + (size[low - 1] if low else 0), "right")))
+        yield names[low:high], texts[low:high]
+        low = high
+
+
 def write_shards(docs: DataFrame, vocab_path: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards of ``docs`` to ``folder`` and return the manifest: part, seq, name, docs, ids, bytes."""
     common.tune(docs.sparkSession)
@@ -341,20 +432,31 @@ def write_shards(docs: DataFrame, vocab_path: str, end_id: int, folder: str, id_
         held, n, seq = [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            data = pack(held, stop + 1, stop)
+            names, sizes, ids = zip(*held)
+            docs = [i for some in names for i in some]
+            data = pack(docs, np.concatenate(sizes), np.concatenate(ids), stop + 1, stop)
             name = f"part-{part:06d}-{seq:05d}.ids"
             common.put_file(folder, name, data)
-            row = {"part": [part], "seq": [seq], "name": [name], "docs": [len(held)], "ids": [n], "bytes": [len(data)]}
+            row = {"part": [part], "seq": [seq], "name": [name], "docs": [len(docs)], "ids": [n], "bytes": [len(data)]}
             return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())]))
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), common.texts(b.column(1))):
-                x = e.encode(t)
-                held.append((i, x + stop.to_bytes(4, "little")))
-                n += len(x) // 4 + 1
-                if n >= SHARD_IDS:
-                    yield flush()
-                    held, n, seq = [], 0, seq + 1
+            for names, texts in _slices(b):
+                ids, sizes = e.encode_all(texts)
+                ends = np.cumsum(sizes)
+                ids, sizes, ends = np.insert(ids, ends, stop), sizes + 1, ends + np.arange(1, len(ends) + 1)
+                low = at = 0
+                while low < len(ends):
+                    # a shard ends with the document that fills it
+                    full = int(np.searchsorted(ends, at + SHARD_IDS - n))
+                    high = min(len(ends), full + 1)
+                    to = int(ends[high - 1])
+                    held.append((names[low:high], sizes[low:high], ids[at:to]))
+                    n += to - at
+                    low, at = high, to
+                    if n >= SHARD_IDS:
+                        yield flush()
+                        held, n, seq = [], 0, seq + 1
         if held:
             yield flush()
 

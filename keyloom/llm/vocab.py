@@ -82,6 +82,18 @@ class Memo(dict):
         self[key] = got
         return got
 
+    def all(self, keys: list) -> list:
+        """The answers of many keys."""
+        found, old, of = list(map(self.get, keys)), self.old, self.of
+        for k in [k for k, got in enumerate(found) if got is None]:
+            key = keys[k]
+            if (got := old.get(key)) is None:
+                got = of(key)
+            if not isinstance(key, str) or len(key) <= LONGEST:
+                self[key] = got
+            found[k] = got
+        return found
+
     def trim(self) -> None:
         if len(self) > self.most:
             self.old = dict(self)
@@ -102,7 +114,7 @@ class Vocab:
         self.chars = byte_chars()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
-        self._hint = next(iter(self.special), "\0")[:2]
+        self.hint = next(iter(self.special), "\0")[:2]
         self.lowers = spec["normalizer"] is not None
         self._plain, self._general = _WORDS if self.lowers else _SPACED
         self._bytes = {c: b for b, c in enumerate(self.chars)}
@@ -127,10 +139,14 @@ class Vocab:
     def cut(self, low: str) -> list[str]:
         return (self._plain if _PLAIN.fullmatch(low) else self._general).findall(low)
 
+    def plain(self, text: str) -> bool:
+        """Whether the standard scanner takes the text and its lower case: but for one letter plain texts stay plain, and are normal."""
+        return "\u0130" not in text and _PLAIN.fullmatch(text) is not None
+
     def words(self, text: str) -> tuple[list[str], bool]:
         """Parts of a text that encode by themselves, and whether they are yet to be cut: where no pre-token has white space the
         runs between it, which are fewer than pre-tokens and fast to find."""
-        if self.lowers and "\u0130" not in text and _PLAIN.fullmatch(text):  # but for that letter plain texts stay plain in lower case, and are normal
+        if self.lowers and self.plain(text):
             return text.lower().split(), True
         low = self.normal(text)
         if low is None:
@@ -150,7 +166,7 @@ class Vocab:
 
     def segments(self, text: str) -> list[tuple[str, int]]:
         """The text cut at its special strings: (text, -1) or ("", id)."""
-        if self._hint not in text:
+        if self.hint not in text:
             return [(text, -1)]
         out, at = [], 0
         for m in self._special.finditer(text):

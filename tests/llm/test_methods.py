@@ -5,6 +5,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,6 +251,55 @@ def test_ids_and_counts_of_odd_texts_as_the_library():
         assert np.frombuffer(exact.encode(x), "<u4").tolist() == byte.encode(x, add_special_tokens=False).ids, x
 
 
+def test_ids_of_a_column_as_the_library():
+    from tokenizers import Tokenizer
+
+    r = random.Random(3)
+    known = [chr(c) for low, high in vocab.KNOWN for c in range(low, high + 1)]
+    latin = [*"abcdefst' '' 'S'Ll'reMve 0123.,!$<|>()\t\n\x0b\x0c\r\x00\x1b\x1c\x1f\x7f", *map(chr, range(0x80, 0x260)), *"\xd7\xf7\xb5\u0130\u2019\u201c\u201d\u2014\u20ac\xa0\x85"]
+    library, store = Tokenizer.from_file(WORD), token_store.LibraryEncoder(WORD)
+    texts = [f"a{c}b {c}{c}. '{c}s{c}'ll 1{c},{c} {c}" for c in map(chr, [*range(0x530), *range(0x1E00, 0x2100), *range(0x2FF0, 0x3040)])]
+    texts += ["", None, " ", "'", "''s", "it's 'tis'", "\xd7", "a\xd7b", "<|endoftext|>", "x<|startoftext|>'s", "\u0130 \u0130b", "é" * 300, "ab'" * 100, "\u3000", *[None] * 3]
+    texts += ["".join(r.choices(r.choice([latin, latin[:50], known + latin]), k=r.randint(0, 40))) for _ in range(6000)]
+    r.shuffle(texts)
+    want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    column = pa.array([None, "not asked", *texts])[2:]
+    for low, high in ((0, len(texts)), (5, 5), (7, 8), (100, 900)):
+        ids, sizes = store.encode_all(column[low:high])
+        assert len(sizes) == high - low and sizes.sum() == len(ids)
+        for k, got in enumerate(np.split(ids, np.cumsum(sizes))[:-1]):
+            assert got.tolist() == want[low + k], ascii(texts[low + k])
+
+
+def test_parts_of_a_column_are_looked_up_once(monkeypatch):
+    store, asked = token_store.LibraryEncoder(WORD), []
+    real = store.words.all
+    monkeypatch.setattr(store.words, "all", lambda keys: (asked.extend(keys), real(keys))[1])
+    store.encode_all(pa.array(["Some words, some marks! And words... (some) 11 words' \xe9t\xe9," * 20] * 30))
+    assert len(asked) == len(set(asked)) < 30
+
+
+def test_shards_end_with_the_document_that_fills_them(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "SHARD_IDS", 50)
+    monkeypatch.setattr(token_store, "LOOKUP_BYTES", 300)
+    r = random.Random(6)
+    rows = [(k, r.choice([None, "", " ".join(r.choices(["one", "two's", "\u201cthree\u201d.", "fi\xe9"], k=r.randint(0, 120)))])) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    folder = common.shared_dir(spark)
+    manifest = token_store.write_shards(docs, WORD, 2, folder)
+    store, want = token_store.library_encoder(WORD), {}
+    ids = {k: [*np.frombuffer(store.encode(x or ""), "<u4").tolist(), 2] for k, x in rows}
+    assert {x.id: np.frombuffer(x.ids, "<u4").tolist() for x in token_store.read_shards(manifest, folder, 2).collect()} == ids
+    for x in manifest.orderBy("part", "seq").collect():
+        held = token_store.Shard(common.get_file(folder, x.name))
+        want.setdefault(x.part, []).append((x.docs, x.ids, len(held.doc_ids), int(held.sizes.sum()), int(held.sizes[-1])))
+    assert sum(n for shards in want.values() for n, *_ in shards) == 300
+    for shards in want.values():
+        assert all(docs == here and n == total for docs, n, here, total, _ in shards)
+        assert all(n >= 50 > n - last for _, n, _, _, last in shards[:-1])
+        assert shards[-1][1] - shards[-1][4] < 50
+
+
 def test_long_words_take_no_square_of_their_length():
     from tokenizers import Tokenizer
 
