@@ -56,29 +56,28 @@ ODD = b"?"
 
 # ---- ids
 
+_SPACE = "\t\n\v\f\r "
 #: Kinds of bytes: white space, letters (with all that isn't ASCII), digits, others.
-_KIND = np.array([0 if chr(b) in "\t\n\v\f\r " else 1 if b >= 128 or chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
+_KIND = np.array([0 if chr(b) in _SPACE else 1 if b >= 128 or chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
 #: Bytes of whose words only the scanner knows where they are cut: apostrophes, and what begins a character outside U+00C0 to U+027F.
 _HARD = np.array([b == ord("'") or b == 0xC2 or b >= 0xCA for b in range(256)])
 
 
 def _atoms(low: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
-    """(parts of texts that encode by themselves, the first part of each text and one more). Parts are runs of letters, digits, runs of others
-    and of white space, as the standard scanner cuts them; words with a hard character stay whole."""
+    """(parts of texts that encode by themselves, the first part of each text and one more). Parts are runs of letters, digits and runs of others,
+    as the standard scanner cuts them, each with the white space before it; words with a hard character stay whole."""
     offsets = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1]
     data = np.frombuffer(low.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     kind = _KIND.take(data)
     cut = np.empty(len(data) + 1, bool)
-    cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    cut[1:-1] = ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & (kind[:-1] != 0)
     cut[offsets] = True
     starts = np.flatnonzero(cut).astype(np.int32)
     hard = _HARD.take(data)
     hard[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # signs amid letters
     if len(hard := np.flatnonzero(hard)):
-        space = kind.take(starts[:-1]) == 0
-        edge = space.copy()
-        edge[1:] |= space[:-1]
+        edge = kind.take(starts[:-1]) == 0
         edge[np.searchsorted(starts, offsets[offsets < len(data)])] = True
         edges = np.append(np.flatnonzero(edge), len(edge))
         word = np.unique(np.searchsorted(edges, np.searchsorted(starts, hard, "right") - 1, "right") - 1)
@@ -105,6 +104,10 @@ class LibraryEncoder:
         self.words = Memo(self._word, MEMO)
 
     def _word(self, word: str) -> bytes:
+        if word[:1] in _SPACE:  # a part of a column
+            word = word.lstrip(_SPACE)
+            if not word:
+                return b""
         if not (word.isascii() and word.isalpha()):
             if not self.v.plain(word):
                 return ODD
@@ -180,20 +183,28 @@ def library_encoder(path: str) -> LibraryEncoder:
 # ---- grammar
 
 
-def _grouped(pair: np.ndarray) -> np.ndarray:
-    """An order in which equal pairs stand together, in the order of their places.
+def _grouped(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order in which equal pairs stand together, in the order of their places; the pairs so, and where each of them begins.
 
     Numbers sort faster than their places do: the pairs' hashes are sorted with the places in their lower bits. Two pairs
     of one hash would lie mixed; then the pairs are sorted themselves."""
-    bits = max(1, int(len(pair)).bit_length())
-    low = np.uint64((1 << bits) - 1)
-    mixed = pair * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= np.uint64(0xD6E8FEB86659FD93)
-    key = np.sort((mixed & ~low) | np.arange(len(pair), dtype=np.uint64))
-    order = (key & low).astype(np.int64)
-    same, found = (key[1:] & ~low) == (key[:-1] & ~low), pair[order]
-    return np.argsort(pair, kind="stable") if (same & (found[1:] != found[:-1])).any() else order
+    bits = np.uint64(max(1, int(len(pair)).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    key = pair * np.uint64(0x9E3779B97F4A7C15)
+    key ^= key >> np.uint64(32)
+    key *= np.uint64(0xD6E8FEB86659FD93)
+    key &= ~low
+    key |= np.arange(len(pair), dtype=np.uint64)
+    key.sort()
+    order = (key & low).view(np.int64)
+    found = pair.take(order)
+    starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    key >>= bits
+    if (key.take(starts[1:]) == key.take(starts[1:] - 1)).any():
+        order = np.argsort(pair, kind="stable")
+        found = pair.take(order)
+        starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    return order, found, starts
 
 
 def _bounds(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -228,19 +239,18 @@ def repair(ids: np.ndarray, base: int, end: int, least: int = LEAST, step: int =
             most, seq = most[kept], np.where(live, seq, np.uint32(end))[kept]
         while (top := int(most.max(initial=0))) >= least:
             floor = max(least, min(floor, top) // step)
-            where = np.flatnonzero(most >= floor).astype(np.int32)
+            where = np.flatnonzero(most >= floor)
             l, r = seq.take(where), seq.take(where + 1)
             pair = l.astype(np.uint64) << np.uint64(32) | r
-            order = _grouped(pair)
-            where, pair = where[order], pair[order]
-            starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+            order, pair, starts = _grouped(pair)
+            where = where.take(order)
             sizes = np.diff(np.append(starts, len(pair)))
             # of a run of one symbol every other place counts
             twin = np.flatnonzero((l == r)[order])
             runs = np.flatnonzero(np.concatenate([[True], np.diff(where[twin]) != 1])) if len(twin) else twin
             odd = twin[(np.arange(len(twin)) - np.repeat(runs, np.diff(np.append(runs, len(twin))))) % 2 == 1]
             counts = sizes - np.bincount(np.searchsorted(starts, odd, "right") - 1, minlength=len(starts))
-            most[where] = np.repeat(counts, sizes)
+            np.put(most, where, np.repeat(counts, sizes))
             chosen = np.flatnonzero(counts >= floor)
             if len(chosen):
                 break
@@ -253,24 +263,27 @@ def repair(ids: np.ndarray, base: int, end: int, least: int = LEAST, step: int =
         mine = np.repeat(rank, sizes)
         mine[odd] = 0
         some = np.flatnonzero(mine)
-        where, pair, mine = where[some], pair[some], mine[some]
+        where, pair, mine = where.take(some), pair.take(some), mine.take(some)
         ranks = np.zeros(len(seq) + 2, np.int32)
-        ranks[where + 1] = mine
-        take = (mine > ranks[where]) & (mine > ranks[where + 2])
-        take &= np.bincount(mine[take], minlength=len(chosen) + 1)[mine] >= least
-        where, pair = where[take], pair[take]
+        np.put(ranks, where + 1, mine)
+        some = np.flatnonzero((mine > ranks.take(where)) & (mine > ranks.take(where + 2)))
+        mine = mine.take(some)
+        some = some.take(np.flatnonzero(np.bincount(mine, minlength=len(chosen) + 1).take(mine) >= least))
+        where, pair = where.take(some), pair.take(some)
         new = np.concatenate([[True], pair[1:] != pair[:-1]])
         ruled = pair[new]
-        seq[where] = (base + made + np.cumsum(new) - 1).astype(np.uint32)
+        np.put(seq, where, (base + made + np.cumsum(new) - 1).astype(np.uint32))
         where = np.sort(where)
         stay = np.ones(len(seq), bool)
-        stay[where + 1] = False
-        seq, most = seq[stay], most[stay]
+        np.put(stay, where + 1, False)
+        # by their numbers: a mask of many changes is slower
+        stay = np.flatnonzero(stay)
+        seq, most = seq.take(stay), most.take(stay)
         if whole is not None:
-            slot = slot[stay]
+            slot = slot.take(stay)
         # each place has moved by the places that went before it
-        here = where - np.arange(len(where), dtype=np.int32)
-        before = here[np.diff(here, prepend=-1) > 1] - 1
+        here = where - np.arange(len(where))
+        before = here.take(np.flatnonzero(np.diff(here, prepend=-1) > 1)) - 1
         if here[-1] == len(seq) - 1:
             most[-1], here = 0, here[:-1]
         fresh = np.concatenate([here, before])
