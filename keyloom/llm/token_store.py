@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import struct
 from array import array
 from collections.abc import Iterator
@@ -58,25 +59,27 @@ ODD = b"?"
 
 _SPACE = "\t\n\v\f\r "
 #: Kinds of bytes: white space, letters (with all that isn't ASCII), digits, others.
-_KIND = np.array([0 if chr(b) in _SPACE else 1 if b >= 128 or chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
+_KIND = bytes(0 if chr(b) in _SPACE else 1 if b >= 128 or chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256))
 #: Bytes of whose words only the scanner knows where they are cut: apostrophes, and what begins a character outside U+00C0 to U+027F.
-_HARD = np.array([b == ord("'") or b == 0xC2 or b >= 0xCA for b in range(256)])
+_HARD = bytes(b == ord("'") or b == 0xC2 or b >= 0xCA for b in range(256))
 
 
 def _atoms(low: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
     """(parts of texts that encode by themselves, the first part of each text and one more). Parts are runs of letters, digits and runs of others,
     as the standard scanner cuts them, each with the white space before it; words with a hard character stay whole."""
     offsets = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1]
-    data = np.frombuffer(low.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    data = bytes(memoryview(low.buffers()[2] or b"")[offsets[0] : offsets[-1]])
     offsets = offsets - offsets[0]
-    kind = _KIND.take(data)
+    kind, hard = (np.frombuffer(data.translate(table), np.uint8) for table in (_KIND, _HARD))
     cut = np.empty(len(data) + 1, bool)
     cut[1:-1] = ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & (kind[:-1] != 0)
     cut[offsets] = True
     starts = np.flatnonzero(cut).astype(np.int32)
-    hard = _HARD.take(data)
-    hard[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # signs amid letters
-    if len(hard := np.flatnonzero(hard)):
+    hard = np.flatnonzero(hard.view(bool))
+    for sign in (b"\xc3\x97", b"\xc3\xb7"):  # amid letters
+        if sign in data:
+            hard = np.concatenate([hard, [m.start() for m in re.finditer(sign, data)]])
+    if len(hard):
         edge = kind.take(starts[:-1]) == 0
         edge[np.searchsorted(starts, offsets[offsets < len(data)])] = True
         edges = np.append(np.flatnonzero(edge), len(edge))
@@ -149,7 +152,8 @@ class LibraryEncoder:
         self.memo.trim()
         self.words.trim()
         odd = np.zeros(docs, bool)
-        odd[np.flatnonzero(pc.match_substring(texts, v.hint).to_numpy(zero_copy_only=False))] = True
+        if v.hint.encode().lower() in atoms.buffers()[2].to_pybytes():
+            odd[np.flatnonzero(pc.match_substring(texts, v.hint).to_numpy(zero_copy_only=False))] = True
         sizes = np.fromiter(map(len, found), np.int32, len(found))
         if len(left := np.flatnonzero(sizes & 3)):
             sizes[left] = 0

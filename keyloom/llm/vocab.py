@@ -82,16 +82,17 @@ class Memo(dict):
         self[key] = got
         return got
 
-    def all(self, keys: list) -> list:
+    def all(self, keys: list[str]) -> list:
         """The answers of many keys."""
-        found, old, of = list(map(self.get, keys)), self.old, self.of
-        for k in [k for k, got in enumerate(found) if got is None]:
-            key = keys[k]
-            if (got := old.get(key)) is None:
-                got = of(key)
-            if not isinstance(key, str) or len(key) <= LONGEST:
-                self[key] = got
+        found = list(map(self.get, keys))
+        left = [k for k, got in enumerate(found) if got is None]
+        asked = [keys[k] for k in left]
+        answers = [self.of(key) if got is None else got for key, got in zip(asked, map(self.old.get, asked))]
+        self.update(zip(asked, answers))
+        for k, key, got in zip(left, asked, answers):
             found[k] = got
+            if len(key) > LONGEST:
+                self.pop(key, None)
         return found
 
     def trim(self) -> None:

@@ -264,7 +264,10 @@ def test_ids_of_a_column_as_the_library():
     r.shuffle(texts)
     want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     column = pa.array([None, "not asked", *texts])[2:]
-    for low, high in ((0, len(texts)), (5, 5), (7, 8), (100, 900)):
+    texts += ["", None, "", "  ", "\t"]
+    want += [[]] * 5
+    column = pa.concat_arrays([column, pa.array(texts[-5:])])
+    for low, high in ((0, len(texts)), (5, 5), (7, 8), (100, 900), (len(texts) - 5, len(texts) - 2), (len(texts) - 2, len(texts))):
         ids, sizes = store.encode_all(column[low:high])
         assert len(sizes) == high - low and sizes.sum() == len(ids)
         for k, got in enumerate(np.split(ids, np.cumsum(sizes))[:-1]):
