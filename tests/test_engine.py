@@ -307,6 +307,12 @@ def test_places_count_units_of_utf16():
     assert [(f["line"], f["column"]) for f in found] == [(2, 21)]
 
 
+def test_places_of_composed_and_combining_characters():
+    for text, column in (("abc", 20), ("\U0001f600\u00e9", 20), ("\U0001f600e\u0301", 21), ("\u00e9", 18)):
+        found = [f for k, f in extract.facts_of("a.ts", "typescript", f'const {{ t }} = useTranslation();\nconst s = "{text}"; t("k");') if k == "usage"]
+        assert [(f["line"], f["column"], f["end"] - f["start"]) for f in found] == [(2, column, 3)]
+
+
 def test_folders_that_may_hold_files(spark):
     rows = [("", True), ("src", True), ("src/a/b", True), ("lib", False), ("apps", True), ("apps/x", True), ("apps/x/y", False)]
     df = spark.createDataFrame([(p,) for p, _ in rows], "p string")
