@@ -48,11 +48,11 @@ PARTITION_BYTES = 16 << 20
 #: The fewest places a pair must have to be replaced.
 LEAST = 2
 MEMO = 400_000
+#: The longest word whose ids are remembered whole: where words aren't set apart by spaces, sentences would be.
+LONGEST_WORD = 40
 #: Bytes of texts whose words are looked up at once.
 LOOKUP_BYTES = 8 << 20
 MAGIC = b"KLRP1"
-#: What is remembered of a word that doesn't encode by itself; ids have four bytes each.
-ODD = b"?"
 
 
 # ---- ids
@@ -60,8 +60,9 @@ ODD = b"?"
 _SPACE = "\t\n\v\f\r "
 #: Kinds of bytes: white space, letters (with all that isn't ASCII), digits, others.
 _KIND = bytes(0 if chr(b) in _SPACE else 1 if b >= 128 or chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256))
-#: Bytes of whose words only the scanner knows where they are cut: apostrophes, and what begins a character outside U+00C0 to U+027F.
-_HARD = bytes(b == ord("'") or b == 0xC2 or b >= 0xCA for b in range(256))
+#: Bytes of whose words only the scanner knows where they are cut: apostrophes, and what begins a character outside U+00C0 to U+027F,
+#: U+0400 to U+047F and U+04C0 to U+04FF, which are letters but for the signs that ``_atoms`` names.
+_HARD = bytes(b == ord("'") or b == 0xC2 or (b >= 0xCA and b not in (0xD0, 0xD1, 0xD3)) for b in range(256))
 
 
 def _atoms(low: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
@@ -76,7 +77,7 @@ def _atoms(low: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
     cut[offsets] = True
     starts = np.flatnonzero(cut).astype(np.int32)
     hard = np.flatnonzero(hard.view(bool))
-    for sign in (b"\xc3\x97", b"\xc3\xb7"):  # amid letters
+    for sign in (b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0"):  # amid letters; the last one's lower case ends in a mark
         if sign in data:
             hard = np.concatenate([hard, [m.start() for m in re.finditer(sign, data)]])
     if len(hard):
@@ -104,7 +105,7 @@ class LibraryEncoder:
         self.merges = self.library.model.tokenize
         self.table = {b: c for b, c in enumerate(self.v.chars)}
         self.memo = Memo(self._ask, MEMO)
-        self.words = Memo(self._word, MEMO)
+        self.words = Memo(self._word, MEMO, LONGEST_WORD)
 
     def _word(self, word: str) -> bytes:
         if word[:1] in _SPACE:  # a part of a column
@@ -113,7 +114,10 @@ class LibraryEncoder:
                 return b""
         if not (word.isascii() and word.isalpha()):
             if not self.v.plain(word):
-                return ODD
+                low = self.v.normal(word)
+                if low is not None and low.isalpha():
+                    return self._ask(low)
+                return b"".join(map(self.memo.__getitem__, self.v.pieces(word)))
             word = word.lower()
         if word.isalpha():
             return self._ask(word)
@@ -139,7 +143,8 @@ class LibraryEncoder:
         return b"".join(out)
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, one behind the other, number of each text's). Every word is looked up once for all texts."""
+        """(ids of all texts, one behind the other, number of each text's). Every word is looked up once for all texts: no rule of such a
+        vocabulary looks beyond white space. Texts with special strings go by themselves."""
         docs, v = len(texts), self.v
         if not v.lowers or not docs:
             every = [np.frombuffer(self.encode(t), "<u4") for t in common.texts(texts)]
@@ -155,13 +160,6 @@ class LibraryEncoder:
         if v.hint.encode().lower() in atoms.buffers()[2].to_pybytes():
             odd[np.flatnonzero(pc.match_substring(texts, v.hint).to_numpy(zero_copy_only=False))] = True
         sizes = np.fromiter(map(len, found), np.int32, len(found))
-        if len(left := np.flatnonzero(sizes & 3)):
-            sizes[left] = 0
-            for k in left.tolist():
-                found[k] = b""
-            hit = np.zeros(len(found), bool)
-            hit[left] = True
-            odd[np.searchsorted(places, np.flatnonzero(hit[index]), "right") - 1] = True
         sizes >>= 2
         each = sizes.take(index)
         ends = np.cumsum(each, dtype=np.int32)

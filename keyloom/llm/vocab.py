@@ -69,12 +69,12 @@ class Memo(dict):
     """Answers of ``of`` by key. Of two generations of at most ``most`` keys the older is
     forgotten, and what is asked for again moves to the younger. Long keys are never kept."""
 
-    def __init__(self, of, most: int):
+    def __init__(self, of, most: int, longest: int = LONGEST):
         super().__init__()
-        self.of, self.most, self.old = of, most, {}
+        self.of, self.most, self.longest, self.old = of, most, longest, {}
 
     def __missing__(self, key):
-        if isinstance(key, str) and len(key) > LONGEST:
+        if isinstance(key, str) and len(key) > self.longest:
             return self.of(key)
         got = self.old.get(key)
         if got is None:
@@ -91,7 +91,7 @@ class Memo(dict):
         self.update(zip(asked, answers))
         for k, key, got in zip(left, asked, answers):
             found[k] = got
-            if len(key) > LONGEST:
+            if len(key) > self.longest:
                 self.pop(key, None)
         return found
 

@@ -260,7 +260,9 @@ def test_ids_of_a_column_as_the_library():
     library, store = Tokenizer.from_file(WORD), token_store.LibraryEncoder(WORD)
     texts = [f"a{c}b {c}{c}. '{c}s{c}'ll 1{c},{c} {c}" for c in map(chr, [*range(0x530), *range(0x1E00, 0x2100), *range(0x2FF0, 0x3040)])]
     texts += ["", None, " ", "'", "''s", "it's 'tis'", "\xd7", "a\xd7b", "<|endoftext|>", "x<|startoftext|>'s", "\u0130 \u0130b", "é" * 300, "ab'" * 100, "\u3000", *[None] * 3]
-    texts += ["".join(r.choices(r.choice([latin, latin[:50], known + latin]), k=r.randint(0, 40))) for _ in range(6000)]
+    odd = [chr(c) for c in (*range(0x300, 0x370), *range(0x530, 0x600), *range(0x2080, 0x20A0), 0xA7CB, 0xA7DC, 0x1100, 0x1161, 0x11A8, 0x3099, 0x212B, 0xFB01, 0x1D400, 0x10400, 0xE000, 0x3A3, 0x1680, 0x2028)]
+    pools = [latin, latin[:50], known + latin, odd + latin[:50], odd + known, [*"aeIs'. !\u0130\u0301\u0307\u0323"]]
+    texts += ["".join(r.choices(r.choice(pools), k=r.randint(0, 40))) for _ in range(12000)]
     r.shuffle(texts)
     want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     column = pa.array([None, "not asked", *texts])[2:]
@@ -282,6 +284,18 @@ def test_parts_of_a_column_are_looked_up_once(monkeypatch):
     assert len(asked) == len(set(asked)) < 30
 
 
+def test_words_of_other_scripts_are_looked_up_once(monkeypatch):
+    store, one = token_store.LibraryEncoder(WORD), []
+    monkeypatch.setattr(store, "encode", one.append)
+    ids, sizes = store.encode_all(pa.array(["\u0441\u043b\u043e\u0432\u043e \u201cword\u201d. \u4e00\u4e8c e\u0301"] * 3))
+    assert not one and len(set(sizes.tolist())) == 1 and sizes.sum() == len(ids) > 0
+    store.encode_all(pa.array(["\u4e00\u4e8c\u3002" * 20, "\u4e00\u3002"]))
+    assert max(map(len, store.words)) < 40 and {"\u4e00\u4e8c", "\u3002"} <= store.memo.keys()  # no sentences
+    for low, high in vocab.KNOWN:  # so that letters alone are one pre-token
+        for c in map(chr, range(low, high + 1)):
+            assert not store.v.normal(c).isalpha() or store.v._ask(c) == [store.v.normal(c)], hex(ord(c))
+
+
 def test_shards_end_with_the_document_that_fills_them(spark, monkeypatch):
     monkeypatch.setattr(token_store, "SHARD_IDS", 50)
     monkeypatch.setattr(token_store, "LOOKUP_BYTES", 300)
