@@ -478,7 +478,7 @@ def write_shards(docs: DataFrame, vocab_path: str, end_id: int, folder: str, id_
     got = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), common.text_of(text_col).alias("text"))
     parts = common.partitions_for(docs, PARTITION_BYTES)
     ordered = got.repartitionByRange(parts, "id", "row").sortWithinPartitions("id", "row").select("id", "text")
-    return common.materialize(ordered.mapInArrow(run, "part int, seq int, name string, docs bigint, ids bigint, bytes bigint"), f"{folder}/manifest")
+    return common.materialize(ordered.mapInArrow(common.released(run), "part int, seq int, name string, docs bigint, ids bigint, bytes bigint"), f"{folder}/manifest")
 
 
 def read_shards(manifest: DataFrame, folder: str, end_id: int) -> DataFrame:
@@ -507,7 +507,7 @@ def read_shards(manifest: DataFrame, folder: str, end_id: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([doc_ids, pa.array(starts[low:high]), ids[low:high].cast(pa.binary())], ["id", "start", "ids"])
 
     count = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return placed.repartition(count, "name").mapInArrow(run, "id bigint, start bigint, ids binary")
+    return placed.repartition(count, "name").mapInArrow(common.released(run), "id bigint, start bigint, ids binary")
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
