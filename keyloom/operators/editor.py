@@ -77,15 +77,16 @@ def usage_at(cursors: DataFrame, usages: DataFrame) -> DataFrame:
     """(cursor, ord, dynamic): the usage under each cursor (cursor, rel_path, line, character: from one), or null.
 
     Usages: ord, rel_path, line, column, end_line, end_column, dynamic. Both ends count; dynamic ones go first, then catalog order.
-    A usage stands in each line it covers. Places and ranges are folded first (of equal ranges the first usage counts); those of a line
+    A usage stands in each line it covers. Places and ranges are folded first (of equal ranges the first usage of each kind counts); those of a line
     go through one sweep in the order of characters, so no pairs are made."""
     rank = F.when(F.col("dynamic"), 0).when(~F.col("dynamic"), 1).otherwise(2)
     order = F.struct("rank", F.col("ord").isNull(), "ord")
-    ranges = usages.where("line <= end_line").withColumn("rank", rank).groupBy("rel_path", "line", "column", "end_line", "end_column").agg(F.min_by(F.struct("ord", "rank"), order).alias("b"))
+    # a plain minimum is folded by hashes, one of structs would sort every usage first
+    ranges = usages.where("line <= end_line").withColumn("rank", rank).groupBy("rel_path", "line", "column", "end_line", "end_column", "rank").agg(F.min("ord").alias("ord"))
     spread = ranges.withColumn("_line", F.explode(F.sequence("line", "end_line")))
     low = F.when(F.col("_line") == F.col("line"), F.col("column")).otherwise(F.lit(_FIRST)).cast("long")
     high = F.when(F.col("_line") == F.col("end_line"), F.col("end_column")).otherwise(F.lit(_LAST)).cast("long")
-    held = spread.select("rel_path", F.col("_line").cast("long").alias("line"), low.alias("at"), F.lit(0).alias("role"), high.alias("until"), "b.ord", "b.rank").where("rel_path is not null and at <= until")
+    held = spread.select("rel_path", F.col("_line").cast("long").alias("line"), low.alias("at"), F.lit(0).alias("role"), high.alias("until"), "ord", "rank").where("rel_path is not null and at <= until")
     kind = held.schema["ord"].dataType.simpleString()
     asked = cursors.where("rel_path is not null and line is not null").select("rel_path", F.col("line").cast("long").alias("line"), F.col("character").cast("long").alias("at")).distinct()
     none = lambda t, c: F.lit(None).cast(t).alias(c)

@@ -694,13 +694,13 @@ def P03_editor_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH u AS (SELECT l_orderkey * 10 + l_linenumber AS ord, 'f' || (l_partkey % 50) AS rel_path, l_orderkey % 200 AS line, CAST(l_linenumber * 3 AS BIGINT) AS col, l_orderkey % 200 + l_linenumber % 2 AS el, CAST(l_linenumber * 3 + 4 AS BIGINT) AS ec, l_suppkey % 4 = 0 AS dynamic FROM lineitem WHERE l_orderkey % 5 = 0),
+    """WITH u AS (SELECT l_orderkey * 10 + l_linenumber AS ord, 'f' || (l_partkey % 50) AS rel_path, l_orderkey % 200 AS line, CAST(l_linenumber * 3 AS BIGINT) AS col, l_orderkey % 200 + l_linenumber % 2 AS el, CAST(l_linenumber * 3 + 4 AS BIGINT) AS ec, l_suppkey % 4 = 0 AS dynamic FROM lineitem),
 c AS (SELECT o_orderkey AS cursor, 'f' || (o_custkey % 50) AS rel_path, o_orderkey % 200 AS line, o_custkey % 25 AS ch FROM orders)
 SELECT c.cursor, b.ord, b.dynamic FROM c LEFT JOIN (SELECT c.cursor, u.ord, u.dynamic FROM c JOIN u ON u.rel_path = c.rel_path AND c.line BETWEEN u.line AND u.el AND NOT (c.line = u.line AND c.ch < u.col) AND NOT (c.line = u.el AND c.ch > u.ec)
   QUALIFY row_number() OVER (PARTITION BY c.cursor ORDER BY NOT u.dynamic, u.ord) = 1) b USING (cursor)"""
 )
 def X22_usage_at_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = facts.load(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0")
+    li = facts.load(spark, sf_dir, "lineitem")
     u = li.select(
         F.expr("l_orderkey * 10 + l_linenumber").alias("ord"), F.expr("concat('f', l_partkey % 50)").alias("rel_path"), F.expr("l_orderkey % 200").alias("line"), F.expr("cast(l_linenumber * 3 as bigint)").alias("column"),
         F.expr("l_orderkey % 200 + l_linenumber % 2").alias("end_line"), F.expr("cast(l_linenumber * 3 + 4 as bigint)").alias("end_column"), F.expr("l_suppkey % 4 = 0").alias("dynamic"),

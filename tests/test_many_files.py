@@ -237,3 +237,33 @@ def test_exported_objects_are_taken_apart_once(monkeypatch):
     assert len(asked) == len(set(asked)) == 2
     assert [(d["export"], d["key"]) for k, d in got if k == "object"] == [("default", "own"), ("default", "box"), ("default", "box.y"), ("messages", "a")]
     assert [d["key"] for k, d in got if k == "entry"] == ["own", "box.y", "a"] and [d["prefix"] for k, d in got if k == "spread"] == ["box"]
+
+
+def test_every_line_item_is_a_usage_under_a_cursor(spark, tmp_path):
+    import duckdb
+
+    from keyloom.plans import audit
+
+    # order keys that five doesn't divide count as well
+    items = [(1, 3, 1, 1), (201, 3, 4, 1), (7, 8, 1, 2), (10, 8, 2, 2)]
+    spark.createDataFrame(items, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 3), (2, 3), (7, 8), (10, 58), (12, 8)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    want = [(1, 2011, True), (2, 2011, True), (7, 72, False), (10, 102, False), (12, None, None)]
+    assert sorted(tuple(x) for x in audit.X22_usage_at_cursor(spark, str(tmp_path)).collect()) == want
+    duck = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        duck.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert sorted(duck.execute(audit.ORACLES["X22_usage_at_cursor"]).fetchall()) == want
+
+
+def test_usages_are_folded_without_a_sort_of_all(spark):
+    from keyloom.operators import editor
+
+    at = ("f", 1, 2, 1, 4)
+    rows = [(9, *at, False), (3, *at, None), (None, *at, True), (8, *at, True), (5, *at, False)]
+    c = spark.createDataFrame([(1, "f", 1, 2)], "cursor bigint, rel_path string, line bigint, character bigint")
+    u = spark.createDataFrame(rows, "ord bigint, rel_path string, line bigint, column bigint, end_line bigint, end_column bigint, dynamic boolean")
+    for kinds, want in (("true", (1, 8, True)), ("ord is null or not dynamic", (1, None, True)), ("dynamic is null or not dynamic", (1, 5, False)), ("dynamic is null", (1, 3, None))):
+        got = editor.usage_at(c, u.where(kinds))
+        assert [tuple(x) for x in got.collect()] == [want]
+        assert "SortAggregate" not in got._jdf.queryExecution().toString()
